@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +17,27 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for a Spark context.
+
+    The archive is made on the driver; Spark's own file server hands it out.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_corpus_code_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(path := os.path.join(folder, "factloom_code.zip"), "w") as z:
+        for name in ("factloom/__init__.py", *(f"factloom/llm/{x}" for x in sorted(os.listdir(os.path.dirname(os.path.abspath(__file__)))) if x.endswith(".py"))):
+            z.write(os.path.join(root, name), name)
+    context.addPyFile(path)
+    context._corpus_code_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory, through Spark's own reader."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

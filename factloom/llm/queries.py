@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, secrets, simhash
+from factloom.llm import ann, decontam, secrets, simhash, urlrep
 from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, table
 
 #: Vocabularies of public tokenizers.
@@ -36,10 +36,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, path) of the rules that come before reputation.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the documents made from the pages: bad is toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")
+    judged = F.col("toxic").isNotNull() | F.col("quality").isNotNull()
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.when(judged, bad).alias("bad"))
+    return urlrep.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
+    "op9_nearest": op9_nearest,
 }
 
 _LOWER = f"translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}')"
@@ -66,5 +85,73 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(it.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
+""",
+    "op6_url_filter": rf"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{ASCII_UPPER}', '{ASCII_LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), o AS (
+  SELECT doc_id AS page_id, CASE WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END END AS bad FROM labels
+), h0 AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM p LEFT JOIN o USING (page_id) GROUP BY host
+), h1 AS (
+  SELECT *, list_reverse(string_split(host, '.')) AS l, (CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' ELSE '' END) || string_split(host, '.')[-1] AS two FROM h0
+), h2 AS (
+  SELECT host, CAST(n AS DOUBLE) AS n, CAST(x AS DOUBLE) AS x,
+         CASE WHEN two IN {urlrep.TWO_LABELS} THEN array_to_string(list_reverse(l[1:3]), '.') ELSE two END AS domain,
+         CASE WHEN two IN {urlrep.TWO_LABELS} THEN two ELSE l[1] END AS suffix
+  FROM h1
+), g AS (
+  SELECT (coalesce(sum(x), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM h2
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT m FROM g) AS m FROM h2 GROUP BY suffix
+), sk AS (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+    SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
+           CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM s0)
+), s AS (
+  SELECT suffix, (x + k * m) / (n + k) AS m FROM s0, sk
+), d0 AS (
+  SELECT domain, suffix, d.n, d.x, m FROM (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h2 GROUP BY domain, suffix) d JOIN s USING (suffix)
+), dk AS (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+    SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
+           CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM d0)
+), d AS (
+  SELECT domain, (x + k * m) / (n + k) AS m FROM d0, dk
+), hh AS (
+  SELECT host, h2.n, h2.x, m FROM h2 JOIN d USING (domain)
+), hk AS (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+    SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
+           CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM hh)
+), r AS (
+  SELECT host, n, k * m + x AS a, k * (1 - m) + n - x AS b FROM hh, hk
+), v AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.35::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(r.n AS BIGINT) AS n_labelled
+FROM v JOIN r USING (host)
+""",
+    "op9_nearest": """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
 }
