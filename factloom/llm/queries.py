@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontam, secrets, simhash, urlrep
-from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, table
+from factloom.llm import ann, decontam, langid, packing, secrets, simhash, spans, tokencounts, urlrep
+from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, shared_dir, table
 
 #: Vocabularies of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: their declared language is ``lang``, and their host the ``source``."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, declared=F.col("lang"), host=F.col("source"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: language of the markup, host and suffix of the address; models of labelled documents."""
+    model = langid.train(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", lang_col="lang")
+    host = urlrep.host_of(F.col("url"))
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", plain.alias("text"), langid.html_language(F.col("html")).alias("declared"))
+    found = langid.identify(pages, id_col="page_id", declared=F.col("declared"), host=host, suffix=urlrep.suffix_of(host), model=model)
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    counted = tokencounts.token_counts(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.tiktoken", keep=["doc_id"])
+    # One more for the end of each text that has tokens.
+    return packing.pack(counted.withColumn("n_tokens", F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1)))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -53,12 +77,32 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """All documents as one batch of inserts, sent twice as after a lost driver; the totals that the store then has."""
+    version = "byte_bpe_50k"
+    counted = tokencounts.token_counts(table(spark, sf_dir, "documents"), f"{tokenizers}/{version}.tiktoken", keep=["doc_id", "source", "lang"])
+    changes = counted.withColumns({"kind": F.lit("insert"), "version": F.lit(version)})
+    store = tokencounts.Rollups(spark, f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    store.commit("load-documents", changes)
+    store.commit("load-documents", changes)
+    return store.totals()
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
+    "op7_span_dedup": op7_span_dedup,
     "op9_nearest": op9_nearest,
+    "op10_token_counts": op10_token_counts,
+    "pages_language": pages_language,
 }
 
 _LOWER = f"translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}')"
