@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontam, langid, packing, secrets, simhash, spans, tokencounts, urlrep
+from factloom.llm import ann, decontam, langid, lm, packing, secrets, simhash, spans, tokencounts, urlrep
 from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, shared_dir, table
 
 #: Vocabularies of public tokenizers.
@@ -73,6 +73,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_span_dedup": op7_span_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
     "pages_language": pages_language,
