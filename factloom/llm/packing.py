@@ -130,7 +130,7 @@ def pack(
     plan = best_plan(counts, tuple(sizes), cost)
 
     # Ranks within a length: a slice's first rank, and the place within the slice.
-    slice_rows = slice_rows or min(200_000, max(1000, sum(counts.values()) // 1000))
+    slice_rows = slice_rows or min(200_000, max(200, sum(counts.values()) // 1000))
     slices = {n: -(-c // slice_rows) for n, c in counts.items()}
     many = max(slices.values(), default=1)
     spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(many)).cast("int")

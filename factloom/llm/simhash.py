@@ -232,3 +232,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_unit: int = 50_000) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id, with all its columns.
+
+    Rows that share an id stand or go together, and those that share id and
+    text are one.  A document with a null id can't be named as another's copy
+    and stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, budget, max_unit)
+    kept = found.filter("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi")
+    again = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    if not again.isEmpty():
+        again = materialise(again, "simhash-again")
+        out = out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return out.unionByName(docs.filter(F.col(id_col).isNull()))
