@@ -6,9 +6,11 @@ and backwards from each, is hashed with 128 bits.  A hash that occurs more
 than once keeps its first place, the one of the smallest document and
 position, and sentences covered by any other of its places go.
 
-Places are counted by partial aggregation, so a passage in a third of all
-documents is a few rows by the time they meet; the join that brings each
-repeated hash back to its places is one that adaptive execution splits.
+Within a document later places are known at once, and one row for each hash
+and document goes on.  Documents are counted by partial aggregation, so a
+passage in a third of all documents is a few rows by the time they meet.  The
+repeated hashes are written; the join that brings them back to their places
+then is one that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._shared import materialise
+
 #: A sentence ends after these marks, or at the end of a line.
 _END = re.compile(r"[.!?。！？]+[\s\"')\]]*|\n+\s*")
 
@@ -91,14 +95,28 @@ def runs(text: str | None, min_sentences: int = 2, min_words: int = 20) -> list[
     return out
 
 
+def later_runs(text: str | None, parts: list[tuple[int, int]], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
+    """Runs that repeat an earlier one of the same text."""
+    # Without two equal sentences there is none, and most texts have none of some length.
+    if len({text[a:b].lower().strip() for a, b in parts}) == len(parts):
+        return []
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, j, *h in sorted(runs(text, min_sentences, min_words)):
+        if tuple(h) in seen:
+            out.append((i, j))
+        seen.add(tuple(h))
+    return out
+
+
 def span_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, first, last, h1, h2) of every run of sentences."""
+    """Rows (doc_id, first, last, h1, h2) of the first place in each document of every run of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids = batch.column(0).slice(at, 256).to_pylist()
-                each = [runs(x, min_sentences, min_words) for x in batch.column(1).slice(at, 256).to_pylist()]
+                each = [{r[2:]: r for r in sorted(runs(x.as_py(), min_sentences, min_words), reverse=True)}.values() for x in batch.column(1).slice(at, 256)]
                 flat = [r for rs in each for r in rs]
                 doc = np.repeat(np.array(ids, np.int64), [len(rs) for rs in each])
                 i, j, a, b = zip(*flat) if flat else ((), (), (), ())
@@ -112,12 +130,12 @@ def span_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, spans): runs of sentences that repeat an earlier one; each a struct (first, last)."""
+    """Rows (doc_id, spans): runs of sentences that an earlier document has; each a struct (first, last)."""
     spans = span_hashes(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
-    place = F.struct("doc_id", "first")
-    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).filter("kept <> other").select("h1", "h2", "kept")
-    later = spans.join(repeated, ["h1", "h2"]).filter(F.struct("doc_id", "first") != F.col("kept"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).filter("kept <> other")
+    repeated = materialise(repeated.select("h1", "h2", "kept"), "spans-repeated")
+    later = spans.join(repeated, ["h1", "h2"]).filter("doc_id <> kept")
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
@@ -125,8 +143,8 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     ``text`` is without the sentences that a repeated span covers; what is
     left is as it was, character by character.  Null and empty texts have no
-    sentences and stay; so does a document with a null id, whose spans count
-    nowhere.  Rows that repeat a doc_id are one document: none of them is the
+    sentences and stay; a document with a null id is compared with itself
+    only.  Rows that repeat a doc_id are one document: none of them is the
     other's copy.
     """
     gone = covered(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
@@ -136,11 +154,13 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, total, removed = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for x, spans in zip(batch.column(1), batch.column(2)):
+                text = x.as_py()
                 parts = sentences(text)
                 keep = [True] * len(parts)
-                for s in spans or ():
-                    keep[s["first"] : s["last"] + 1] = [False] * (s["last"] + 1 - s["first"])
+                gone = [(s["first"], s["last"]) for s in spans.as_py() or ()]
+                for i, j in gone + later_runs(text, parts, min_sentences, min_words):
+                    keep[i : j + 1] = [False] * (j + 1 - i)
                 out.append(text if all(keep) else "".join(text[a:b] for k, (a, b) in zip(keep, parts) if k))
                 total.append(len(parts))
                 removed.append(len(parts) - sum(keep))
