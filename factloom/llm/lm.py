@@ -67,6 +67,11 @@ def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.minimum(cuts, len(counts)), [len(counts)]]))
 
 
+def _bounded(logits: np.ndarray) -> np.ndarray:
+    """Logits in a range whose exponentials and their sums are finite in single precision."""
+    return np.clip(logits, -60, 60, out=logits)
+
+
 class Gru:
     """The model's arrays, its forward pass and its training."""
 
@@ -98,30 +103,38 @@ class Gru:
         """States after each row of ids, and the last; ``fresh`` marks where a text starts."""
         size = self.shape.hidden
         out = np.empty((*ids.shape, size), np.float32)
+        given, restart = self.wx[ids] + self.b, fresh.any(axis=1).tolist()
         for t in range(len(ids)):
-            if fresh[t].any():
+            if restart[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            x, g = self.wx[ids[t]] + self.b, h @ self.u
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * size] + g[:, : 2 * size])))
+            x, g = given[t], h @ self.u
+            zr = x[:, : 2 * size] + g[:, : 2 * size]
+            np.exp(np.negative(zr, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :size], zr[:, size:]
-            n = np.tanh(x[:, 2 * size :] + r * g[:, 2 * size :])
+            n = r * g[:, 2 * size :]
+            n += x[:, 2 * size :]
+            np.tanh(n, out=n)
             if keep is not None:
                 keep.append((h, z, r, n, g[:, 2 * size :]))
-            h = n + z * (h - n)
+            h = h - n
+            h *= z
+            h += n
             out[t] = h
         return out, h
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Log-probabilities of targets; with ``grads`` also the sums of gradients and, under ``h``, those of the states."""
-        logits = states @ self.wc.T + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = _bounded(states @ self.wc.T + self.bc)
         e = np.exp(logits)
-        total = e.sum(axis=1)
+        total = e @ np.ones(e.shape[1], e.dtype)
         cls = self.class_of[targets]
         row = np.arange(len(targets))
         out = logits[row, cls] - np.log(total)
         if grads is not None:
-            d = e / total[:, None]
+            d = e
+            d /= total[:, None]
             d[row, cls] -= 1
             grads["wc"], grads["bc"], dh = d.T @ states, d.sum(axis=0), d @ self.wc
             grads["wo"], grads["bo"] = np.zeros_like(self.wo), np.zeros_like(self.bo)
@@ -133,13 +146,13 @@ class Gru:
             if hi - lo < 2 or not len(at):
                 continue
             s, mine = states[at], np.arange(len(at))
-            inner = s @ self.wo[lo:hi].T + self.bo[lo:hi]
-            inner -= inner.max(axis=1, keepdims=True)
+            inner = _bounded(s @ self.wo[lo:hi].T + self.bo[lo:hi])
             e = np.exp(inner)
-            total = e.sum(axis=1)
+            total = e @ np.ones(hi - lo, e.dtype)
             out[at] += inner[mine, targets[at] - lo] - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
+                d = e
+                d /= total[:, None]
                 d[mine, targets[at] - lo] -= 1
                 grads["wo"][lo:hi], grads["bo"][lo:hi] = d.T @ s, d.sum(axis=0)
                 dh[at] += d @ self.wo[lo:hi]
@@ -235,11 +248,10 @@ class Scorer:
         table = pairs.reshape(SYMBOLS, SYMBOLS) + 0.05
         self.spell = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
 
-    def unknown(self, ranks: np.ndarray, words: list[bytes]) -> float:
-        """Log-probability of a text's unknown words, given that they are unknown."""
-        out = [w for w, r in zip(words, ranks.tolist()) if r < 0]
-        pairs, _ = _spelling(out)
-        return float(self.log_share[ranks[ranks >= 0]].sum() + self.spell[pairs].sum() + len(out) * self.log_tail)
+    def unknown(self, inside: np.ndarray, beyond: list[bytes]) -> float:
+        """Log-probability of a text's unknown words, given that they are unknown: ranks in the head, and words beyond it."""
+        pairs, _ = _spelling(beyond)
+        return float(self.log_share[inside].sum() + self.spell[pairs].sum() + len(beyond) * self.log_tail)
 
     def score(self, texts: list[np.ndarray], unknown: list[float]) -> list[float]:
         """Log10-probability of each text, given its ranks (with the end) and what its unknown words have."""
@@ -374,8 +386,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     training = src.filter("not held_out").select("text")
     counts = materialise(word_counts(training), "lm-counts")
     n, v, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    short = counts.filter((F.octet_length("word") <= head_bytes) & (F.col("word") != F.lit(END)))
-    top = short.orderBy(F.desc("n"), "word").limit(head_words - 1).collect()
+    # The head: all words over a count that is chosen from a table of counts by powers, so that it has no more than its size.
+    short = counts.filter((F.octet_length("word") <= head_bytes) & (F.col("word") != F.lit(END))).withColumn("power", F.floor(F.log2("n") * 8))
+    cut, room = None, head_words - 1
+    for r in sorted(short.groupBy("power").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["power"]
+    top = sorted(short.filter(F.col("power") >= cut).select("word", "n").collect(), key=lambda r: (-r["n"], bytes(r["word"]))) if cut is not None else []
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
     head = [(END, ends[0]["n"] if ends else 0)] + [(bytes(r["word"]), r["n"]) for r in top]
     scorer = Scorer(head, shape, n - sum(c for _, c in head), once)
@@ -403,10 +422,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
             for key, doc, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
                 words = tokens(text.as_py())
                 ranks = s.ranks(words)
-                unknown.append(s.unknown(ranks, words))
-                tail = Counter(w for w, r in zip(words, ranks.tolist()) if r < 0)
+                beyond = [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
+                tail = Counter(beyond)
                 ranks = np.concatenate([ranks, end])
                 inside = ranks[ranks >= 0]
+                unknown.append(s.unknown(inside, beyond))
                 rows.append((key, doc, held, len(ranks), int(s.known[inside].sum()), float(s.log_count[inside].sum()), [{"word": w, "k": k} for w, k in tail.items()]))
                 texts.append(ranks.astype(np.int32))
                 size += len(ranks)
