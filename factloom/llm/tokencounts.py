@@ -105,6 +105,7 @@ class Rollups:
         if self.committed(batch):
             return False
         fields = ("kind", "source", "lang", "n_tokens")
+        changes = materialise(changes.select("doc_id", "version", *fields), "rollup-sent")
         named = changes.filter("doc_id is not null").groupBy("doc_id", "version").agg(F.max(F.struct(*fields)).alias("c")).select("doc_id", "version", *(F.col(f"c.{x}").alias(x) for x in fields))
         one = materialise(named.unionByName(changes.filter("doc_id is null").select("doc_id", "version", *fields)), "rollup-changes")
         put = one.filter("kind <> 'delete'").select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
