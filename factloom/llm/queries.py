@@ -156,7 +156,7 @@ WITH p AS (
 ), s0 AS (
   SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT m FROM g) AS m FROM h2 GROUP BY suffix
 ), sk AS (
-  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.5::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
     SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
            CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM s0)
 ), s AS (
@@ -164,7 +164,7 @@ WITH p AS (
 ), d0 AS (
   SELECT domain, suffix, d.n, d.x, m FROM (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h2 GROUP BY domain, suffix) d JOIN s USING (suffix)
 ), dk AS (
-  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.5::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
     SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
            CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM d0)
 ), d AS (
@@ -172,7 +172,7 @@ WITH p AS (
 ), hh AS (
   SELECT host, h2.n, h2.x, m FROM h2 JOIN d USING (domain)
 ), hk AS (
-  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.001::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
+  SELECT 1::DOUBLE / least(greatest(CASE WHEN c = 0 OR c IS NULL THEN 0.5::DOUBLE ELSE (a - b) / c END, 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM (
     SELECT CAST(sum(CAST((x - n * m) * (x - n * m) AS DECIMAL(28,9))) AS DOUBLE) AS a, CAST(sum(CAST(n * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS b,
            CAST(sum(CAST(n * (n - 1) * m * (1 - m) AS DECIMAL(28,9))) AS DOUBLE) AS c FROM hh)
 ), r AS (

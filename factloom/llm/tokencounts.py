@@ -56,9 +56,8 @@ def token_counts(docs: DataFrame, vocab_path: str, *, text_col: str = "text", ke
             n = pa.array([count_tokens(x.as_py(), enc) for x in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], [*batch.schema.names[1:], as_col])
 
-    src = docs.select(F.col(text_col).alias("text"), *keep)
-    schema = src.drop("text").schema if text_col not in keep else docs.select(*keep).schema
-    return src.mapInArrow(run, schema.add(as_col, "long"))
+    src = docs.select(F.col(text_col).alias("the text that is counted"), *keep)
+    return src.mapInArrow(run, docs.select(*keep).schema.add(as_col, "long"))
 
 
 class Rollups:

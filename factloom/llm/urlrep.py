@@ -76,7 +76,7 @@ def _strength(level: DataFrame) -> float:
         F.sum((n * m * (1 - m)).cast(exact)).cast("double"),
         F.sum((n * (n - 1) * m * (1 - m)).cast(exact)).cast("double"),
     ).first()
-    rho = (a - b) / c if c else RHO_LEAST
+    rho = (a - b) / c if c else RHO_MOST  # nothing to fit: a weak prior
     return 1 / min(max(rho, RHO_LEAST), RHO_MOST) - 1
 
 
