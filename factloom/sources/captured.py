@@ -35,15 +35,14 @@ def test_summary(results: DataFrame) -> DataFrame:
 
 
 def coverage_lines(reports: DataFrame, column: str = "xml") -> DataFrame:
-    """Lines of coverage reports with their hits (class, line, hits)."""
-    def of(attribute: str) -> Column:
-        return F.xpath(column, F.lit(attribute))
-
-    classes = reports.select(column, F.explode(of("//class/@name")).alias("class")).distinct()
-    lines = F.expr(f"xpath({column}, concat('//class[@name=\"', class, '\"]/lines/line/@number'))")
-    hits = F.expr(f"xpath({column}, concat('//class[@name=\"', class, '\"]/lines/line/@hits'))")
-    each = classes.select("class", F.inline(F.arrays_zip(lines.alias("n"), hits.alias("h"))))
-    return each.toDF("class", "line", "hits").select("class", F.col("line").cast("int").alias("line"), F.col("hits").cast("long").alias("hits"))
+    """Lines of coverage reports with their hits, each once (class, line, hits)."""
+    part = reports.select(F.explode(F.slice(F.split(column, r"<class\s"), 2, 1 << 30)).alias("part"))
+
+    def each(attribute: str) -> Column:
+        return F.regexp_extract_all("part", F.lit(rf'<line\s[^>]*?\b{attribute}="(\d+)"'), F.lit(1))
+
+    lines = part.select(F.regexp_extract("part", r'\bname="([^"]*)"', 1).alias("class"), F.inline(F.arrays_zip(each("number").alias("n"), each("hits").alias("h"))))
+    return lines.toDF("class", "line", "hits").select("class", F.col("line").cast("int").alias("line"), F.col("hits").cast("long").alias("hits")).distinct()
 
 
 _VULNERABLE = "projects array<struct<path:string,frameworks:array<struct<framework:string,topLevelPackages:array<struct<id:string,resolvedVersion:string,vulnerabilities:array<struct<severity:string,advisoryurl:string>>>>,transitivePackages:array<struct<id:string,resolvedVersion:string,vulnerabilities:array<struct<severity:string,advisoryurl:string>>>>>>>>"
