@@ -103,9 +103,11 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train_r
     return Model(languages, table)
 
 
-def _argmax(scores: np.ndarray) -> tuple[int, float]:
+def _argmax(scores: np.ndarray) -> tuple[int, float, float]:
+    """The best, its posterior, and that of any of the languages (all but the last)."""
     p = np.exp(scores - scores.max())
-    return int(p.argmax()), float(p.max() / p.sum())
+    p /= p.sum()
+    return int(p.argmax()), float(p.max()), float(p[:-1].sum())
 
 
 def identify(
@@ -129,8 +131,9 @@ def identify(
     ``declared``, ``host`` and ``suffix`` are columns of ``docs``; a missing or
     null one is no evidence.  ``lang`` is the language with the largest
     posterior, or ``und``: for a null or empty text, one without letters, and
-    one that fits no language.  ``accepted``: a language was found, with a
-    posterior of at least ``min_posterior``.  Repeated rows each get a row.
+    one that fits no language.  ``accepted``: the text is in some known
+    language with a posterior of ``min_posterior`` or more, be it in which of
+    them; a text in two languages is accepted.  Repeated rows each get a row.
     With ``keep_columns`` the result is instead the accepted rows of ``docs``,
     with their own columns only.
     """
@@ -149,7 +152,7 @@ def identify(
             best = []
             for text in batch.column(0).to_pylist():
                 s = m.score(text)
-                k, p = (len(known), 0.0) if s is None else _argmax(s)
+                k, p, _ = (len(known), 0.0, 0.0) if s is None else _argmax(s)
                 best.append(k if k < len(known) and p >= 0.9 else None)
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), *batch.columns[1:]], ["best", "said", "host", "suffix"])
 
@@ -172,10 +175,10 @@ def identify(
     by_host = counted.filter("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), F.array(*sums).alias("host_n"))
     priors = by_host.join(by_suffix, "suffix", "left").select(F.col("host").alias("prior_host"), "host_n", "suffix_n")
 
-    def fused(text, said, suffix, host_n, suffix_n, m: Model) -> tuple[str, float]:
+    def fused(text, said, suffix, host_n, suffix_n, m: Model) -> tuple[str, float, float]:
         s = m.score(text)
         if s is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         prior = every
         extra = np.zeros(len(known))
         if suffix in SUFFIX_LANGUAGE and SUFFIX_LANGUAGE[suffix] in known:
@@ -187,8 +190,8 @@ def identify(
         s = s + np.log(np.append(prior * 0.99, 0.01))
         if said is not None:
             s = s + said_log[:, column[said]]
-        k, p = _argmax(s)
-        return m.languages[k], p
+        k, p, some = _argmax(s)
+        return m.languages[k], p, some
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("text"), *marks)
     rows = rows.join(priors, F.col("host") == F.col("prior_host"), "left").select("doc", "text", "said", "suffix", "host_n", "suffix_n")
@@ -199,13 +202,13 @@ def identify(
         for batch in batches:
             evidence = (c.to_pylist() for c in batch.columns[1:])
             found = [fused(*e, m) for e in zip(*evidence)]
-            ok = pa.array([x != UNKNOWN and p >= min_posterior for x, p in found], pa.bool_())
+            ok = pa.array([x != UNKNOWN and some >= min_posterior for x, _, some in found], pa.bool_())
             fields = batch.column(0).flatten()
             if keep_columns:
                 yield pa.RecordBatch.from_arrays(fields, names).filter(ok)
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [fields[at_id].cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([round(p, 6) for _, p in found], pa.float64()), ok], ["doc_id", "lang", "posterior", "accepted"]
+                    [fields[at_id].cast(pa.int64()), pa.array([x for x, _, _ in found], pa.string()), pa.array([round(p, 6) for _, p, _ in found], pa.float64()), ok], ["doc_id", "lang", "posterior", "accepted"]
                 )
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]) if keep_columns else "doc_id long, lang string, posterior double, accepted boolean"

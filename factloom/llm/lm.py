@@ -138,25 +138,29 @@ class Gru:
             d[row, cls] -= 1
             grads["wc"], grads["bc"], dh = d.T @ states, d.sum(axis=0), d @ self.wc
             grads["wo"], grads["bo"] = np.zeros_like(self.wo), np.zeros_like(self.bo)
+        # Rows of a class side by side, so that each class works on slices.
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.cuts)))
-        for k in range(len(self.cuts) - 1):
-            lo, hi = int(self.cuts[k]), int(self.cuts[k + 1])
-            at = order[bounds[k] : bounds[k + 1]]
-            if hi - lo < 2 or not len(at):
+        bounds = np.searchsorted(cls[order], np.arange(len(self.cuts))).tolist()
+        cuts, by_class, inside = self.cuts.tolist(), states[order], targets[order] - self.cuts[cls[order]]
+        inner_logs, inner_dh = np.zeros(len(order), np.float64), None if grads is None else np.zeros_like(by_class)
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            lo, hi = cuts[k], cuts[k + 1]
+            if hi - lo < 2 or i == j:
                 continue
-            s, mine = states[at], np.arange(len(at))
-            inner = _bounded(s @ self.wo[lo:hi].T + self.bo[lo:hi])
-            e = np.exp(inner)
+            s, mine, at = by_class[i:j], row[: j - i], inside[i:j]
+            e = _bounded(s @ self.wo[lo:hi].T + self.bo[lo:hi])
+            picked = e[mine, at]
+            np.exp(e, out=e)
             total = e @ np.ones(hi - lo, e.dtype)
-            out[at] += inner[mine, targets[at] - lo] - np.log(total)
+            inner_logs[i:j] = picked - np.log(total)
             if grads is not None:
-                d = e
-                d /= total[:, None]
-                d[mine, targets[at] - lo] -= 1
-                grads["wo"][lo:hi], grads["bo"][lo:hi] = d.T @ s, d.sum(axis=0)
-                dh[at] += d @ self.wo[lo:hi]
+                e /= total[:, None]
+                e[mine, at] -= 1
+                grads["wo"][lo:hi], grads["bo"][lo:hi] = e.T @ s, np.ones(j - i, e.dtype) @ e
+                inner_dh[i:j] = e @ self.wo[lo:hi]
+        out[order] += inner_logs
         if grads is not None:
+            dh[order] += inner_dh
             grads["h"] = dh
         return out
 
@@ -167,20 +171,23 @@ class Gru:
         g: dict = {}
         loss = -float(self.log_probability(states.reshape(-1, size), targets.ravel(), g).sum())
         dhs = g.pop("h").reshape(states.shape)
-        du, dx = np.zeros_like(self.u), np.empty((*ids.shape, 3 * size), np.float32)
-        dh = np.zeros_like(h)
+        before, z, r, n, gn = (np.stack(x) for x in zip(*kept))
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
+        dx, dg = np.empty((*ids.shape, 3 * size), states.dtype), np.empty((*ids.shape, 3 * size), states.dtype)
+        dh, back, restart = np.zeros_like(h), self.u.T.copy(), fresh.any(axis=1).tolist()
         for t in range(len(ids) - 1, -1, -1):
-            before, z, r, n, gn = kept[t]
-            dh = dh + dhs[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :size] = dh * (before - n) * z * (1 - z)
-            dx[t, :, size : 2 * size] = dn * gn * r * (1 - r)
+            dh += dhs[t]
+            dn = dh * to_n[t]
+            np.multiply(dh, to_z[t], out=dx[t, :, :size])
+            np.multiply(dn, to_r[t], out=dx[t, :, size : 2 * size])
             dx[t, :, 2 * size :] = dn
-            dg = dx[t].copy()
-            dg[:, 2 * size :] *= r
-            du += before.T @ dg
-            dh = dh * z + dg @ self.u.T
-            dh[fresh[t]] = 0
+            dg[t, :, : 2 * size] = dx[t, :, : 2 * size]
+            np.multiply(dn, r[t], out=dg[t, :, 2 * size :])
+            dh *= z[t]
+            dh += dg[t] @ back
+            if restart[t]:
+                dh[fresh[t]] = 0
+        du = before.reshape(-1, size).T @ dg.reshape(-1, 3 * size)
         flat_ids = ids.ravel()
         order = np.argsort(flat_ids, kind="stable")
         rows, first = np.unique(flat_ids[order], return_index=True)
@@ -327,33 +334,29 @@ def _train(texts: DataFrame, scorer: Scorer) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         gru = Gru(s.gru.cuts, s.shape)
+        place = {w: r + 1 for w, r in s.rank.items() if r < s.shape.vocabulary - 1}.get
         squares = {x: np.full(getattr(gru, x).shape, 1e-4, np.float32) for x in Gru.NAMES}
-        pairs = np.zeros(SYMBOLS * SYMBOLS)
-        seen, end = 0, np.array([s.rank[END] + 1])
+        seen, end = 0, [s.rank[END] + 1]
 
         def learn(stream: list[np.ndarray]) -> int:
             """One pass over texts, each a start symbol and its words; how many tokens those are."""
             starts = np.zeros(sum(map(len, stream)) + 1, bool)
             starts[np.cumsum([0, *map(len, stream)])] = True
-            gru.train(np.concatenate([*stream, end]), starts, squares)
+            gru.train(np.concatenate([*stream, np.array(end)]), starts, squares)
             return len(starts) - 1
 
         stream, size = [], 0
         for batch in batches:
             for text in batch.column(0):
                 words = tokens(text.as_py())
-                ranks = s.ranks(words)
-                rare = (ranks < 0) | (s.log_count[ranks] < 0.5)  # twice at most
-                code, _ = _spelling([words[i] for i in np.flatnonzero(rare).tolist()])
-                np.add.at(pairs, code, 1)
-                stream.append(np.concatenate([end, s.ids(ranks)]).astype(np.int32))
+                stream.append(np.fromiter(chain(end, map(place, words, repeat(0))), np.int32, len(words) + 1))
                 size += len(words) + 1
                 if size >= s.shape.chunk_tokens:
                     seen += learn(stream)
                     stream, size = [], 0
         seen += learn(stream) if stream else 0
         if seen:
-            values = np.concatenate([gru.flat().astype(np.float64) * seen, pairs])
+            values = gru.flat().astype(np.float64) * seen
             values = np.pad(values, (0, -len(values) % BLOCK)).reshape(-1, BLOCK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(values))), pa.array(np.full(len(values), seen)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), BLOCK).cast(pa.list_(pa.float64()))], ["block", "seen", "v"]
@@ -369,7 +372,29 @@ def _train(texts: DataFrame, scorer: Scorer) -> None:
         parts.sort(key=lambda r: r["block"])
         flat = np.concatenate([np.array(r["v"]) for r in parts])
         scorer.gru.load(flat[:size] / parts[0]["seen"])
-        scorer.set_spelling(flat[size : size + SYMBOLS * SYMBOLS])
+
+
+def _learn_spelling(counts: DataFrame, scorer: Scorer) -> None:
+    """Count neighbouring bytes of the rare words: those beyond the head, and those that occur twice at most."""
+    shared = counts.sparkSession.sparkContext.broadcast((scorer.rank, scorer.log_count < 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, rare = shared.value
+        pairs = np.zeros(SYMBOLS * SYMBOLS)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+            pick = np.flatnonzero((at < 0) | rare[at])
+            code, first = _spelling([words[i] for i in pick.tolist()])
+            if len(code):
+                pairs += np.bincount(code, np.repeat(n[pick], np.diff(np.append(first, len(code)))), len(pairs))
+        code = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(pairs[code].astype(np.int64))], ["code", "n"])
+
+    pairs = np.zeros(SYMBOLS * SYMBOLS)
+    for r in counts.filter(F.col("word") != F.lit(END)).select("word", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # pairs of bytes at most
+        pairs[r["code"]] = r["n"]
+    scorer.set_spelling(pairs)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), head_words: int = 131_072, head_bytes: int = 256) -> DataFrame:
@@ -398,6 +423,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
     head = [(END, ends[0]["n"] if ends else 0)] + [(bytes(r["word"]), r["n"]) for r in top]
     scorer = Scorer(head, shape, n - sum(c for _, c in head), once)
+    _learn_spelling(counts, scorer)
     _train(training, scorer)
     shared = spark.sparkContext.broadcast(scorer)
 
@@ -415,8 +441,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         def scored() -> Iterator[pa.RecordBatch]:
             done = s.score(texts, unknown)
             for at in range(0, len(rows), 4096):
-                part = [(*r[:-1], x, r[-1]) for r, x in zip(rows[at : at + 4096], done[at : at + 4096])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+                *cols, tails = zip(*rows[at : at + 4096])
+                lists = pa.StructArray.from_arrays([pa.array(chain.from_iterable(tails), pa.binary()), pa.array(chain.from_iterable(t.values() for t in tails), pa.int64())], ["word", "k"])
+                tail = pa.ListArray.from_arrays(np.cumsum([0, *map(len, tails)]).astype(np.int32), lists)
+                flat = [pa.array(c, f.type) for c, f in zip((*cols, done[at : at + 4096]), arrow)]
+                yield pa.RecordBatch.from_arrays([*flat, tail.cast(arrow[-1].type)], schema=arrow)
 
         for batch in batches:
             for key, doc, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
@@ -427,7 +456,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                 ranks = np.concatenate([ranks, end])
                 inside = ranks[ranks >= 0]
                 unknown.append(s.unknown(inside, beyond))
-                rows.append((key, doc, held, len(ranks), int(s.known[inside].sum()), float(s.log_count[inside].sum()), [{"word": w, "k": k} for w, k in tail.items()]))
+                rows.append((key, doc, held, len(ranks), int(s.known[inside].sum()), float(s.log_count[inside].sum()), tail))
                 texts.append(ranks.astype(np.int32))
                 size += len(ranks)
                 if size >= s.shape.chunk_tokens:
