@@ -7,7 +7,7 @@ than once keeps its first place, the one of the smallest document and
 position, and sentences covered by any other of its places go.
 
 Within a document later places are known at once, and one row for each hash
-and document goes on.  Documents are counted by partial aggregation, so a
+and document goes on, with those.  Documents are counted by partial aggregation, so a
 passage in a third of all documents is a few rows by the time they meet.  The
 repeated hashes are written; the join that brings them back to their places
 then is one that adaptive execution splits.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,18 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return list(zip([0, *cuts[:-1]], cuts))
 
 
-def runs(text: str | None, min_sentences: int = 2, min_words: int = 20) -> list[tuple[int, int, int, int]]:
-    """Runs (first sentence, last sentence, hash, hash): shortest ones from and to each sentence that are long enough."""
-    parts = [text[a:b].lower().split() for a, b in sentences(text)]
-    n = len(parts)
+def runs(text: str | None, min_sentences: int = 2, min_words: int = 20) -> list[tuple[int, int, bytes]]:
+    """Runs (first sentence, last sentence, digest), in order: shortest ones from and to each sentence that are long enough."""
+    cut = sentences(text)
+    n = len(cut)
     if n < min_sentences:
         return []
-    before = [0]
-    for p in parts:
-        before.append(before[-1] + len(p))
-    norm = [" ".join(p) for p in parts]
+    low = text.lower()
+    parts = [low[a:b].split() for a, b in cut] if len(low) == len(text) else [text[a:b].lower().split() for a, b in cut]
+    before = [0, *accumulate(map(len, parts))]
+    norm = [" ".join(p).encode("utf-8", "replace") for p in parts]
+    starts = [0, *accumulate(len(x) + 1 if x else 0 for x in norm)]
+    whole = b" ".join(x for x in norm if x)
     found = set()
     j = min_sentences - 1
     for i in range(n):
@@ -88,54 +91,50 @@ def runs(text: str | None, min_sentences: int = 2, min_words: int = 20) -> list[
         if i < 0:
             break
         found.add((i, j))
-    out = []
-    for i, j in found:
-        h = xxhash.xxh3_128_intdigest(" ".join(x for x in norm[i : j + 1] if x).encode("utf-8", "replace"))
-        out.append((i, j, h >> 64, h & 0xFFFFFFFFFFFFFFFF))
-    return out
+    digest = xxhash.xxh3_128_digest
+    return [(i, j, digest(whole[starts[i] : starts[j + 1] - 1])) for i, j in sorted(found)]
 
 
-def later_runs(text: str | None, parts: list[tuple[int, int]], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
-    """Runs that repeat an earlier one of the same text."""
-    # Without two equal sentences there is none, and most texts have none of some length.
-    if len({text[a:b].lower().strip() for a, b in parts}) == len(parts):
-        return []
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for i, j, *h in sorted(runs(text, min_sentences, min_words)):
-        if tuple(h) in seen:
-            out.append((i, j))
-        seen.add(tuple(h))
-    return out
+def first_and_later(text: str | None, min_sentences: int, min_words: int) -> dict[bytes, list[tuple[int, int]]]:
+    """The places of each digest in a text, in order."""
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for i, j, h in runs(text, min_sentences, min_words):
+        places.setdefault(h, []).append((i, j))
+    return places
 
 
 def span_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, first, last, h1, h2) of the first place in each document of every run of sentences."""
+    """Rows (doc_id, first, last, h1, h2, later): every run of sentences at its first place in each document, and its later ones there, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids = batch.column(0).slice(at, 256).to_pylist()
-                each = [{r[2:]: r for r in sorted(runs(x.as_py(), min_sentences, min_words), reverse=True)}.values() for x in batch.column(1).slice(at, 256)]
-                flat = [r for rs in each for r in rs]
-                doc = np.repeat(np.array(ids, np.int64), [len(rs) for rs in each])
-                i, j, a, b = zip(*flat) if flat else ((), (), (), ())
+                each = [first_and_later(x.as_py(), min_sentences, min_words) for x in batch.column(1).slice(at, 256)]
+                doc = np.repeat(np.array(ids, np.int64), [len(p) for p in each])
+                place = [x for p in each for x in p.values()]
+                first = np.array([x[0] for x in place], np.int32).reshape(-1, 2)
+                later = pa.array([[{"first": i, "last": j} for i, j in x[1:]] if len(x) > 1 else None for x in place], kind)
+                h = np.frombuffer(b"".join(d for p in each for d in p), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))],
-                    ["doc_id", "first", "last", "h1", "h2"],
+                    [pa.array(doc), pa.array(first[:, 0].copy()), pa.array(first[:, 1].copy()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), later], ["doc_id", "first", "last", "h1", "h2", "later"]
                 )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    return src.mapInArrow(run, "doc_id long, first int, last int, h1 long, h2 long")
+    return src.mapInArrow(run, "doc_id long, first int, last int, h1 long, h2 long, later array<struct<first:int,last:int>>")
 
 
 def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, spans): runs of sentences that an earlier document has; each a struct (first, last)."""
+    """Rows (doc_id, spans): runs of sentences that have an earlier place; each a struct (first, last)."""
     spans = span_hashes(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
     repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).filter("kept <> other")
     repeated = materialise(repeated.select("h1", "h2", "kept"), "spans-repeated")
-    later = spans.join(repeated, ["h1", "h2"]).filter("doc_id <> kept")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    own = F.when(F.col("doc_id") != F.col("kept"), F.array(F.struct("first", "last")))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    gone = F.concat(F.coalesce(own, none), F.coalesce("later", none))
+    each = spans.join(repeated, ["h1", "h2"], "left").select("doc_id", gone.alias("gone")).filter(F.size("gone") > 0)
+    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("spans"))
 
 
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
@@ -143,8 +142,8 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     ``text`` is without the sentences that a repeated span covers; what is
     left is as it was, character by character.  Null and empty texts have no
-    sentences and stay; a document with a null id is compared with itself
-    only.  Rows that repeat a doc_id are one document: none of them is the
+    sentences and stay; so does a document with a null id, whose spans count
+    nowhere.  Rows that repeat a doc_id are one document: none of them is the
     other's copy.
     """
     gone = covered(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
@@ -158,9 +157,8 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 text = x.as_py()
                 parts = sentences(text)
                 keep = [True] * len(parts)
-                gone = [(s["first"], s["last"]) for s in spans.as_py() or ()]
-                for i, j in gone + later_runs(text, parts, min_sentences, min_words):
-                    keep[i : j + 1] = [False] * (j + 1 - i)
+                for s in spans.as_py() or ():
+                    keep[s["first"] : s["last"] + 1] = [False] * (s["last"] + 1 - s["first"])
                 out.append(text if all(keep) else "".join(text[a:b] for k, (a, b) in zip(keep, parts) if k))
                 total.append(len(parts))
                 removed.append(len(parts) - sum(keep))
