@@ -10,8 +10,9 @@ The model is a gated recurrent unit.  Each task trains a copy, from the same
 start, over all training documents of its partition, by backpropagation
 truncated to a window; the copies are averaged, weighted by their tokens.
 The output is a softmax over classes and one within the word's class.  A word
-outside the vocabulary is the unknown word: by its share of the counts if the
-head has it, else spelt by a byte-bigram model.
+outside the vocabulary is the unknown word: by its share of the counts if it
+is in the training documents, in the head or beyond it, else spelt by a
+byte-bigram model.
 
 A document is scored from its first word to its end: the state goes from
 window to window, however long the text.  Documents run side by side in the
@@ -238,12 +239,12 @@ class Scorer:
         # The unknown word comes first: it has what the vocabulary leaves.
         self.gru = Gru(classes_of(np.concatenate([[rest + sum(c for _, c in head[shape.vocabulary - 1 :])], counts]), shape.classes), shape)
         self.spell = np.full(SYMBOLS * SYMBOLS, -np.log(SYMBOLS))
-        # What an unknown word is: one of the head by its count, or one to be spelt.
+        # What an unknown word is: one of the training documents by its count, or a new one to be spelt.
         beyond = np.array([c for _, c in head], np.float64)
-        unknown = beyond[shape.vocabulary - 1 :].sum() + rest + once + 1.0
-        self.log_share = np.log(np.maximum(beyond, 0.5) / unknown)
+        self.unknown_count = float(beyond[shape.vocabulary - 1 :].sum() + rest + once + 1.0)
+        self.log_share = np.log(np.maximum(beyond, 0.5) / self.unknown_count)
         self.log_share[: shape.vocabulary - 1] = 0.0
-        self.log_tail = float(np.log((rest + once + 1.0) / unknown))
+        self.log_new = float(np.log((once + 1.0) / self.unknown_count))
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
@@ -256,9 +257,15 @@ class Scorer:
         self.spell = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
 
     def unknown(self, inside: np.ndarray, beyond: list[bytes]) -> float:
-        """Log-probability of a text's unknown words, given that they are unknown: ranks in the head, and words beyond it."""
+        """Log-probability of a text's unknown words, given that they are unknown: ranks in the head, and words beyond it as if new."""
         pairs, _ = _spelling(beyond)
-        return float(self.log_share[inside].sum() + self.spell[pairs].sum() + len(beyond) * self.log_tail)
+        return float(self.log_share[inside].sum() + self.spell[pairs].sum() + len(beyond) * self.log_new)
+
+    def gains(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """What words beyond the head have more, in log10, by their counts than as new ones."""
+        pairs, first = _spelling(words)
+        spelt = np.add.reduceat(self.spell[pairs], first) if words else np.zeros(0)
+        return (np.log(counts / self.unknown_count) - self.log_new - spelt) / LN10
 
     def score(self, texts: list[np.ndarray], unknown: list[float]) -> list[float]:
         """Log10-probability of each text, given its ranks (with the end) and what its unknown words have."""
@@ -466,9 +473,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     keyed = src.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
     read = materialise(keyed.mapInArrow(run, kind), "lm-read")
-    # Words beyond the head meet their counts here; a word not in training has none.
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            pick = np.flatnonzero(s.ranks(words) < 0)
+            c = batch.column(1).to_numpy()[pick]
+            words = [words[i] for i in pick.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(s.gains(words, c))], ["word", "c", "gain"])
+
+    # Words beyond the head meet their counts here; a word not in training has none and stays a new one.
     tail = read.filter(F.size("tail") > 0).select("key", F.inline("tail"))
-    met = tail.join(counts.withColumnRenamed("n", "c"), "word").groupBy("key").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_logs"))
+    met = tail.join(counts.select("word", "n").mapInArrow(rest, "word binary, c long, gain double"), "word").groupBy("key").agg(
+        F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_logs"), F.sum(F.col("k") * F.col("gain")).alias("tail_gain")
+    )
     whole = read.drop("tail").join(met, "key", "left")
     logs = F.col("head_logs") + F.coalesce("tail_logs", F.lit(0.0))
     return whole.select(
@@ -478,5 +496,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("tail_gain", F.lit(0.0))).alias("score"),
     )

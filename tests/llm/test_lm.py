@@ -78,6 +78,18 @@ def test_score_against_plain_counts(docs, texts):
         assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
 
 
+def test_words_beyond_the_head_are_scored_by_their_counts(spark):
+    """The size of the head changes no score of a text whose words are all in the training documents."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(400)], k=80))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    small, whole = ({r["doc_id"]: r for r in lm.score(df, shape=SMALL, head_words=n).collect()} for n in (120, 100_000))
+    of = [i for i, r in whole.items() if not r["held_out"]]
+    assert len(of) > 80
+    assert [small[i]["score"] for i in of] == pytest.approx([whole[i]["score"] for i in of], rel=1e-5)
+
+
 def test_learns_what_counts_cannot(spark):
     """Held-out texts in which each word follows from the one before."""
     rng = random.Random(0)
