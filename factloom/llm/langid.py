@@ -74,27 +74,28 @@ def html_language(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"""(?is)<html[^>]*?\slang\s*=\s*["']?([A-Za-z_-]+)""", 1), F.lit(""))
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train_rows: int = 4000, most_languages: int = 64, seed: int = 7) -> Model:
-    """Trigram models of labelled rows.
+def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train_rows: int = 4000, seed: int = 7) -> Model:
+    """Trigram models of labelled rows, one for every language that any row declares.
 
-    About ``train_rows`` rows are taken, by a hash of the id, with their whole
-    texts; of the languages they declare, the ``most_languages`` commonest.
+    Of each language about ``train_rows`` rows are taken, by a hash of the id,
+    with their whole texts; all rows of a language that has no more.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), declared_code(F.col(lang_col)).alias("lang")).filter("lang is not null and text is not null")
-    n = src.count()
-    part = src.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, n))))
-    top = part.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    languages = sorted(r[0] for r in top.collect())
+    sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}  # codes of two or three letters: a bounded number
+    languages = sorted(sizes)
+    shares = docs.sparkSession.createDataFrame([(x, -(-1_000_000_000 * train_rows // max(train_rows, n))) for x, n in sizes.items()], "lang string, share long")
+    part = src.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000_000)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang in place:
-                    counts[place[lang]] += np.bincount(grams(text), minlength=BUCKETS)
-        lang, gram = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(counts[lang, gram])], ["lang", "gram", "n"])
+                k, found = place[lang], np.bincount(grams(text), minlength=BUCKETS)
+                counts[k] = counts[k] + found if k in counts else found
+        for lang, mine in counts.items():
+            gram = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang)), pa.array(gram), pa.array(mine[gram])], ["lang", "gram", "n"])
 
     table = np.zeros((len(languages), BUCKETS))
     found = part.select("text", "lang").mapInArrow(run, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -170,11 +171,21 @@ def identify(
         every[r[0]] += r[1]
     every /= max(every.sum(), 1.0)
 
-    sums = [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(len(known))]
-    by_suffix = counted.filter("suffix is not null").groupBy("suffix").agg(F.array(*sums).alias("suffix_n"))
-    by_host = counted.filter("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), F.array(*sums).alias("host_n"))
+    # Counts of each language, as pairs: a host has few of the languages.
+    pairs = F.collect_list(F.array("best", "n"))
+    by_suffix = counted.filter("suffix is not null").groupBy("suffix", F.col("best").cast("long").alias("best")).agg(F.sum("n").alias("n")).groupBy("suffix").agg(pairs.alias("suffix_n"))
+    by_host = (
+        counted.filter("host is not null").groupBy("host", F.col("best").cast("long").alias("best")).agg(F.max("suffix").alias("suffix"), F.sum("n").alias("n"))
+        .groupBy("host").agg(F.max("suffix").alias("suffix"), pairs.alias("host_n"))
+    )
     priors = by_host.join(by_suffix, "suffix", "left").select(F.col("host").alias("prior_host"), "host_n", "suffix_n")
 
+    def dense(found) -> np.ndarray:
+        out = np.zeros(len(known))
+        for k, n in found:
+            out[k] = n
+        return out
+
     def fused(text, said, suffix, host_n, suffix_n, m: Model) -> tuple[str, float, float]:
         s = m.score(text)
         if s is None:
@@ -183,10 +194,11 @@ def identify(
         extra = np.zeros(len(known))
         if suffix in SUFFIX_LANGUAGE and SUFFIX_LANGUAGE[suffix] in known:
             extra[known.index(SUFFIX_LANGUAGE[suffix])] = suffix_weight / 2
-        at = extra + (np.array(suffix_n) if suffix_n is not None else 0.0)
+        at = extra + (dense(suffix_n) if suffix_n is not None else 0.0)
         prior = (at + suffix_weight * prior) / (at.sum() + suffix_weight)
         if host_n is not None:
-            prior = (np.array(host_n) + host_weight * prior) / (sum(host_n) + host_weight)
+            own = dense(host_n)
+            prior = (own + host_weight * prior) / (own.sum() + host_weight)
         s = s + np.log(np.append(prior * 0.99, 0.01))
         if said is not None:
             s = s + said_log[:, column[said]]

@@ -37,6 +37,19 @@ def test_identify(spark):
     assert kept.count() == len(rows) - 4
 
 
+def test_rare_languages_have_a_model(spark):
+    """However few rows declare a language, and however many languages there are, each gets a model and its texts stay."""
+    rng = random.Random(4)
+    rows = [(i, text(rng, "aa", 30), "aa") for i in range(2000)]
+    codes = [f"{a}{b}" for a in "pqrstuvwxy" for b in "pqrstuvw"]
+    for k, code in enumerate(codes):  # each in a script of its own
+        letters = [chr(0x4E00 + 200 * k + j) for j in range(40)]
+        rows += [(5000 + 3 * k + j, " ".join("".join(rng.choices(letters, k=4)) for _ in range(40)), code) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in langid.identify(df, declared=F.col("lang"), train_rows=50).collect()}
+    assert all(got[i]["accepted"] and got[i]["lang"] == lang for i, _, lang in rows)
+
+
 def test_evidence_decides_where_the_text_cannot(spark):
     """A text as likely in two languages goes by what is declared, else by its host, else by its suffix."""
     flat = np.zeros((2, langid.BUCKETS))
