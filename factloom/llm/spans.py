@@ -1,6 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences.  Every run of several consecutive sentences
+A text is cut into sentences, and these into pieces of at most ``WINDOW``
+words, at places that neighbouring words pick; both count as sentences.  Every run of several consecutive sentences
 that just reaches ``min_words`` words, counted forwards from each sentence
 and backwards from each, is hashed with 128 bits.  A hash that occurs more
 than once keeps its first place, the one of the smallest document and
@@ -16,7 +17,6 @@ then is one that adaptive execution splits.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,34 +31,50 @@ from factloom.llm._shared import materialise
 #: A sentence ends after these marks, or at the end of a line.
 _END = re.compile(r"[.!?。！？]+[\s\"')\]]*|\n+\s*")
 
+#: Of any so many words in a row within a sentence, the one with the smallest hash ends a piece.
+WINDOW = 12
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+#: What a word's letters count for by their place in it.
+_WEIGHT = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_WORD = re.compile(r"\S+\s*")
-#: Words of a sentence before it is cut, and words between such cuts at least.
-LONGEST, SHORTEST = 24, 6
 
+def _cuts_within(text: str, cuts: list[int]) -> list[int]:
+    """Ends of sentences and cuts within them.
 
-def _pieces(text: str, start: int, end: int) -> list[int]:
-    """Cuts within a long sentence, after words that their own hash picks, so that copies are cut alike."""
-    cuts, n = [], 0
-    for m in _WORD.finditer(text, start, end):
-        n += 1
-        if n >= LONGEST or n >= SHORTEST and zlib.crc32(m.group().strip().lower().encode("utf-8", "replace")) % 8 == 0:
-            cuts.append(m.end())
-            n = 0
-    return cuts if cuts and cuts[-1] == end else [*cuts, end]
+    A cut depends on the words of a window of one sentence alone, and each
+    window has one, so what two texts share is cut alike but for less than a
+    window at its ends, wherever it begins in a sentence.
+    """
+    code = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = ~_SPACE[np.minimum(code, 0x3001)]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    ends = np.array(cuts)
+    inner = ends[:-1]
+    first[inner] = solid[inner]
+    starts = np.flatnonzero(first)
+    if len(starts) < WINDOW:
+        return cuts
+    at = np.arange(len(code)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
+    h = np.add.reduceat(np.where(solid, (code + np.uint64(1)) * _WEIGHT[np.clip(at, 0, 63)], np.uint64(0)), starts)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    sentence = np.searchsorted(ends, starts, "right")
+    whole = np.flatnonzero(sentence[: len(starts) - WINDOW + 1] == sentence[WINDOW - 1 :])
+    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[whole, ::-1].argmin(axis=1)
+    after = np.unique(whole + WINDOW - least)
+    return np.union1d(ends, starts[after[after < len(starts)]]).tolist()
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Ranges of the sentences of a text, which together are the whole text; very long ones come in pieces."""
+    """Ranges of the sentences of a text, which together are the whole text; those of a window of words or more come in pieces."""
     if not text:
         return []
     cuts = [m.end() for m in _END.finditer(text)]
     if not cuts or cuts[-1] < len(text):
         cuts.append(len(text))
-    parts = list(zip([0, *cuts[:-1]], cuts))
-    if all(b - a <= 4 * LONGEST for a, b in parts):
-        return parts
-    cuts = [c for a, b in parts for c in (_pieces(text, a, b) if b - a > 4 * LONGEST and len(text[a:b].split()) > LONGEST else [b])]
+    if any(b - a >= 2 * WINDOW - 1 for a, b in zip([0, *cuts], cuts)):
+        cuts = _cuts_within(text, cuts)
     return list(zip([0, *cuts[:-1]], cuts))
 
 

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -54,5 +56,22 @@ def test_every_long_passage_is_found():
     assert hit == set(range(1, 9))
 
 
+def test_passages_inside_long_sentences_are_found():
+    """What two texts share for 51 words is mostly covered, wherever it begins and ends in their sentences."""
+    rng = random.Random(2)
+
+    def some(n, mark=""):
+        return " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(2, 8))) + (mark if rng.random() < 0.06 else "") for _ in range(n))
+
+    for k in range(300):
+        passage = some(51, "." if k % 2 else "")
+        a, b = (f"{some(rng.randint(0, 70))} {passage} {some(rng.randint(0, 70))}." for _ in range(2))
+        first = {r[2:] for r in spans.runs(a)}
+        hit = {x for i, j, *h in spans.runs(b) if tuple(h) in first for x in range(i, j + 1)}
+        at = b.index(passage)
+        covered = "".join(b[max(x, at) : max(min(y, at + len(passage)), at)] for n, (x, y) in enumerate(spans.sentences(b)) if n in hit)
+        assert len(covered.split()) >= 51 - 2 * spans.WINDOW
+
+
 def test_empty(none):
     assert spans.dedup_spans(none).count() == 0
