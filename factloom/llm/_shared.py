@@ -17,12 +17,19 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
+#: Rows of a batch that goes to or from Python: some megabytes of usual documents, where Spark's default is ten times as many.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for a Spark context.
+    """Send this package's code to the executors, once for a Spark context, and bound the batches that Python gets.
 
     The archive is made on the driver; Spark's own file server hands it out.
+    A session that sets its own number of rows for a batch keeps it.
     """
-    context = spark.sparkContext
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(context, "_corpus_code_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

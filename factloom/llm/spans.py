@@ -1,185 +1,339 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, and these into pieces of at most ``WINDOW``
-words, at places that neighbouring words pick; both count as sentences.  Every run of several consecutive sentences
-that just reaches ``min_words`` words, counted forwards from each sentence
-and backwards from each, is hashed with 128 bits.  A hash that occurs more
-than once keeps its first place, the one of the smallest document and
-position, and sentences covered by any other of its places go.
-
-Within a document later places are known at once, and one row for each hash
-and document goes on, with those.  Documents are counted by partial aggregation, so a
-passage in a third of all documents is a few rows by the time they meet.  The
-repeated hashes are written; the join that brings them back to their places
-then is one that adaptive execution splits.
+A text is cut into sentences, and those of ``WINDOW`` words or more into
+pieces, at places that neighbouring words pick; both count as sentences.
+Every run of several consecutive sentences that just reaches ``min_words``
+words, counted forwards from each sentence and backwards from each, is hashed
+with 128 bits.  A hash that occurs more than once keeps its first place, the
+one of the smallest document and position, and sentences covered by any other
+of its places go.
+
+Texts are read twice.  The first pass counts hashes; of those that occur more
+than once a Bloom filter of bounded size is made.  The second pass sends on
+the places that the filter lets through, and the join by whole hashes decides:
+the filter only saves rows, so a full one costs time and changes nothing.
+Hashes are counted by partial aggregation, so a passage in a third of all
+documents is a few rows by the time they meet, and the join is one that
+adaptive execution can split.  Later places within a document are known at
+once.  A document is its id and its text, so rows that share an id only are
+documents of their own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._shared import materialise
 
-#: A sentence ends after these marks, or at the end of a line.
-_END = re.compile(r"[.!?。！？]+[\s\"')\]]*|\n+\s*")
-
 #: Of any so many words in a row within a sentence, the one with the smallest hash ends a piece.
 WINDOW = 12
-_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
-#: What a word's letters count for by their place in it.
-_WEIGHT = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Marks that end a sentence, and what may follow them within it besides white space.
+MARKS, CLOSERS = ".!?。！？", "\"')]"
+_MARK, _CLOSER, _WHITE, _LINE = 1, 2, 3, 4
+_KIND = np.zeros(1 << 16, np.uint8)
+_KIND[[c for c in range(0xFFFF) if chr(c).isspace()]] = _WHITE
+_KIND[ord("\n")] = _LINE
+_KIND[[ord(c) for c in MARKS]] = _MARK
+_KIND[[ord(c) for c in CLOSERS]] = _CLOSER
+
+#: Characters of texts that are worked on together; a longer text is alone.
+AT_ONCE = 1 << 18
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+_MASK = (1 << 64) - 1
+#: Largest Bloom filter, in bits, and the words of 64 bits, as a power of two, that come to the driver in one piece.
+FILTER_BITS, _CHUNK = 1 << 27, 13
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n:
+            size = 1 << (n - 1).bit_length()
+            for k, base in enumerate(self.bases):
+                factors = np.full(size, base & _MASK, np.uint64)
+                factors[0] = 1
+                self.tables[k] = np.multiply.accumulate(factors)
+        return [t[:n] for t in self.tables]
+
+
+_CHARS, _FIRST, _SECOND = (_Powers(m) for m in _MULTIPLIERS)
+
+
+def _mixed(h: np.ndarray, multiplier: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(multiplier)
+    return h ^ (h >> np.uint64(29))
 
 
-def _cuts_within(text: str, cuts: list[int]) -> list[int]:
-    """Ends of sentences and cuts within them.
+def _sentence_cuts(kind: np.ndarray) -> np.ndarray:
+    """Places after marks and what follows them, and after line ends and white space; ``kind``: class of each character."""
+    at = np.flatnonzero(kind)
+    k, j = kind[at], np.arange(len(at))
+    if not len(at):
+        return at
+    begin = np.ones(len(at), bool)
+    begin[1:] = np.diff(at) != 1
+    mark, line, white = k == _MARK, k == _LINE, k >= _WHITE
+    # Odd: a mark, or a line end, came in this run of such characters (after the last closer, for line ends).
+    after_mark = np.maximum.accumulate(np.where(mark, 2 * j + 1, np.where(begin, 2 * j, -1))) & 1 == 1
+    after_line = np.maximum.accumulate(np.where(line, 2 * j + 1, np.where(begin | (k == _CLOSER), 2 * j, -1))) & 1 == 1
+    inside = after_mark | (white & after_line)
+    ends = inside.copy()
+    ends[:-1] &= begin[1:] | ~inside[1:] | (mark[1:] & ~mark[:-1])
+    return at[ends] + 1
 
-    A cut depends on the words of a window of one sentence alone, and each
-    window has one, so what two texts share is cut alike but for less than a
-    window at its ends, wherever it begins in a sentence.
+
+def _piece_ends(h: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Words whose hash is the smallest of a window that lies within one sentence."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def over(x: np.ndarray, f) -> np.ndarray:
+        two = f(x[:-1], x[1:])
+        four = f(two[:-2], two[2:])
+        eight = f(four[:-4], four[4:])
+        return f(eight[: len(x) - WINDOW + 1], four[8 : 8 + len(x) - WINDOW + 1])
+
+    low = over(h, np.minimum)
+    low[sentence[:n] != sentence[WINDOW - 1 :]] = 0
+    high = over(np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)]), np.maximum)
+    return np.flatnonzero((high == h) & (h > 0))
+
+
+class Cut:
+    """Texts cut into sentences: arrays over all their sentences, in order.
+
+    ``text``: which text; ``begin`` and ``end``: its words (of all texts);
+    ``left`` and ``right``: its characters in its text.  The sentences of a
+    text with words are together the whole text.
     """
-    code = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    solid = ~_SPACE[np.minimum(code, 0x3001)]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    ends = np.array(cuts)
-    inner = ends[:-1]
-    first[inner] = solid[inner]
-    starts = np.flatnonzero(first)
-    if len(starts) < WINDOW:
-        return cuts
-    at = np.arange(len(code)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
-    h = np.add.reduceat(np.where(solid, (code + np.uint64(1)) * _WEIGHT[np.clip(at, 0, 63)], np.uint64(0)), starts)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    sentence = np.searchsorted(ends, starts, "right")
-    whole = np.flatnonzero(sentence[: len(starts) - WINDOW + 1] == sentence[WINDOW - 1 :])
-    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[whole, ::-1].argmin(axis=1)
-    after = np.unique(whole + WINDOW - least)
-    return np.union1d(ends, starts[after[after < len(starts)]]).tolist()
-
-
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Ranges of the sentences of a text, which together are the whole text; those of a window of words or more come in pieces."""
-    if not text:
-        return []
-    cuts = [m.end() for m in _END.finditer(text)]
-    if not cuts or cuts[-1] < len(text):
-        cuts.append(len(text))
-    if any(b - a >= 2 * WINDOW - 1 for a, b in zip([0, *cuts], cuts)):
-        cuts = _cuts_within(text, cuts)
-    return list(zip([0, *cuts[:-1]], cuts))
-
-
-def runs(text: str | None, min_sentences: int = 2, min_words: int = 20) -> list[tuple[int, int, bytes]]:
-    """Runs (first sentence, last sentence, digest), in order: shortest ones from and to each sentence that are long enough."""
-    cut = sentences(text)
-    n = len(cut)
-    if n < min_sentences:
-        return []
-    low = text.lower()
-    parts = [low[a:b].split() for a, b in cut] if len(low) == len(text) else [text[a:b].lower().split() for a, b in cut]
-    before = [0, *accumulate(map(len, parts))]
-    norm = [" ".join(p).encode("utf-8", "replace") for p in parts]
-    starts = [0, *accumulate(len(x) + 1 if x else 0 for x in norm)]
-    whole = b" ".join(x for x in norm if x)
-    found = set()
-    j = min_sentences - 1
-    for i in range(n):
-        j = max(j, i + min_sentences - 1)
-        while j < n and before[j + 1] - before[i] < min_words:
-            j += 1
-        if j >= n:
-            break
-        found.add((i, j))
-    i = n - min_sentences
-    for j in range(n - 1, -1, -1):
-        i = min(i, j - min_sentences + 1)
-        while i >= 0 and before[j + 1] - before[i] < min_words:
-            i -= 1
-        if i < 0:
-            break
-        found.add((i, j))
-    digest = xxhash.xxh3_128_digest
-    return [(i, j, digest(whole[starts[i] : starts[j + 1] - 1])) for i, j in sorted(found)]
-
-
-def first_and_later(text: str | None, min_sentences: int, min_words: int) -> dict[bytes, list[tuple[int, int]]]:
-    """The places of each digest in a text, in order."""
-    places: dict[bytes, list[tuple[int, int]]] = {}
-    for i, j, h in runs(text, min_sentences, min_words):
-        places.setdefault(h, []).append((i, j))
-    return places
-
-
-def span_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, first, last, h1, h2, later): every run of sentences at its first place in each document, and its later ones there, if any."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\0".join(x.replace("İ", "i") for x in texts).lower() + "\0"
+        try:
+            code = np.frombuffer(joined.encode("latin-1"), np.uint8)
+            kind = _KIND[:256][code]
+        except UnicodeEncodeError:
+            code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            kind = _KIND[np.minimum(code, 0xFFFF)]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        stop = np.cumsum(sizes + 1) - 1
+        start = stop - sizes
+        cuts = _sentence_cuts(kind)
+        white = np.flatnonzero(kind >= _WHITE)
+        solid = kind < _WHITE
+        solid[stop] = False
+        first = np.zeros(len(code) + 1, bool)
+        first[white + 1] = first[start] = first[cuts] = True
+        words = np.flatnonzero(first[:-1] & solid)
+        power, inverse = _CHARS(len(code))
+        v = (code.astype(np.uint64) + np.uint64(1)) * power
+        v[white] = v[stop] = 0
+        h = _mixed(np.add.reduceat(v, words) * inverse[words], _MULTIPLIERS[1]) if len(words) else np.zeros(0, np.uint64)
+        self.hashes = h
+        breaks = np.zeros(len(code) + 1, np.int64)
+        breaks[cuts] = breaks[start] = 1
+        sentence = np.cumsum(breaks)[words]
+        opens = np.ones(len(words) + 1, bool)
+        opens[1:-1] = sentence[1:] != sentence[:-1]
+        opens[_piece_ends(h, sentence) + 1] = True
+        self.begin = np.flatnonzero(opens[:-1])
+        self.end = np.append(self.begin[1:], len(words)) if len(self.begin) else self.begin
+        self.text = np.searchsorted(stop, words[self.begin], "right")
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+        self.left = words[self.begin] - start[self.text]
+        new = np.ones(len(self.text), bool)
+        new[1:] = self.text[1:] != self.text[:-1]
+        self.left[new] = 0
+        self.right = np.append(self.left[1:], 0)[: len(self.left)]
+        last = np.append(new[1:], True)[: len(new)]
+        self.right[last] = sizes[self.text[last]]
+
+    def runs(self, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last sentence of each run: the shortest ones from and to each sentence that are long enough, by their first."""
+        n = len(self.begin)
+        here = np.arange(n)
+        to = np.maximum(here + min_sentences - 1, np.searchsorted(self.end, self.begin + min_words))
+        ok = to < n
+        ok[ok] = self.text[to[ok]] == self.text[ok]
+        since = np.minimum(here - min_sentences + 1, np.searchsorted(self.begin, self.end - min_words, "right") - 1)
+        back = since >= 0
+        back[back] = self.text[since[back]] == self.text[back]
+        back[back] = ~ok[since[back]] | (to[since[back]] != here[back])
+        i, j = np.concatenate([here[ok], since[back]]), np.concatenate([to[ok], here[back]])
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order]
+
+    def digests(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the words of each run."""
+        out = []
+        for h, powers in ((self.hashes, _FIRST), (_mixed(self.hashes, _MULTIPLIERS[2]), _SECOND)):
+            power, inverse = powers(len(h) + 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
+            a, b = self.begin[i], self.end[j]
+            out.append(_mixed((total[b] - total[a]) * inverse[a], _MULTIPLIERS[0]))
+        return out[0], out[1]
+
+
+def places(texts: list[str], min_sentences: int, min_words: int) -> tuple[Cut, dict[str, np.ndarray]]:
+    """All runs of texts: text, i, j, h1, h2, and ``again`` where the text has the run at an earlier place."""
+    cut = Cut(texts)
+    i, j = cut.runs(min_sentences, min_words)
+    h1, h2 = cut.digests(i, j)
+    text = cut.text[i]
+    order = np.argsort(h1 ^ _mixed(text.astype(np.uint64) + np.uint64(1), _MULTIPLIERS[1]), kind="stable")
+    a, b = order[:-1], order[1:]
+    again = np.zeros(len(i), bool)
+    again[b] = (text[a] == text[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
+    return cut, {"text": text, "i": i, "j": j, "h1": h1, "h2": h2, "again": again}
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column some at once, and the row of the first; null is empty."""
+    held, size, at = [], 0, 0
+    for row, x in enumerate(column):
+        text = x.as_py() or ""
+        if held and size + len(text) > AT_ONCE:
+            yield at, held
+            held, size, at = [], 0, row
+        held.append(text)
+        size += len(text)
+    if held:
+        yield at, held
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of so many bits (a power of two)."""
+    return h & np.uint64(bits - 1), (h >> np.uint64(33)) & np.uint64(bits - 1)
+
+
+def _filter(repeated: DataFrame, most_bits: int) -> np.ndarray:
+    """A Bloom filter over the column h1, put together by tasks; what comes to the driver is no larger than the filter."""
+    n = repeated.count()
+    bits = min(most_bits, 1 << max(10, (8 * n - 1).bit_length() if n else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        mine = np.zeros(bits >> 6, np.uint64)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(mine, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        slot = np.flatnonzero(mine)
+        for k in range(0, len(slot), 1 << 16):
+            s = slot[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(mine[s].view(np.int64))], ["slot", "bits"])
+
+    def pack(key, t):
+        out = np.zeros(1 << _CHUNK, np.int64)
+        out[t["slot"].to_numpy() & ((1 << _CHUNK) - 1)] = t["bits"].to_numpy()
+        return pa.table({"chunk": [key[0].as_py()], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    slots = repeated.select("h1").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(max(1 << _CHUNK, bits >> 6), np.uint64)
+    for r in slots.groupBy(F.shiftright("slot", _CHUNK).alias("chunk")).applyInArrow(pack, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"] << _CHUNK : (r["chunk"] + 1) << _CHUNK] = np.frombuffer(r["bits"], np.uint64)
+    return out[: bits >> 6]
+
+
+def _held(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    out = np.ones(len(h), bool)
+    for at in _bits(h, len(sieve) << 6):
+        out &= (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns id (the largest long for none), part (a hash of the text), doc_id and text."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return src.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("part"), "doc_id", "text")
+
+
+def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Rows (id, part, spans): runs of sentences that have an earlier place; each a struct (i, j, a, b), of sentences and characters, ends exclusive."""
+    src = _documents(docs, id_col, text_col).filter("text is not null").select("id", "part", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(at, 256).to_pylist()
-                each = [first_and_later(x.as_py(), min_sentences, min_words) for x in batch.column(1).slice(at, 256)]
-                doc = np.repeat(np.array(ids, np.int64), [len(p) for p in each])
-                place = [x for p in each for x in p.values()]
-                first = np.array([x[0] for x in place], np.int32).reshape(-1, 2)
-                later = pa.array([[{"first": i, "last": j} for i, j in x[1:]] if len(x) > 1 else None for x in place], kind)
-                h = np.frombuffer(b"".join(d for p in each for d in p), ">i8").astype(np.int64).reshape(-1, 2)
+            for _, texts in _slices(batch.column(0)):
+                _, p = places(texts, min_sentences, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(p["h1"][~p["again"]].view(np.int64))], ["h1"])
+
+    hashes = src.select("text").mapInArrow(count, "h1 long")
+    repeated = materialise(hashes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "spans-repeated")
+    sieve = docs.sparkSession.sparkContext.broadcast(_filter(repeated, filter_bits))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, texts in _slices(batch.column(2)):
+                cut, p = places(texts, min_sentences, min_words)
+                keep = np.flatnonzero(p["again"] | _held(sieve.value, p["h1"]))
+                i, j, text = p["i"][keep], p["j"][keep], p["text"][keep]
+                base = cut.first[text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(first[:, 0].copy()), pa.array(first[:, 1].copy()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), later], ["doc_id", "first", "last", "h1", "h2", "later"]
+                    [
+                        *map(pa.array, (ids[at + text], parts[at + text])),
+                        *(pa.array(x.astype(np.int32)) for x in (i - base, j + 1 - base, cut.left[i], cut.right[j])),
+                        *map(pa.array, (p["h1"][keep].view(np.int64), p["h2"][keep].view(np.int64), p["again"][keep])),
+                    ],
+                    ["id", "part", "i", "j", "a", "b", "h1", "h2", "again"],
                 )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    return src.mapInArrow(run, "doc_id long, first int, last int, h1 long, h2 long, later array<struct<first:int,last:int>>")
+    found = materialise(src.mapInArrow(find, "id long, part long, i int, j int, a int, b int, h1 long, h2 long, again boolean"), "spans-found")
+    key = F.struct("id", "part")
+    first = found.filter("not again").groupBy("h1", "h2").agg(F.min(key).alias("kept"), F.max(key).alias("other")).filter("kept <> other").select("h1", "h2", "kept")
+    later = found.filter("not again").join(first, ["h1", "h2"]).filter(key != F.col("kept"))
+    gone = later.select("id", "part", "i", "j", "a", "b").unionByName(found.filter("again").select("id", "part", "i", "j", "a", "b"))
+    return gone.groupBy("id", "part").agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("spans"))
 
 
-def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, spans): runs of sentences that have an earlier place; each a struct (first, last)."""
-    spans = span_hashes(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
-    repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).filter("kept <> other")
-    repeated = materialise(repeated.select("h1", "h2", "kept"), "spans-repeated")
-    own = F.when(F.col("doc_id") != F.col("kept"), F.array(F.struct("first", "last")))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    gone = F.concat(F.coalesce(own, none), F.coalesce("later", none))
-    each = spans.join(repeated, ["h1", "h2"], "left").select("doc_id", gone.alias("gone")).filter(F.size("gone") > 0)
-    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("spans"))
+def without(text: str, spans: list[dict]) -> tuple[str, int]:
+    """A text without the characters of spans, and how many sentences those have."""
+    out, at, done, n = [], 0, 0, 0
+    for s in sorted(spans, key=lambda s: (s["i"], s["j"])):
+        if s["a"] > at:
+            out.append(text[at : s["a"]])
+        n += max(0, s["j"] - max(done, s["i"]))
+        at, done = max(at, s["b"]), max(done, s["j"])
+    return "".join([*out, text[at:]]), n
 
 
-def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
-    """Rows (doc_id, text, n_sentences, n_removed), one for each row of ``docs``.
+def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Rows (doc_id, text, n_removed), one for each row of ``docs``.
 
-    ``text`` is without the sentences that a repeated span covers; what is
-    left is as it was, character by character.  Null and empty texts have no
-    sentences and stay; so does a document with a null id, whose spans count
-    nowhere.  Rows that repeat a doc_id are one document: none of them is the
-    other's copy.
+    ``text`` is without the sentences that a repeated span covers, of which
+    there are ``n_removed``; what is left is as it was, character by
+    character.  A span has ``min_sentences`` sentences or more, and as many
+    as it takes to have ``min_words`` words; with 0 every run of
+    ``min_sentences`` sentences is one.  Null, empty and wordless texts have
+    no sentences and stay.  Rows of one id with different texts are documents
+    of their own, in the order of a hash of the text; rows that repeat both
+    are one document, none the other's copy.  A null id comes last in order.
+    Other columns are not looked at.
     """
-    gone = covered(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = src.join(gone.withColumnRenamed("doc_id", "gone_id").hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left")
+    gone = covered(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words, filter_bits=filter_bits)
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("part").alias("gone_part"), "spans")
+    src = _documents(docs, id_col, text_col)
+    both = src.join(gone.hint("shuffle_hash"), (F.col("id") == F.col("gone_id")) & (F.col("part") == F.col("gone_part")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, total, removed = [], [], []
-            for x, spans in zip(batch.column(1), batch.column(2)):
-                text = x.as_py()
-                parts = sentences(text)
-                keep = [True] * len(parts)
-                for s in spans.as_py() or ():
-                    keep[s["first"] : s["last"] + 1] = [False] * (s["last"] + 1 - s["first"])
-                out.append(text if all(keep) else "".join(text[a:b] for k, (a, b) in zip(keep, parts) if k))
-                total.append(len(parts))
-                removed.append(len(parts) - sum(keep))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"]
-            )
-
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")
+            doc, text, spans = batch.columns
+            mask = spans.is_valid()
+            new = [without(t, s) for t, s in zip(text.filter(mask).to_pylist(), spans.filter(mask).to_pylist())]
+            text = pc.replace_with_mask(text, mask, pa.array([t for t, _ in new], text.type))
+            n = pc.replace_with_mask(pa.array(np.zeros(len(doc), np.int64)), mask, pa.array([k for _, k in new], pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, text, n], ["doc_id", "text", "n_removed"])
+
+    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_removed long")
