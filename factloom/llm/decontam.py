@@ -9,11 +9,13 @@ longest suffix read so far that occurs in an item.  A run that reaches
 The items are the small side.  Their total size is measured first and they
 are cut into shards of at most ``shard_words`` words, so that each automaton
 has a bounded size; texts pass through each shard's automaton in turn inside
-the same task, and nothing is shuffled.
+the same task, and nothing is shuffled.  Items of more than ``max_words``
+words come in rounds of that size, whose results are merged text by text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm._shared import materialise
+
 #: Bytes of words: digits, letters in lower case, and all of a non-ASCII character.
 _KEEP = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -170,34 +174,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: Automata of this Python worker by broadcast.
-_BUILT: dict[int, list[Automaton]] = {}
+#: Automata of this Python worker, of the shards of one name.
+_BUILT: dict[tuple[str, int], list[Automaton]] = {}
 
 
 def _automata(shards: Broadcast, window: int) -> list[Automaton]:
-    key = (shards.id if hasattr(shards, "id") else id(shards), window)
-    if key not in _BUILT:
+    """The automata of broadcast shards.
+
+    They are kept under the name that the driver gave to the shards: workers
+    live longer than a query, and addresses of broadcasts come back.
+    """
+    name, items = shards.value
+    if (name, window) not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [Automaton(x, window) for x in shards.value]
-    return _BUILT[key]
+        _BUILT[name, window] = [Automaton(x, window) for x in items]
+    return _BUILT[name, window]
+
 
+def _items(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int, max_words: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The normalised items in shards, one broadcast of at most about ``max_words`` words after the other, and whether it is the last.
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int, max_words: int) -> Broadcast:
-    """The normalised items in shards, sent to all tasks once their size is known to be small."""
+    Their size is measured first; items beyond that bound are dealt to
+    several rounds by a hash, and only those of one round come to the driver.
+    """
     spark = benchmark.sparkSession
-    src = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
-    size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > 8 * max_words:
-        raise ValueError(f"the items have {size} bytes; give them in calls of at most {8 * max_words} bytes")
-    shards, room = [[]], shard_words
-    for i, t in sorted(map(tuple, src.distinct().collect())):
-        seq = words(t)
-        if len(seq) > room and shards[-1]:
-            shards.append([])
-            room = shard_words
-        shards[-1].append((i, seq))
-        room -= len(seq)
-    return spark.sparkContext.broadcast(shards)
+    src = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null").distinct()
+    rounds = max(1, -(-(src.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // (8 * max_words)))
+    for k in range(rounds):
+        part = src if rounds == 1 else src.filter(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == k)
+        shards, room = [[]], shard_words
+        for i, t in sorted(map(tuple, part.collect())):
+            seq = words(t)
+            if len(seq) > room and shards[-1]:
+                shards.append([])
+                room = shard_words
+            shards[-1].append((i, seq))
+            room -= len(seq)
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, shards)), k == rounds - 1
 
 
 def _scan(texts: list[list[bytes]], automata: list[Automaton]) -> list[tuple[list[tuple[int, int]], set[str]]]:
@@ -226,7 +239,22 @@ def contamination(
     has no words and no hits.  Items with a null id or text are left out;
     repeated items count once; without items nothing is hit.
     """
-    shards = _items(benchmark, item_col, item_text_col, shard_words, max_words)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    none = [F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")]
+    found = src.select("doc_id", "text", *none)
+    for shards, last in _items(benchmark, item_col, item_text_col, shard_words, max_words):
+        found = _add(found, shards, window, keep_text=not last)
+        found = found if last else materialise(found, "decontam-round")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "spans", "items")
+
+
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _add(rows: DataFrame, shards: Broadcast, window: int, id_type: T.DataType = T.LongType(), keep_text: bool = True) -> DataFrame:
+    """Rows (doc_id, text, spans, items) with what one round of items adds, and n_words; the text goes if no more rounds need it."""
+    names = ["doc_id", *(["text"] if keep_text else []), "spans", "items", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(shards, window)
@@ -236,17 +264,15 @@ def contamination(
             for at in range(0, batch.num_rows, AT_ONCE):
                 texts = [words(x) for x in batch.column(1).slice(at, AT_ONCE).to_pylist()]
                 n_words += map(len, texts)
-                for more, found in _scan(texts, automata):
-                    spans.append([{"start": a, "end": b} for a, b in more])
-                    items.append(sorted(found))
-            hit = [sum(s["end"] - s["start"] for s in x) for x in spans]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "spans", "items"],
-            )
+                before = zip(batch.column(2).slice(at, AT_ONCE).to_pylist(), batch.column(3).slice(at, AT_ONCE).to_pylist())
+                for (more, found), (old, held) in zip(_scan(texts, automata), before):
+                    spans.append([{"start": a, "end": b} for a, b in merged([*((s["start"], s["end"]) for s in old), *more])])
+                    items.append(sorted({*held, *found}))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64())], names)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, spans array<struct<start:long,end:long>>, items array<string>")
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = {"doc_id": id_type, "text": T.StringType(), "spans": spans_type, "items": T.ArrayType(T.StringType()), "n_words": T.LongType()}
+    return rows.select("doc_id", "text", "spans", "items").mapInArrow(run, T.StructType([T.StructField(x, kinds[x]) for x in names]))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -281,12 +307,16 @@ def decontaminate(
     Matched spans of ``window`` words or more (or whole shorter items) are cut
     from the text, again until none is left, since a cut can bring words
     together.  A document of which more than ``max_coverage`` is hit goes
-    whole.  Other documents, null and empty texts stay as they are, with all
+    whole.  Items with a null id or text are left out, repeated ones count
+    once.  Other documents, null and empty texts stay as they are, with all
     their columns; ``chars_col`` follows the new text where it exists.
     """
-    shards = _items(benchmark, item_col, item_text_col, shard_words, max_words)
     names = docs.columns
     at_text, at_chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
+    all_shards = [x for x, _ in _items(benchmark, item_col, item_text_col, shard_words, max_words)]
+    if len(all_shards) > 1:
+        return _in_rounds(docs, all_shards, text_col=text_col, chars_col=chars_col if at_chars is not None else None, window=window, max_coverage=max_coverage)
+    (shards,) = all_shards
 
     def clean(texts: list[str | None], automata: list[Automaton]) -> list[str | None]:
         new = list(texts)
@@ -314,3 +344,38 @@ def decontaminate(
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+
+
+def _in_rounds(docs: DataFrame, all_shards: list[Broadcast], *, text_col: str, chars_col: str | None, window: int, max_coverage: float) -> DataFrame:
+    """The same for items of several rounds: each text is scanned with all of them before it is cut, until none has a match."""
+    now = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    first, done = True, None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                ranges = [(s["start"], s["end"]) for s in spans]
+                gone = first and sum(b - a for a, b in ranges) > max_coverage * n
+                out.append(None if gone else cut_text(text, ranges))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc", "text"])
+
+    while True:
+        found = now.select(F.col("doc").alias("doc_id"), "text", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+        for shards in all_shards:
+            found = materialise(_add(found, shards, window, now.schema["doc"].dataType), "decontam-round")
+        clean = found.filter(F.size("spans") == 0).select(F.col("doc_id").alias("doc"), "text")
+        done = clean if done is None else done.unionByName(clean)
+        hit = found.filter(F.size("spans") > 0)
+        if hit.isEmpty():
+            break
+        now = hit.select(F.col("doc_id").alias("doc"), "text", "spans", "n_words").mapInArrow(cut, T.StructType([now.schema["doc"], T.StructField("text", T.StringType())]))
+        now = materialise(now.filter("text is not null"), "decontam-cut")
+        first = False
+    old = F.col(f"doc.`{text_col}`")
+    fields = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    fields[docs.columns.index(text_col)] = F.col("text").alias(text_col)
+    if chars_col:
+        kind = docs.schema[chars_col].dataType
+        fields[docs.columns.index(chars_col)] = F.when(old.eqNullSafe(F.col("text")), F.col(f"doc.`{chars_col}`")).otherwise(F.length("text").cast(kind)).alias(chars_col)
+    return done.select(*fields)

@@ -62,8 +62,8 @@ def test_contamination(spark, docs, texts):
     rows = texts + more
     src = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_hit int")
     plain_items = [(str(r["item_id"]), r["text"]) for r in items.collect() if r["item_id"] is not None and r["text"] is not None]
-    for shard in (1_000_000, 3):
-        got = decontam.contamination(src, items, shard_words=shard).collect()
+    for shard, most in ((1_000_000, 8_000_000), (3, 8_000_000), (1_000_000, 3)):  # one shard, several, several rounds
+        got = decontam.contamination(src, items, shard_words=shard, max_words=most).collect()
         assert len(got) == len(rows)
         have = sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got), key=str)
         want = []
@@ -89,8 +89,21 @@ def test_decontaminate_cuts_and_drops(spark):
     rows = [(1, clean, 7, "x"), (2, f"{clean} {LONG} {clean}", 7, "x"), (3, LONG, 7, "x"), (4, None, 7, "x"), (5, "", 7, "x"), (6, nested, 7, "x")]
     src = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
     got = {r["doc_id"]: r for r in decontam.decontaminate(src, _items(spark)).collect()}
+    assert decontam.decontaminate(src, _items(spark), max_words=2).exceptAll(decontam.decontaminate(src, _items(spark))).count() == 0
     assert set(got) == {1, 2, 4, 5, 6}
     assert got[1]["text"] == clean and got[1]["n_chars"] == 7
     assert got[2]["text"] == f"{clean}\n{clean}" and got[2]["n_chars"] == len(got[2]["text"])
     assert got[4]["text"] is None and got[5]["text"] == ""
     assert "fox" not in got[6]["text"] and "dog" not in got[6]["text"]
+
+
+def test_each_benchmark_has_its_own_automata(spark):
+    """Many benchmarks in one session: Python workers live on between them."""
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{rng.randint(0, 99)}" for _ in range(12)) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"before {p} after") for k, p in enumerate(passages)], "doc_id long, text string").repartition(4).cache()
+    for k, p in enumerate(passages):
+        found = decontam.contamination(docs, spark.createDataFrame([(k, p)], "item_id long, text string")).filter("n_hit > 0").collect()
+        assert [(r["doc_id"], r["items"]) for r in found] == [(k, [str(k)])]
+        if k % 5 == 0:
+            assert decontam.contamination(docs, spark.createDataFrame([], "item_id long, text string")).filter("n_hit > 0").count() == 0
