@@ -3,10 +3,12 @@
 Several sequence lengths are permitted, each with a cost.  Documents longer
 than the largest are cut into full pieces and a rest.  What remains is packed
 best-fit decreasing: a piece goes to the open bin with the least room that
-still takes it; where none does, a bin is opened.  Which size is then opened
-is optimised jointly: the whole packing is planned once for each permitted
-size as the one preferred, and the plan of least cost is used.  At the end
-each bin is downsized to the cheapest size that holds its contents.
+still takes it; where none does, a bin is opened.  Its size is chosen then,
+bin by bin: every permitted size is filled, on trial, with the longest pieces
+left over that fit, and the one that costs least for each token it would hold
+is opened.  Plans that always prefer one size are made beside that, and the
+cheapest of all is used.  At the end each bin is downsized to the cheapest
+size that holds its contents.
 
 Pieces of equal length are interchangeable, so a plan needs only how many
 there are of each length: a table no longer than the largest sequence.  The
@@ -19,7 +21,7 @@ have is spread over many tasks.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,23 +40,73 @@ def sequence_cost(size: int) -> float:
     return size + 64.0
 
 
+class _Trial:
+    """Fills bins on trial with what is left over of each length."""
+
+    def __init__(self, counts: dict[int, int], sizes: tuple[int, ...], cost: Callable[[int], float]):
+        self.free, self.sizes, self.cost = dict(counts), sizes, cost
+        self.lengths = sorted(counts)
+
+    def without(self, length: int, left: int) -> None:
+        """Only so many of a length are left, and none of longer ones."""
+        self._set(length, left)
+
+    def _set(self, length: int, n: int) -> None:
+        if n > 0:
+            self.free[length] = n
+        elif self.free.pop(length, None) is not None:
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+    def filled(self, size: int, length: int) -> dict[int, int]:
+        """What a bin of a size takes, the longest that fit first; its first piece is of the given length."""
+        took, room, at = {length: 1}, size - length, length
+        while room and self.lengths:
+            at = bisect_right(self.lengths, min(at, room)) - 1
+            if at < 0:
+                break
+            at = self.lengths[at]
+            n = min(room // at, self.free[at] - took.get(at, 0))
+            if n > 0:
+                took[at] = took.get(at, 0) + n
+                room -= n * at
+            at -= 1
+        return took
+
+    def choose(self, length: int) -> tuple[int, int]:
+        """The size that costs least for each token it would hold (of equal ones the largest), and how many such bins to open."""
+        best = None
+        for size in reversed(self.sizes[bisect_left(self.sizes, length) :]):
+            took = self.filled(size, length)
+            used = sum(n * k for n, k in took.items())
+            rate = self.cost(self.sizes[bisect_left(self.sizes, used)]) / used
+            if best is None or rate < best[0]:
+                best = rate, size, took
+        _, size, took = best
+        many = max(1, min(self.free[n] // k for n, k in took.items()))
+        for n, k in took.items():
+            self._set(n, self.free[n] - many * k)
+        return size, many
+
+
 class Plan:
     """Best-fit decreasing over counts of lengths.
 
-    Bins come in groups of equal contents.  ``runs`` has, for each run of
-    pieces, (length, first rank, pieces, first bin, offset in the bin); the
-    pieces of a run go to consecutive bins.  ``bins`` has (first bin, bins,
-    used, size).
+    ``prefer``: the size to open, or none to choose it for each bin.  Bins
+    come in groups of equal contents.  ``runs`` has, for each run of pieces,
+    (length, first rank, pieces, first bin, offset in the bin); the pieces of
+    a run go to consecutive bins.  ``bins`` has (first bin, bins, used, size).
+    Each step ends a length, a group of bins or what a trial took of a length,
+    so a plan's size is bounded by the largest sequence, not by the pieces.
     """
 
     def __init__(self, counts: dict[int, int], sizes: tuple[int, ...] = SIZES, prefer: int | None = None, cost: Callable[[int], float] = sequence_cost):
         sizes = tuple(sorted(sizes))
-        prefer = prefer or sizes[-1]
         self.runs: list[tuple[int, int, int, int, int]] = []
         groups: dict[int, list[tuple[int, int, int]]] = {}  # room: (first bin, bins, used)
         rooms: list[int] = []
         made = 0
         closed: list[tuple[int, int, int]] = []
+        trial = None if prefer else _Trial(counts, sizes, cost)
 
         def put(room: int, group: tuple[int, int, int]) -> None:
             if not room:
@@ -76,9 +128,13 @@ class Plan:
                         del groups[room]
                         rooms.pop(at)
                 else:
-                    # The least-cost size that can be opened: the one preferred, or the least that takes the piece.
-                    room = prefer if length <= prefer else sizes[bisect_left(sizes, length)]
-                    n = -(-left // (room // length))
+                    if trial:
+                        trial.without(length, left)
+                        room, n = trial.choose(length)
+                        n = min(n, -(-left // (room // length)))
+                    else:
+                        room = prefer if length <= prefer else sizes[bisect_left(sizes, length)]
+                        n = -(-left // (room // length))
                     first, used = made, 0
                     made += n
                 # A bin that took one of these pieces is the best fit for the next as long as it takes another.
@@ -91,14 +147,16 @@ class Plan:
                 put(room - layers * length, (first, take, used + layers * length))
                 if take < n:
                     put(room, (first + take, n - take, used))
+            if trial:
+                trial.without(length, 0)
         full = closed + [g for held in groups.values() for g in held]
         self.bins = sorted((first, n, used, sizes[bisect_left(sizes, used)]) for first, n, used in full if used)
         self.cost = sum(n * cost(size) for _, n, _, size in self.bins)
 
 
 def best_plan(counts: dict[int, int], sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = sequence_cost) -> Plan:
-    """The cheapest of the plans that prefer to open one of the permitted sizes; ties go to the largest."""
-    return min((Plan(counts, sizes, s, cost) for s in sorted(sizes, reverse=True)), key=lambda p: p.cost)
+    """The cheapest of the plan that chooses each bin's size and those that prefer one; ties go to the first, then to the largest."""
+    return min((Plan(counts, sizes, s, cost) for s in (None, *sorted(sizes, reverse=True))), key=lambda p: p.cost)
 
 
 def pack(
@@ -113,7 +171,7 @@ def pack(
     """Rows (bin_id, capacity, bin_offset, doc_id, piece, start, length): where each piece of each document lies.
 
     ``start`` counts tokens of the document.  A length is cut into slices of
-    about ``slice_rows`` rows for ranking.  A document of null or no length
+    about ``slice_rows`` rows for ranking, at most 20,000 slices more than there are lengths.  A document of null or no length
     has no piece; neither does one with a null id get lost: it is packed like
     any other.  Rows that repeat are packed each.  An empty table gives no
     bins.
@@ -130,7 +188,7 @@ def pack(
     plan = best_plan(counts, tuple(sizes), cost)
 
     # Ranks within a length: a slice's first rank, and the place within the slice.
-    slice_rows = slice_rows or min(200_000, max(200, sum(counts.values()) // 1000))
+    slice_rows = slice_rows or max(200, sum(counts.values()) // 20_000)
     slices = {n: -(-c // slice_rows) for n, c in counts.items()}
     many = max(slices.values(), default=1)
     spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(many)).cast("int")

@@ -50,10 +50,57 @@ def test_plan_is_best_fit_decreasing(lengths, prefer):
     assert Counter(tuple(sorted(x for _, x in p)) for p in content.values()) == plain_bfd(lengths, sizes, prefer)
 
 
-def test_joint_optimum_is_the_cheapest_plan():
-    counts = {300: 5000, 200: 3, 700: 40}
-    best = packing.best_plan(counts)
-    assert best.cost == min(packing.Plan(counts, packing.SIZES, s).cost for s in packing.SIZES)
+def cheapest(lengths, sizes, cost):
+    """The least cost of any packing, by trying every partition."""
+    best = [sum(cost(min(s for s in sizes if s >= n)) for n in lengths)]
+
+    def go(at, bins):
+        if at == len(lengths):
+            best[0] = min(best[0], sum(cost(min(s for s in sizes if s >= b)) for b in bins))
+            return
+        for k, b in enumerate(bins):
+            if b + lengths[at] <= max(sizes) and b not in bins[:k]:
+                go(at + 1, [*bins[:k], b + lengths[at], *bins[k + 1 :]])
+        go(at + 1, [*bins, lengths[at]])
+
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=7), st.sampled_from([0.0, 2.0, 8.0]))
+def test_sizes_against_exhaustive_search(lengths, fixed):
+    sizes = (4, 8, 16, 32)
+
+    def cost(size):
+        return size + fixed
+
+    plans = {s: packing.Plan(dict(Counter(lengths)), sizes, s, cost) for s in (None, *sizes)}
+    best, least = packing.best_plan(dict(Counter(lengths)), sizes, cost), cheapest(sorted(lengths, reverse=True), sizes, cost)
+    assert best.cost == min(p.cost for p in plans.values())
+    assert least <= best.cost <= 1.5 * least
+    # The plan that chooses bin by bin places every piece once, and no bin is over its size.
+    ranks, used = Counter(), Counter()
+    for length, rank, n, first, offset in plans[None].runs:
+        assert rank == ranks[length]
+        ranks[length] += n
+        for k in range(n):
+            assert offset == used[first + k]
+            used[first + k] += length
+    assert ranks == Counter(lengths)
+    assert all(used[b] == u <= size for first, n, u, size in plans[None].bins for b in range(first, first + n))
+
+
+def test_choosing_sizes_bin_by_bin_can_beat_any_one_size():
+    """Pieces that fill small bins best beside pieces that fill large ones best, where each bin has a fixed cost."""
+    rng = random.Random(3)
+    gains = 0
+    for _ in range(40):
+        counts = Counter(rng.choice([2050, 1030, 1000, 510, 300, 4100, 2000, 900]) for _ in range(rng.randint(20, 200)))
+        plans = {s: packing.Plan(counts, packing.SIZES, s).cost for s in (None, *packing.SIZES)}
+        gains += plans[None] < min(c for s, c in plans.items() if s)
+        assert packing.best_plan(counts).cost == min(plans.values())
+    assert gains
 
 
 def _check(rows, got, sizes):
