@@ -140,16 +140,18 @@ WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{ASCII_UPPER}', '{ASCII_LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
+), ps AS (
+  SELECT *, regexp_replace(host, '{urlrep.USER_OR_PORT}', '', 'g') AS site FROM p
 ), o AS (
   SELECT doc_id AS page_id, CASE WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END END AS bad FROM labels
 ), h0 AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM p LEFT JOIN o USING (page_id) GROUP BY host
+  SELECT site AS host, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM ps LEFT JOIN o USING (page_id) GROUP BY site
 ), h1 AS (
   SELECT *, list_reverse(string_split(host, '.')) AS l, (CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' ELSE '' END) || string_split(host, '.')[-1] AS two FROM h0
 ), h2 AS (
   SELECT host, CAST(n AS DOUBLE) AS n, CAST(x AS DOUBLE) AS x,
-         CASE WHEN two IN {urlrep.TWO_LABELS} THEN array_to_string(list_reverse(l[1:3]), '.') ELSE two END AS domain,
-         CASE WHEN two IN {urlrep.TWO_LABELS} THEN two ELSE l[1] END AS suffix
+         CASE WHEN regexp_matches(host, '{urlrep.ADDRESS}') THEN host WHEN two IN {urlrep.TWO_LABELS} THEN array_to_string(list_reverse(l[1:3]), '.') ELSE two END AS domain,
+         CASE WHEN regexp_matches(host, '{urlrep.ADDRESS}') THEN host WHEN two IN {urlrep.TWO_LABELS} THEN two ELSE l[1] END AS suffix
   FROM h1
 ), g AS (
   SELECT (coalesce(sum(x), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM h2
@@ -178,19 +180,19 @@ WITH p AS (
 ), r AS (
   SELECT host, n, k * m + x AS a, k * (1 - m) + n - x AS b FROM hh, hk
 ), v AS (
-  SELECT page_id, host, path,
+  SELECT page_id, host, path, site,
          CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
               WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p
+  FROM ps
 )
-SELECT page_id, host, path, rule,
+SELECT page_id, v.host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.35::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
        CAST(r.n AS BIGINT) AS n_labelled
-FROM v JOIN r USING (host)
+FROM v JOIN r ON v.site = r.host
 """,
     "op9_nearest": """
 WITH e AS (

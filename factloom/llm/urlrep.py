@@ -55,16 +55,52 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("string")
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels, or three under a suffix of two."""
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(last)
+#: A host without what comes before ``@`` and without its port, and a numeric address (both fixed values).
+USER_OR_PORT, ADDRESS = r"^.*@|:[0-9]*$", r"^([0-9]+\.){3}[0-9]+$|^\["
 
 
-def suffix_of(host: Column) -> Column:
-    """Suffix: the last label, or two."""
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*TWO_LABELS), last).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host that reputation is kept for: without user and port."""
+    return F.regexp_replace(host, USER_OR_PORT, "")
+
+
+def domain_of(site: Column) -> Column:
+    """Registered domain: the last two labels, or three under a suffix of two; all of a numeric address."""
+    last = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), site).when(last.isin(*TWO_LABELS), F.substring_index(site, ".", -3)).otherwise(last)
+
+
+def suffix_of(site: Column) -> Column:
+    """Suffix: the last label, or two; all of a numeric address."""
+    last = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), site).when(last.isin(*TWO_LABELS), last).otherwise(F.substring_index(site, ".", -1))
+
+
+def registered(sites: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """``sites`` (with a column host) and the domain and suffix of each.
+
+    ``suffixes``: one column ``suffix`` of public suffix rules: plain ones,
+    ``*.x`` for any label before x, and ``!y.x`` for an exception to that; a
+    site that none fits has its last label.  Without it, suffixes of one label
+    and those of ``TWO_LABELS`` are known.  Sites and rules meet in an
+    equi-join of the sites' ends.
+    """
+    if suffixes is None:
+        return sites.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    rules = suffixes.filter("suffix is not null").select(F.lower(F.trim("suffix")).alias("rule")).distinct()
+    rules = rules.select("rule", F.regexp_replace("rule", r"^(\*\.|!)", "").alias("end"), F.when(F.col("rule").startswith("*."), 1).when(F.col("rule").startswith("!"), -1).otherwise(0).alias("more"))
+    labels = F.split("host", r"\.")
+    ends = sites.select("host", F.size(labels).alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("pos", "end"))
+    # How many labels the suffix has: of an exception one less than its rule, else the most of any rule that fits.
+    n = F.col("size") - F.col("pos")
+    fits = ends.join(rules, "end").filter(n + F.col("more") <= F.col("size")).groupBy("host").agg(F.max(F.struct((F.col("more") == -1).alias("x"), (n + F.col("more")).alias("n"))).alias("best"))
+    known = sites.join(fits, "host", "left")
+    k = F.coalesce(F.col("best.n"), F.lit(1))
+
+    def last(count: Column) -> Column:
+        return F.when(F.col("host").rlike(ADDRESS), F.col("host")).otherwise(F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - count + 1), F.size(labels)), "."))
+
+    return known.withColumns({"domain": last(k + 1), "suffix": last(k)}).drop("best")
 
 
 def _strength(level: DataFrame) -> float:
@@ -80,13 +116,15 @@ def _strength(level: DataFrame) -> float:
     return 1 / min(max(rho, RHO_LEAST), RHO_MOST) - 1
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Rows (host, n, x, alpha, beta): labelled and bad pages and the posterior of each host.
 
-    ``pages``: page_id and host; ``outcomes``: page_id and bad (0 or 1).
+    ``pages``: page_id and host (without user and port); ``outcomes``: page_id
+    and bad (0, 1 or null for none); ``suffixes``: see ``registered``.  A page
+    with a null id has no outcome; repeated rows of a page count each.
     """
     seen = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    hosts = materialise(seen.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "url-hosts")
+    hosts = materialise(registered(seen, suffixes), "url-hosts")
     total = hosts.agg(F.sum("n"), F.sum("x")).first()
     mean = ((total[1] or 0) + 0.5) / ((total[0] or 0) + 1.0)
     sums = (F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -112,20 +150,23 @@ def judge(
     url_col: str = "url",
     max_bad: float = 0.35,
     z: float = 1.645,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, n_labelled), one for each page.
 
     ``outcomes``: page_id and bad (1 if the page was judged bad, else 0; null
     if not judged).  A null url, or one without ``://``, has an empty host and
     path and is judged by the reputation of the empty host.  Repeated rows
-    each get a row; without outcomes every host has the global prior.
+    each get a row; without outcomes every host has the global prior.  User
+    and port belong to the host that is returned and that rules fit, not to
+    the one that reputation is kept for.
     """
     split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = reputations(split.select("page_id", "host"), outcomes.select("page_id", "bad"))
+    known = reputations(split.select("page_id", site_of(F.col("host")).alias("host")), outcomes.select("page_id", "bad"), suffixes)
     a, b = F.col("alpha"), F.col("beta")
     low = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    by_host = known.select("host", F.col("n").alias("n_labelled"), F.when(low > max_bad, "block").otherwise("allow").alias("reputation"))
+    by_host = known.select(F.col("host").alias("site"), F.col("n").alias("n_labelled"), F.when(low > max_bad, "block").otherwise("allow").alias("reputation"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     said = reduce(lambda e, r: e.when(F.col("rule") == r[1] + r[2], r[0]), rules, F.when(F.lit(False), "")).otherwise(F.col("reputation"))
-    joined = split.withColumn("rule", rule).join(by_host, "host", "left")
+    joined = split.withColumn("rule", rule).withColumn("site", site_of(F.col("host"))).join(by_host, "site", "left")
     return joined.select("page_id", "host", "path", "rule", said.alias("verdict"), "n_labelled")

@@ -97,3 +97,33 @@ def test_native(spark, small):
 
     plan = op6_url_filter(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_domains_of_a_suffix_table(spark):
+    """Plain rules, wildcards and exceptions; addresses and hosts without dots are their own."""
+    rules = spark.createDataFrame([("com",), ("gov.uk",), ("uk",), ("*.ck",), ("!www.ck",), ("CO.KR",), ("kr",), (None,)], "suffix string")
+    want = {
+        "www.tax.gov.uk": ("tax.gov.uk", "gov.uk"), "a.b.co.kr": ("b.co.kr", "co.kr"), "site.com": ("site.com", "com"), "com": ("com", "com"), "x.y.z.ck": ("y.z.ck", "z.ck"),
+        "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "ck": ("ck", "ck"), "10.0.0.7": ("10.0.0.7", "10.0.0.7"), "[::1]": ("[::1]", "[::1]"), "": ("", ""), "a.b.unknown": ("b.unknown", "unknown"),
+    }
+    hosts = spark.createDataFrame([(h, 1) for h in want], "host string, rule int").drop("rule")
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in urlrep.registered(hosts, rules).collect()} == want
+    plain = {r["host"]: (r["domain"], r["suffix"]) for r in urlrep.registered(hosts, None).collect()}
+    assert plain["10.0.0.7"] == ("10.0.0.7", "10.0.0.7") and plain["site.com"] == ("site.com", "com")
+    assert [r[0] for r in spark.createDataFrame([("u:p@a.b:80",), ("a.b",), ("a.b:",), ("10.0.0.7:8080",)], "h string").select(urlrep.site_of(F.col("h"))).collect()] == ["a.b", "a.b", "a.b", "10.0.0.7"]
+
+
+def test_ports_and_users_share_a_reputation_and_planted_hosts_are_found(spark):
+    """Of 60 hosts, those that are mostly bad and have labels enough are blocked on unlabelled pages too; none of the others is."""
+    pages, outcomes, i = [], [], 0
+    for h in range(60):
+        bad = h % 6 == 0
+        for k in range(80):
+            host = f"h{h}.d{h % 10}.net" + (":8080" if k % 3 == 0 else "")
+            pages.append((i, f"http://{'user@' if k % 5 == 0 else ''}{host}/{k}"))
+            if k < 40:
+                outcomes.append((i, int(k % 10 < (9 if bad else 1))))
+            i += 1
+    got = urlrep.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), []).collect()
+    blocked = {r["page_id"] for r in got if r["verdict"] == "block"}
+    assert blocked == {p for p, _ in pages if (p // 80) % 6 == 0}
