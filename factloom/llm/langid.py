@@ -7,9 +7,10 @@ smoothed in a hierarchy (all documents, suffix, host) whose counts come from
 grouped aggregation, with partial sums before any exchange, so a host with a
 third of all rows is a few rows by then.
 
-Texts are scored twice, once for the counts and once with the priors at hand;
-neither pass shuffles texts unless the table of hosts is too large for Spark
-to broadcast, and then the join is one that adaptive execution splits.
+Texts are scored once.  What is written is a short row for each document: its
+key, its log-likelihoods and what else speaks for a language.  Counts are
+aggregated from those rows, and only those rows meet the priors of their host,
+in a join that adaptive execution can split; no text is ever shuffled by host.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.llm._shared import materialise
 
@@ -139,37 +139,24 @@ def identify(
     with their own columns only.
     """
     model = model or train(docs, id_col=id_col, text_col=text_col, lang_col=train_lang_col, train_rows=train_rows)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # buckets times languages: a bounded size
     known = model.languages[:-1]
     none = F.lit(None).cast("string")
     code = declared_code(declared) if declared is not None else none
     said = F.when(code.isNull(), None).when(code.isin(*known), code).otherwise("other") if known else none
     marks = [said.alias("said"), (none if host is None else host.cast("string")).alias("host"), (none if suffix is None else F.lower(suffix)).alias("suffix")]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            best = []
-            for text in batch.column(0).to_pylist():
-                s = m.score(text)
-                k, p, _ = (len(known), 0.0, 0.0) if s is None else _argmax(s)
-                best.append(k if k < len(known) and p >= 0.9 else None)
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), *batch.columns[1:]], ["best", "said", "host", "suffix"])
+    # Rows that agree in all of this are judged alike, so it names a row well enough.
+    part = F.xxhash64(F.col(text_col), *marks)
+    scored = materialise(_scored(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), part.alias("part"), *marks), model), "langid-scored")
 
     # Counts of what texts clearly are, by declared language, and by host and suffix.
-    seen = docs.select(F.col(text_col).alias("text"), *marks).mapInArrow(read, "best int, said string, host string, suffix string").filter("best is not null")
-    counted = materialise(seen.groupBy("host", "suffix", "said", "best").agg(F.count("*").alias("n")), "langid-counts")
+    counted = materialise(scored.filter("best is not null").groupBy("host", "suffix", "said", "best").agg(F.count("*").alias("n")), "langid-counts")
     confusion = np.full((len(known), len(known) + 1), 0.5)
     column = {x: i for i, x in enumerate([*known, "other"])}
     for r in counted.filter("said is not null").groupBy("said", "best").agg(F.sum("n")).collect():  # languages squared at most
         confusion[r[1], column[r[0]]] += r[2]
-    said_log = np.log(confusion / confusion.sum(axis=1, keepdims=True)) if known else confusion
-    said_log = np.concatenate([said_log, np.log(confusion.sum(axis=0, keepdims=True) / max(confusion.sum(), 1.0))])
     every = np.full(len(known), 1.0)
     for r in counted.groupBy("best").agg(F.sum("n")).collect():
         every[r[0]] += r[1]
-    every /= max(every.sum(), 1.0)
 
     # Counts of each language, as pairs: a host has few of the languages.
     pairs = F.collect_list(F.array("best", "n"))
@@ -179,49 +166,82 @@ def identify(
         .groupBy("host").agg(F.max("suffix").alias("suffix"), pairs.alias("host_n"))
     )
     priors = by_host.join(by_suffix, "suffix", "left").select(F.col("host").alias("prior_host"), "host_n", "suffix_n")
+    fusion = Fusion(known, confusion, every, host_weight, suffix_weight)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, part, *evidence = batch.columns
+            found = [fusion.judge(*e) for e in zip(*(c.to_pylist() for c in evidence))]
+            ok = pa.array([x != UNKNOWN and some >= min_posterior for x, _, some in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([doc, part, pa.array([x for x, _, _ in found], pa.string()), pa.array([round(p, 6) for _, p, _ in found], pa.float64()), ok], ["doc_id", "part", "lang", "posterior", "accepted"])
 
-    def dense(found) -> np.ndarray:
-        out = np.zeros(len(known))
-        for k, n in found:
-            out[k] = n
-        return out
+    rows = scored.join(priors, F.col("host") == F.col("prior_host"), "left").select("doc_id", "part", "logs", "said", "suffix", "host_n", "suffix_n")
+    judged = rows.mapInArrow(judge, "doc_id long, part long, lang string, posterior double, accepted boolean")
+    if not keep_columns:
+        return judged.drop("part")
+    # What is left out is the lesser part; Spark broadcasts it only if its size, known since it is written, permits.
+    out = materialise(judged.filter("not accepted").select(F.col("doc_id").alias("the id left out"), F.col("part").alias("the part left out")).distinct(), "langid-rejected")
+    return docs.join(out, F.col(id_col).cast("long").eqNullSafe(F.col("the id left out")) & (part == F.col("the part left out")), "left_anti")
 
-    def fused(text, said, suffix, host_n, suffix_n, m: Model) -> tuple[str, float, float]:
-        s = m.score(text)
-        if s is None:
-            return UNKNOWN, 0.0, 0.0
-        prior = every
-        extra = np.zeros(len(known))
-        if suffix in SUFFIX_LANGUAGE and SUFFIX_LANGUAGE[suffix] in known:
-            extra[known.index(SUFFIX_LANGUAGE[suffix])] = suffix_weight / 2
-        at = extra + (dense(suffix_n) if suffix_n is not None else 0.0)
-        prior = (at + suffix_weight * prior) / (at.sum() + suffix_weight)
-        if host_n is not None:
-            own = dense(host_n)
-            prior = (own + host_weight * prior) / (own.sum() + host_weight)
-        s = s + np.log(np.append(prior * 0.99, 0.01))
-        if said is not None:
-            s = s + said_log[:, column[said]]
-        k, p, some = _argmax(s)
-        return m.languages[k], p, some
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("text"), *marks)
-    rows = rows.join(priors, F.col("host") == F.col("prior_host"), "left").select("doc", "text", "said", "suffix", "host_n", "suffix_n")
-    names, at_id = docs.columns, docs.columns.index(id_col)
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, part, said, host, suffix, best, logs): log-likelihoods of each text, and the language that it clearly is."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # buckets times languages: a bounded size
+    unknown = len(model.languages) - 1
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            evidence = (c.to_pylist() for c in batch.columns[1:])
-            found = [fused(*e, m) for e in zip(*evidence)]
-            ok = pa.array([x != UNKNOWN and some >= min_posterior for x, _, some in found], pa.bool_())
-            fields = batch.column(0).flatten()
-            if keep_columns:
-                yield pa.RecordBatch.from_arrays(fields, names).filter(ok)
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [fields[at_id].cast(pa.int64()), pa.array([x for x, _, _ in found], pa.string()), pa.array([round(p, 6) for _, p, _ in found], pa.float64()), ok], ["doc_id", "lang", "posterior", "accepted"]
-                )
-
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]) if keep_columns else "doc_id long, lang string, posterior double, accepted boolean"
-    return rows.mapInArrow(judge, schema)
+            best, logs = [], []
+            for text in batch.column(0):
+                s = m.score(text.as_py())
+                k, p, _ = (unknown, 0.0, 0.0) if s is None else _argmax(s)
+                best.append(k if k < unknown and p >= 0.9 else None)
+                logs.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(best, pa.int32()), pa.array(logs, pa.list_(pa.float64()))], ["doc_id", "part", "said", "host", "suffix", "best", "logs"])
+
+    return rows.mapInArrow(read, "doc_id long, part long, said string, host string, suffix string, best int, logs array<double>")
+
+
+class Fusion:
+    """Posteriors from log-likelihoods, declared languages and smoothed priors.
+
+    ``confusion``: how often each declared language (a column, the last for
+    all others) goes with each language that texts clearly are; ``every``: how
+    often each is.
+    """
+
+    def __init__(self, known: list[str], confusion: np.ndarray, every: np.ndarray, host_weight: float, suffix_weight: float):
+        self.known, self.every = known, every / max(every.sum(), 1.0)
+        self.host_weight, self.suffix_weight = host_weight, suffix_weight
+        self.column = {x: i for i, x in enumerate([*known, "other"])}
+        if known:
+            of_each = confusion / confusion.sum(axis=1, keepdims=True)
+            of_all = confusion.sum(axis=0, keepdims=True) / confusion.sum()
+            self.said_log = np.log(np.concatenate([of_each, of_all]))
+
+    def prior(self, suffix: str | None, host_n: list | None, suffix_n: list | None) -> np.ndarray:
+        """Share of each language at a host: all documents, then those of its suffix, then its own."""
+
+        def dense(found: list | None) -> np.ndarray:
+            out = np.zeros(len(self.known))
+            for k, n in found or ():
+                out[k] = n
+            return out
+
+        at = dense(suffix_n)
+        if SUFFIX_LANGUAGE.get(suffix) in self.known:
+            at[self.known.index(SUFFIX_LANGUAGE[suffix])] += self.suffix_weight / 2
+        prior = (at + self.suffix_weight * self.every) / (at.sum() + self.suffix_weight)
+        own = dense(host_n)
+        return (own + self.host_weight * prior) / (own.sum() + self.host_weight)
+
+    def judge(self, logs: list | None, said: str | None, suffix: str | None, host_n: list | None, suffix_n: list | None) -> tuple[str, float, float]:
+        """The language of the largest posterior, its posterior, and that of all known languages together."""
+        if logs is None:
+            return UNKNOWN, 0.0, 0.0
+        s = np.array(logs) + np.log(np.append(self.prior(suffix, host_n, suffix_n) * 0.99, 0.01 if self.known else 1.0))
+        if said is not None:
+            s = s + self.said_log[:, self.column[said]]
+        k, p, some = _argmax(s)
+        return [*self.known, UNKNOWN][k], p, some

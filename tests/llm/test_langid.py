@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from factloom.llm import langid
+from factloom.llm import langid, queries
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "nu"], "bb": ["stra", "thu", "gren", "poh"], "cc": ["ée", "çou", "ài", "ñe"]}
 
@@ -63,6 +63,69 @@ def test_evidence_decides_where_the_text_cannot(spark):
     assert [got[k] for k in range(900, 906)] == ["fr", "de", "de", "fr", "de", "fr"]
 
 
+def test_fusion_against_brute_force(spark):
+    """Posteriors by Bayes' rule written out, from counts made row by row."""
+    rows, df = corpus(spark)
+    rows = [(i, t, lang, h, {"host0": "de", "host1": "fr", "host2": "com"}.get(h), 0.0) for i, t, lang, h, _, _ in rows]
+    # Short texts, so that the other evidence counts; and a host that the rest says nothing of.
+    rows = [(i, t and t[:12], lang, h, s, x) for i, t, lang, h, s, x in rows] + [(2000, "ka", "zz", "elsewhere", "de", 0.0), (2001, "thugren stra", "bb", "", "", 0.0)]
+    df = spark.createDataFrame(rows, df.schema).repartition(3)
+    model = langid.train(df, id_col="doc_id", text_col="text", lang_col="lang")
+    known = model.languages[:-1]
+    assert known == ["aa", "bb", "cc", "zz"]
+    code = {"cc-XX": "cc", **{x: x for x in known}, None: None}
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    clear = []  # host, suffix, said, language
+    for _, t, lang, h, s, _ in rows:
+        logs = model.score(t)
+        p = softmax(logs) if logs is not None else np.zeros(5)
+        if p.argmax() < 4 and p.max() >= 0.9:
+            clear.append((h, s, code[lang], int(p.argmax())))
+    every = np.array([1.0 + sum(c[3] == k for c in clear) for k in range(4)])
+    every /= every.sum()
+    table = np.array([[0.5 + sum(c[3] == k and c[2] == x for c in clear) for x in known] + [0.5] for k in range(4)])
+    said = np.vstack([table / table.sum(axis=1)[:, None], table.sum(axis=0)[None, :] / table.sum()])
+    want = []
+    for i, t, lang, h, s, _ in rows:
+        logs = model.score(t)
+        if logs is None:
+            want.append((i, "und", 0.0))
+            continue
+        of_host = [c for c in clear if c[0] == h]
+        of_suffix = [c for c in clear if of_host and c[1] == max(c[1] for c in of_host)]
+        at = np.array([float(sum(c[3] == k for c in of_suffix)) for k in range(4)])
+        prior = (at + 50 * every) / (at.sum() + 50)
+        own = np.array([float(sum(c[3] == k for c in of_host)) for k in range(4)])
+        prior = (own + 20 * prior) / (own.sum() + 20)
+        p = softmax(logs + np.log(np.append(prior * 0.99, 0.01)) + (np.log(said[:, known.index(code[lang])]) if lang else 0))
+        want.append((i, model.languages[int(p.argmax())], round(float(p.max()), 5)))
+    got = langid.identify(df, declared=F.col("lang"), host=F.col("host"), suffix=F.col("suffix"), model=model).collect()
+    assert sorted(((r["doc_id"], r["lang"], round(r["posterior"], 5)) for r in got), key=str) == sorted(want, key=str)
+    kept = langid.identify(df, declared=F.col("lang"), host=F.col("host"), suffix=F.col("suffix"), model=model, keep_columns=True)
+    assert kept.count() == sum(r["accepted"] for r in got)
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    _, df = corpus(spark)
+    both = spark.createDataFrame([(1, "ka lo mi nu kalomi", "aa", "host0", None, 0.0), (1, "###", "aa", "host0", None, 0.0)], df.schema)
+    kept = langid.identify(df.filter("doc_id <> 1").unionByName(both), declared=F.col("lang"), host=F.col("host"), keep_columns=True)
+    assert [r["text"] for r in kept.filter("doc_id = 1").collect()] == ["ka lo mi nu kalomi"]
+
+
+def test_pages(spark, small):
+    """Every page gets a row, in the language that its markup declares where it declares one."""
+    got = queries.pages_language(spark, small)
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    both = got.join(pages, "page_id").withColumn("declared", langid.declared_code(langid.html_language(F.col("html")))).collect()
+    assert len(both) == pages.count() == got.count()
+    declared = [r for r in both if r["declared"] and r["lang"] != "und"]
+    assert sum(r["lang"] == r["declared"] for r in declared) >= 0.9 * len(declared)
+
+
 def test_html_language(spark):
     df = spark.createDataFrame([('<!DOCTYPE html><HTML class="x" lang="fr-CA"><p lang="de">',), ("<html><p lang='de'>",), (None,)], "html string")
     assert [r[0] for r in df.select(langid.declared_code(langid.html_language(F.col("html")))).collect()] == ["fr", None, None]
