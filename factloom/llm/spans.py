@@ -298,15 +298,20 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return gone.groupBy("id", "part").agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("spans"))
 
 
-def without(text: str, spans: list[dict]) -> tuple[str, int]:
-    """A text without the characters of spans, and how many sentences those have."""
-    out, at, done, n = [], 0, 0, 0
-    for s in sorted(spans, key=lambda s: (s["i"], s["j"])):
-        if s["a"] > at:
-            out.append(text[at : s["a"]])
-        n += max(0, s["j"] - max(done, s["i"]))
-        at, done = max(at, s["b"]), max(done, s["j"])
-    return "".join([*out, text[at:]]), n
+def _merged(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each list put together where they meet: list, first and last character, and how many sentences; in order."""
+    sizes = np.diff(spans.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    i, j, a, b = (c.to_numpy().astype(np.int64) for c in spans.flatten().flatten())
+    order = np.lexsort((i, row))
+    row, i, j, a, b = (x[order] for x in (row, i, j, a, b))
+    wide = np.int64(1) << 32
+    far, right = (np.maximum.accumulate(x + row * wide) - row * wide for x in (j, b))
+    begin = np.ones(len(row), bool)
+    begin[1:] = (row[1:] != row[:-1]) | (i[1:] > far[:-1])
+    begin = np.flatnonzero(begin)
+    last = np.append(begin[1:], len(row))[: len(begin)] - 1
+    return row[begin], a[begin], right[last], far[last] - i[begin]
 
 
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -331,9 +336,16 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             doc, text, spans = batch.columns
             mask = spans.is_valid()
-            new = [without(t, s) for t, s in zip(text.filter(mask).to_pylist(), spans.filter(mask).to_pylist())]
-            text = pc.replace_with_mask(text, mask, pa.array([t for t, _ in new], text.type))
-            n = pc.replace_with_mask(pa.array(np.zeros(len(doc), np.int64)), mask, pa.array([k for _, k in new], pa.int64()))
+            old = text.filter(mask).to_pylist()
+            kept, at, count = [[] for _ in old], [0] * len(old), np.zeros(len(old), np.int64)
+            row, left, right, sentences = _merged(spans.filter(mask))
+            np.add.at(count, row, sentences)
+            for k, a, b in zip(row.tolist(), left.tolist(), right.tolist()):
+                kept[k].append(old[k][at[k] : a])
+                at[k] = b
+            new = ["".join([*parts, x[end:]]) for parts, x, end in zip(kept, old, at)]
+            text = pc.replace_with_mask(text, mask, pa.array(new, text.type))
+            n = pc.replace_with_mask(pa.array(np.zeros(len(doc), np.int64)), mask, pa.array(count))
             yield pa.RecordBatch.from_arrays([doc, text, n], ["doc_id", "text", "n_removed"])
 
     return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_removed long")
