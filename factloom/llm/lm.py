@@ -8,11 +8,12 @@ the head are joined with their counts, so no word's count is left out.
 
 The model is a gated recurrent unit.  Each task trains a copy, from the same
 start, over all training documents of its partition, by backpropagation
-truncated to a window; the copies are averaged, weighted by their tokens.
-The output is a softmax over classes and one within the word's class.  A word
-outside the vocabulary is the unknown word: by its share of the counts if it
-is in the training documents, in the head or beyond it, else spelt by a
-byte-bigram model.
+truncated to a window; the copies are averaged, weighted by their tokens, in
+levels of bounded fan-in.  The output is a softmax over classes and one within
+the word's class.  A word outside the vocabulary is the unknown word: by its
+share of the counts if it is in the training documents, in the head or beyond
+it.  All words new to training are one word with one count, as in the base
+score.
 
 A document is scored from its first word to its end: the state goes from
 window to window, however long the text.  Documents run side by side in the
@@ -29,6 +30,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ from factloom.llm._shared import materialise
 
 #: What stands for the end of a text among words: no word has a space.
 END = b" "
-#: Bytes of spelling, and the bounds of a word.
-SYMBOLS = 256
+#: Copies of the model that are added up in one place.
+FAN = 64
 LN10 = float(np.log(10.0))
 
 
@@ -196,41 +198,37 @@ class Gru:
         return g | {"u": du, "b": dx.sum(axis=(0, 1)), "wx": (rows, sums)}, last, loss
 
     def train(self, ids: np.ndarray, starts: np.ndarray, squares: dict) -> None:
-        """One pass over a stream of tokens (a start symbol before each text), cut into columns."""
+        """One pass over a stream of tokens (a start symbol before each text), cut into columns; what is left over goes on from the last one."""
         n = len(ids) - 1
         columns = int(min(max(n // 2000, 8), self.shape.streams, max(n, 1)))
         length = n // columns
         if not length:
             return
-        x = ids[: length * columns].reshape(columns, length).T
-        y = ids[1 : length * columns + 1].reshape(columns, length).T
-        fresh = starts[: length * columns].reshape(columns, length).T
-        h = np.zeros((columns, self.shape.hidden), np.float32)
-        for t in range(0, length, self.shape.window):
+        whole = length * columns
+        x, y = ids[:whole].reshape(columns, length).T, ids[1 : whole + 1].reshape(columns, length).T
+        h = self._learn(x, y, starts[:whole].reshape(columns, length).T, np.zeros((columns, self.shape.hidden), np.float32), columns, squares)
+        if whole < n:
+            self._learn(ids[whole:n, None], ids[whole + 1 : n + 1, None], starts[whole:n, None], h[-1:], columns, squares)
+
+    def _learn(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, columns: int, squares: dict) -> np.ndarray:
+        """Steps over the windows of columns of tokens; the last state."""
+        scale = np.float32(1 / columns)
+        for t in range(0, len(x), self.shape.window):
             w = slice(t, t + self.shape.window)
             g, h, _ = self.gradients(x[w], y[w], fresh[w], h)
-            scale = np.float32(1 / columns)
             for name, d in g.items():
                 at, d = d if isinstance(d, tuple) else (slice(None), d)
                 d = np.clip(d * scale, -1, 1)
                 squares[name][at] += d * d
                 getattr(self, name)[at] -= self.shape.rate * d / np.sqrt(squares[name][at])
-
-
-def _spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring bytes of all words, each with the bound before and after it, and where each word's start."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    return raw[:-1] * SYMBOLS + raw[1:], np.cumsum(sizes) - sizes
+        return h
 
 
 class Scorer:
-    """What the tasks need: the head's ranks and counts, the model and the spelling."""
+    """What the tasks need: the head's ranks and counts, and the model."""
 
-    def __init__(self, head: list[tuple[bytes, int]], shape: Shape, rest: int, once: int):
-        """``rest``: tokens beyond the head; ``once``: words that occur once, as often as new words are to be expected."""
+    def __init__(self, head: list[tuple[bytes, int]], shape: Shape, rest: int):
+        """``rest``: tokens beyond the head."""
         self.shape = shape
         self.rank = {w: i for i, (w, _) in enumerate(head)}
         self.log_count = np.log10(np.array([c for _, c in head], np.float64) + 1)
@@ -238,13 +236,12 @@ class Scorer:
         counts = np.array([c for _, c in head[: shape.vocabulary - 1]], np.float64)
         # The unknown word comes first: it has what the vocabulary leaves.
         self.gru = Gru(classes_of(np.concatenate([[rest + sum(c for _, c in head[shape.vocabulary - 1 :])], counts]), shape.classes), shape)
-        self.spell = np.full(SYMBOLS * SYMBOLS, -np.log(SYMBOLS))
-        # What an unknown word is: one of the training documents by its count, or a new one to be spelt.
+        # What an unknown word is: one of the training documents by its count, or a new one, by one.
         beyond = np.array([c for _, c in head], np.float64)
-        self.unknown_count = float(beyond[shape.vocabulary - 1 :].sum() + rest + once + 1.0)
+        self.unknown_count = float(beyond[shape.vocabulary - 1 :].sum() + rest + 1.0)
         self.log_share = np.log(np.maximum(beyond, 0.5) / self.unknown_count)
         self.log_share[: shape.vocabulary - 1] = 0.0
-        self.log_new = float(np.log((once + 1.0) / self.unknown_count))
+        self.log_new = -float(np.log(self.unknown_count))
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
@@ -252,20 +249,9 @@ class Scorer:
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         return np.where((ranks >= 0) & (ranks < self.shape.vocabulary - 1), ranks + 1, 0)
 
-    def set_spelling(self, pairs: np.ndarray) -> None:
-        table = pairs.reshape(SYMBOLS, SYMBOLS) + 0.05
-        self.spell = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
-
-    def unknown(self, inside: np.ndarray, beyond: list[bytes]) -> float:
-        """Log-probability of a text's unknown words, given that they are unknown: ranks in the head, and words beyond it as if new."""
-        pairs, _ = _spelling(beyond)
-        return float(self.log_share[inside].sum() + self.spell[pairs].sum() + len(beyond) * self.log_new)
-
-    def gains(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """What words beyond the head have more, in log10, by their counts than as new ones."""
-        pairs, first = _spelling(words)
-        spelt = np.add.reduceat(self.spell[pairs], first) if words else np.zeros(0)
-        return (np.log(counts / self.unknown_count) - self.log_new - spelt) / LN10
+    def unknown(self, inside: np.ndarray, beyond: int) -> float:
+        """Log-probability of a text's unknown words, given that they are unknown: ranks in the head, and so many beyond it as if new."""
+        return float(self.log_share[inside].sum() + beyond * self.log_new)
 
     def score(self, texts: list[np.ndarray], unknown: list[float]) -> list[float]:
         """Log10-probability of each text, given its ranks (with the end) and what its unknown words have."""
@@ -294,8 +280,8 @@ class Scorer:
                 at += n
         total = np.zeros(len(texts))
         h = np.zeros((columns, self.shape.hidden), np.float32)
-        for t in range(0, rows, self.shape.window):
-            w = slice(t, t + self.shape.window)
+        for t in range(0, rows, 4 * self.shape.window):  # nothing is kept to go back, so there is room for more at once
+            w = slice(t, t + 4 * self.shape.window)
             live = np.flatnonzero(owner[t] >= 0)  # a column that is done stays so
             states, h_live = self.gru.steps(x[w][:, live], fresh[w][:, live], h[live])
             h[live] = h_live
@@ -343,7 +329,7 @@ def _train(texts: DataFrame, scorer: Scorer) -> None:
         gru = Gru(s.gru.cuts, s.shape)
         place = {w: r + 1 for w, r in s.rank.items() if r < s.shape.vocabulary - 1}.get
         squares = {x: np.full(getattr(gru, x).shape, 1e-4, np.float32) for x in Gru.NAMES}
-        seen, end = 0, [s.rank[END] + 1]
+        seen, end, part = 0, [s.rank[END] + 1], TaskContext.get().partitionId()
 
         def learn(stream: list[np.ndarray]) -> int:
             """One pass over texts, each a start symbol and its words; how many tokens those are."""
@@ -366,49 +352,31 @@ def _train(texts: DataFrame, scorer: Scorer) -> None:
             values = gru.flat().astype(np.float64) * seen
             values = np.pad(values, (0, -len(values) % BLOCK)).reshape(-1, BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values))), pa.array(np.full(len(values), seen)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), BLOCK).cast(pa.list_(pa.float64()))], ["block", "seen", "v"]
+                [pa.array(np.arange(len(values))), pa.array(np.full(len(values), part)), pa.array(np.full(len(values), seen)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), BLOCK).cast(pa.list_(pa.float64()))], ["block", "part", "seen", "v"]
             )
 
     def add(key, t):
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0)
-        return pa.table({"block": [key[0].as_py()], "seen": [sum(t["seen"].to_pylist())], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
-
-    kind = "block long, seen long, v array<double>"
-    parts = texts.mapInArrow(run, kind).groupBy("block").applyInArrow(add, kind).collect()  # as many numbers as the model has
+        return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "seen": [sum(t["seen"].to_pylist())], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+
+    kind = "block long, part long, seen long, v array<double>"
+    copies = materialise(texts.mapInArrow(run, kind), "lm-copies")
+    last = copies.agg(F.max("part")).first()[0]
+    while last is not None:
+        copies = copies.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(add, kind)
+        last = last // FAN or None
+    parts = copies.collect()  # as many numbers as the model has
     if parts:
         parts.sort(key=lambda r: r["block"])
         flat = np.concatenate([np.array(r["v"]) for r in parts])
         scorer.gru.load(flat[:size] / parts[0]["seen"])
 
 
-def _learn_spelling(counts: DataFrame, scorer: Scorer) -> None:
-    """Count neighbouring bytes of the rare words: those beyond the head, and those that occur twice at most."""
-    shared = counts.sparkSession.sparkContext.broadcast((scorer.rank, scorer.log_count < 0.5))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, rare = shared.value
-        pairs = np.zeros(SYMBOLS * SYMBOLS)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
-            pick = np.flatnonzero((at < 0) | rare[at])
-            code, first = _spelling([words[i] for i in pick.tolist()])
-            if len(code):
-                pairs += np.bincount(code, np.repeat(n[pick], np.diff(np.append(first, len(code)))), len(pairs))
-        code = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(pairs[code].astype(np.int64))], ["code", "n"])
-
-    pairs = np.zeros(SYMBOLS * SYMBOLS)
-    for r in counts.filter(F.col("word") != F.lit(END)).select("word", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # pairs of bytes at most
-        pairs[r["code"]] = r["n"]
-    scorer.set_spelling(pairs)
-
-
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), head_words: int = 131_072, head_bytes: int = 256) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
     ``base_score`` is the log10-probability under counts with one added,
-    ``score`` that under the model.  A null text is an empty one: its end
+    ``score`` that under the model; in both all words new to training are one.  A null text is an empty one: its end
     alone.  Rows that repeat each train and each get a row; a null id trains.
     Without rows to train on the model is as it starts.  The head has at most
     ``head_words`` words of at most ``head_bytes`` bytes.
@@ -417,7 +385,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     training = src.filter("not held_out").select("text")
     counts = materialise(word_counts(training), "lm-counts")
-    n, v, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The head: all words over a count that is chosen from a table of counts by powers, so that it has no more than its size.
     short = counts.filter((F.octet_length("word") <= head_bytes) & (F.col("word") != F.lit(END))).withColumn("power", F.floor(F.log2("n") * 8))
     cut, room = None, head_words - 1
@@ -429,8 +397,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     top = sorted(short.filter(F.col("power") >= cut).select("word", "n").collect(), key=lambda r: (-r["n"], bytes(r["word"]))) if cut is not None else []
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
     head = [(END, ends[0]["n"] if ends else 0)] + [(bytes(r["word"]), r["n"]) for r in top]
-    scorer = Scorer(head, shape, n - sum(c for _, c in head), once)
-    _learn_spelling(counts, scorer)
+    scorer = Scorer(head, shape, n - sum(c for _, c in head))
     _train(training, scorer)
     shared = spark.sparkContext.broadcast(scorer)
 
@@ -462,7 +429,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                 tail = Counter(beyond)
                 ranks = np.concatenate([ranks, end])
                 inside = ranks[ranks >= 0]
-                unknown.append(s.unknown(inside, beyond))
+                unknown.append(s.unknown(inside, len(beyond)))
                 rows.append((key, doc, held, len(ranks), int(s.known[inside].sum()), float(s.log_count[inside].sum()), tail))
                 texts.append(ranks.astype(np.int32))
                 size += len(ranks)
@@ -473,19 +440,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     keyed = src.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
     read = materialise(keyed.mapInArrow(run, kind), "lm-read")
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            pick = np.flatnonzero(s.ranks(words) < 0)
-            c = batch.column(1).to_numpy()[pick]
-            words = [words[i] for i in pick.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(s.gains(words, c))], ["word", "c", "gain"])
 
-    # Words beyond the head meet their counts here; a word not in training has none and stays a new one.
+    # Words beyond the head meet their counts here, and have those where a new word, which meets none, has one.
     tail = read.filter(F.size("tail") > 0).select("key", F.inline("tail"))
-    met = tail.join(counts.select("word", "n").mapInArrow(rest, "word binary, c long, gain double"), "word").groupBy("key").agg(
-        F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_logs"), F.sum(F.col("k") * F.col("gain")).alias("tail_gain")
+    beyond = counts if cut is None else counts.filter((F.octet_length("word") > head_bytes) | (F.floor(F.log2("n") * 8) < cut))
+    met = tail.join(beyond, "word").groupBy("key").agg(
+        F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_logs"), F.sum(F.col("k") * F.log10("n")).alias("tail_counts")
     )
     whole = read.drop("tail").join(met, "key", "left")
     logs = F.col("head_logs") + F.coalesce("tail_logs", F.lit(0.0))
@@ -496,5 +456,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_gain", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("tail_counts", F.lit(0.0))).alias("score"),
     )

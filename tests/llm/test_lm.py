@@ -37,7 +37,7 @@ def test_gradients_by_differences():
 def _scorer(texts):
     c = Counter(w for t in texts for w in lm.tokens(t))
     head = [(lm.END, len(texts)), *c.most_common(200)]
-    return lm.Scorer(head, SMALL, sum(c.values()) - sum(k for _, k in head[1:]), sum(v == 1 for v in c.values()))
+    return lm.Scorer(head, SMALL, sum(c.values()) - sum(k for _, k in head[1:]))
 
 
 def test_state_goes_through_whole_texts_whatever_runs_beside_them():
@@ -63,6 +63,47 @@ def test_classes_share_out_probability():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_token_trains():
+    """What columns leave over is trained too: a stream of any length changes the model by its last tokens."""
+    s = _scorer(["a b c d e f g h i j k l"] * 3)
+    for n in (300, 301, 317):
+        ids = np.random.default_rng(n).integers(1, 12, n + 1)
+        other = ids.copy()
+        other[-1] = ids[-1] % 12 + 1
+        flats = []
+        for x in (ids, other):
+            g = lm.Gru(s.gru.cuts, SMALL)
+            g.train(x, np.zeros(n + 1, bool), {k: np.full(getattr(g, k).shape, 1e-4, np.float32) for k in g.NAMES})
+            flats.append(g.flat())
+        assert not np.array_equal(*flats)
+
+
+def test_copies_are_averaged_by_their_tokens(spark):
+    """The sum in levels is that of all copies: more partitions than are added up in one place."""
+    rows = [(i, f"a b c d{i % 7} " * (1 + i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    old, flats = lm.FAN, []
+    try:
+        for lm.FAN in (2, 3, 64):
+            s = _scorer([t for _, t in rows])
+            lm._train(df.select("text"), s)
+            flats.append(s.gru.flat())
+    finally:
+        lm.FAN = old
+    assert np.allclose(flats[0], flats[2], atol=1e-6) and np.allclose(flats[1], flats[2], atol=1e-6)
+
+
+def test_unknown_words_share_out_probability():
+    """Words outside the vocabulary, new ones counted as one, have together what the unknown word has."""
+    texts = [" ".join(f"w{(i * k) % 90}" for k in range(40)) for i in range(60)]
+    c = Counter(w for t in texts for w in lm.tokens(t))
+    head = [(lm.END, len(texts)), *c.most_common(70)]
+    s = lm.Scorer(head, SMALL, sum(c.values()) - sum(k for _, k in head[1:]))
+    inside = sum(math.exp(s.unknown(np.array([r]), 0)) for r in range(SMALL.vocabulary - 1, len(head)))
+    beyond = sum(n * math.exp(s.log_new) for n in (k for w, k in c.items() if w not in s.rank))
+    assert inside + beyond + math.exp(s.unknown(np.zeros(0, int), 1)) == pytest.approx(1)
+
+
 def plain(rows):
     tok = [[w.decode() for w in lm.tokens(t)] + [" "] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
