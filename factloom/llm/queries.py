@@ -96,6 +96,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return store.totals()
 
 
+def token_count_changes(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """All documents inserted, toxic ones then deleted, and those of low quality revised to their text with single blanks; totals after folding."""
+    version = "byte_bpe_50k"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    store = tokencounts.Rollups(spark, f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
+
+    def send(batch: str, kind: str, some: DataFrame) -> None:
+        counted = tokencounts.token_counts(some, f"{tokenizers}/{version}.tiktoken", keep=["doc_id", "source", "lang"])
+        store.commit(batch, counted.withColumns({"kind": F.lit(kind), "version": F.lit(version)}))
+
+    send("load", "insert", docs)
+    low = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    send("blanks", "revise", low.withColumn("text", F.regexp_replace("text", r"(?U)\s+", " ")))
+    gone = labels.filter("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n_tokens"))
+    store.commit("take down", gone.distinct().withColumns({"kind": F.lit("delete"), "version": F.lit(version)}))
+    store.compact()
+    return store.totals()
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -108,6 +127,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
     "pages_language": pages_language,
+    "token_count_changes": token_count_changes,
 }
 
 _LOWER = f"translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}')"
