@@ -1,4 +1,4 @@
-"""The folder that all executors share, and fixpoints over written rounds."""
+"""The folder that all executors share, and iterations over written rounds."""
 
 from __future__ import annotations
 
@@ -22,31 +22,114 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+class Rounds:
+    """Tables written to the shared folder, under one folder of their own.
+
+    Each is read again as it was written, which cuts its lineage.  ``drop``
+    deletes tables that no result needs any more.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        """The path of a table that is now written, and the table."""
+        path = f"{self.path}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self.write(df)[1]
+
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """A table written to the shared folder and read again; this cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table written to the shared folder and read again."""
+    return Rounds(df.sparkSession, label).keep(df)
 
 
-def fixpoint(start: DataFrame, grow: Callable[[DataFrame, DataFrame], DataFrame], label: str, most: int = 100) -> DataFrame:
-    """All rows reachable from ``start``: ``grow(frontier, seen)`` gives the next rows, of which those not seen go on.
+def fixpoint(start: DataFrame, grow: Callable[[DataFrame, DataFrame], DataFrame], label: str) -> DataFrame:
+    """All rows reachable from ``start``: ``grow(frontier, seen)`` gives the next rows, of which those not seen go on, until there are none.
 
-    Semi-naive: each round joins only what the last one added.  Rounds are
-    written, so the plan stays short, and only whether a round added rows
-    comes to the driver.
+    Semi-naive: each round joins only what the last one added, and only that
+    is written.  Whether a round added rows is all that comes to the driver.
     """
-    seen = frontier = written(start.distinct(), label)
-    for _ in range(most):
-        names = seen.columns
+    rounds = Rounds(start.sparkSession, label)
+    path, frontier = rounds.write(start.distinct())
+    paths, names = [path], start.columns
+    while True:
+        seen = rounds.spark.read.schema(start.schema).parquet(*paths)
         fresh = grow(frontier, seen).toDF(*names).distinct()
         old = seen.toDF(*(f"old_{c}" for c in names))
-        same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in names]
-        on = same[0]
-        for s in same[1:]:
-            on = on & s
-        frontier = written(fresh.join(old, on, "left_anti"), label)
+        on = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in names]
+        path, frontier = rounds.write(fresh.join(old, on, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = written(seen.union(frontier), label)
-    raise RuntimeError(f"no fixpoint after {most} rounds")
+        paths.append(path)
+
+
+class Chains:
+    """Steps along chains of nodes with one edge out each, by powers of two.
+
+    A frontier that walks a long chain node by node takes a round for each;
+    with the 2^k-th successors of such nodes, which are no more rows than
+    edges, it takes one for each k.  ``edges``: src, dst, without repeats.
+    """
+
+    def __init__(self, edges: DataFrame, rounds: Rounds):
+        self.rounds = rounds
+        only = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst")
+        self.powers = [rounds.keep(only)]
+
+    def along(self, rows: DataFrame, depth: str | None = None) -> DataFrame:
+        """Rows (.., node) and what chains lead to from there in steps up to twice those of the last time; ``depth`` counts them."""
+        last = self.powers[-1]
+        for k, p in enumerate(self.powers):
+            step = rows.join(p, F.col("node") == F.col("src")).withColumn("node", F.col("dst"))
+            if depth:
+                step = step.withColumn(depth, F.col(depth) + (1 << k))
+            rows = self.rounds.keep(rows.unionByName(step.select(*rows.columns)).distinct())
+        self.powers.append(self.rounds.keep(last.toDF("src", "mid").join(last.toDF("mid", "dst"), "mid").select("src", "dst")))
+        return rows
+
+
+def stars(edges: DataFrame, label: str) -> DataFrame:
+    """Rows (node, root): the least node that each can be linked to; ``edges``: two columns of one type that has an order.
+
+    Rounds of large stars (a node's greater neighbours go to its least one)
+    and small stars (its lesser ones do), until a round changes nothing; their
+    number grows with the logarithm of the longest chain.  Both are grouped
+    minima and a join, so no task holds a node's neighbours.
+    """
+    rounds = Rounds(edges.sparkSession, label)
+    path, now = rounds.write(edges.toDF("a", "b").filter("a <> b").distinct())
+
+    def to_least(pairs: DataFrame) -> DataFrame:
+        """(other, least) of each pair (node, other), where least is the least of all others and the node."""
+        least = pairs.groupBy("node").agg(F.min("other").alias("m")).select(F.col("node").alias("at"), F.least("node", "m").alias("least"))
+        return pairs.join(least, F.col("node") == F.col("at"))
+
+    def sign(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = sign(now)
+    while before[0]:
+        both = now.toDF("node", "other").union(now.select("b", "a"))
+        large = to_least(both).filter("other > node").select(F.col("other").alias("a"), F.col("least").alias("b"))
+        middle, large = rounds.write(large.filter("a <> b").distinct())
+        down = to_least(large.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")))
+        small = down.select(F.col("other").alias("a"), F.col("least").alias("b")).union(down.select("node", "least"))
+        done, now = rounds.write(small.filter("a <> b").distinct())
+        rounds.drop(path, middle)
+        path, after = done, sign(now)
+        if after == before:
+            break
+        before = after
+    roots = now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+    alone = edges.toDF("a", "b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return alone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.shared import fixpoint, written
+from factloom.functions.shared import Chains, Rounds, fixpoint, stars, written
 
 
 def coupling(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -40,48 +40,123 @@ def dependency_nodes(members: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(counted, "node", "full").select("node", F.coalesce("members", F.lit(0)).cast("long").alias("members"))
 
 
+#: Rounds of single steps before chains are walked by powers of two.
+SINGLE_STEPS = 8
+
+
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """Pairs (src, dst) such that a path of one edge or more leads from src to dst; cycles are no problem."""
+    """Pairs (src, dst) such that a path of one edge or more leads from src to dst; cycles are no problem.
+
+    Of all nodes, pairs are joined with pairs, so that the rounds grow with
+    the logarithm of the longest path; the result has a row for each pair.
+    With ``starts`` only what they lead to is looked at.
+    """
     e = written(edges.select("src", "dst").distinct(), "closure-edges")
-    begin = e if starts is None else e.join(starts.toDF("src"), "src", "left_semi")
+    if starts is not None:
+        return _reached(e, e.join(starts.toDF("src").distinct(), "src", "left_semi"))
+
+    def grow(frontier: DataFrame, seen: DataFrame) -> DataFrame:
+        def then(x: DataFrame, y: DataFrame) -> DataFrame:
+            return x.toDF("a", "b").join(y.toDF("c", "d"), F.col("b") == F.col("c")).select("a", "d")
+
+        return then(frontier, seen).union(then(seen, frontier))
+
+    return fixpoint(e, grow, "closure")
+
+
+def _reached(e: DataFrame, begin: DataFrame) -> DataFrame:
+    """Pairs (src, dst) that single steps from given pairs lead to; long chains are walked by powers of two."""
+    rounds, state = Rounds(e.sparkSession, "reached"), {"round": 0}
 
     def grow(frontier: DataFrame, seen: DataFrame) -> DataFrame:
-        step = frontier.toDF("a", "b").join(e.toDF("c", "d"), F.col("b") == F.col("c"))
-        return step.select("a", "d")
+        step = frontier.toDF("start", "at").join(e.toDF("c", "node"), F.col("at") == F.col("c")).select("start", "node")
+        state["round"] += 1
+        if state["round"] <= SINGLE_STEPS:
+            return step
+        state.setdefault("chains", Chains(e, rounds))
+        return state["chains"].along(step)
 
-    return fixpoint(begin.select("src", "dst"), grow, "closure")
+    return fixpoint(begin, grow, "closure")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """Members of cycles (component, node, size): nodes that reach each other, named by their least node.
 
     A canonical definition: it doesn't depend on the order of a traversal.
+    Nodes that no cycle can pass through are trimmed; then the greatest node
+    that leads to each goes forwards as a colour, and what leads back to the
+    node of its own colour is a component.  All tables are as long as the
+    nodes or edges; rounds grow with the longest path that is left.
     """
-    paths = closure(edges)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi")
-    named = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"), F.count("*").alias("size"))
-    return named.select("component", "node", "size")
+    e = edges.select("src", "dst").distinct()
+    rounds = Rounds(edges.sparkSession, "cycles")
+    path, live = rounds.write(e.filter("src <> dst"))
+    found = []
+    while True:
+        n = live.count()
+        while n:
+            open_ends = live.join(live.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi")
+            open_ends = open_ends.join(live.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi")
+            new_path, live = rounds.write(open_ends)
+            rounds.drop(path)
+            path, before, n = new_path, n, live.count()
+            if n == before:
+                break
+        if not n:
+            break
+        colours = _coloured(live, rounds)
+        same = rounds.keep(
+            live.join(colours.toDF("src", "a"), "src").join(colours.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", F.col("a").alias("colour"))
+        )
+        back = fixpoint(
+            colours.filter("node = colour"),
+            lambda frontier, seen: frontier.toDF("dst", "c").join(same, "dst").filter("c = colour").select("src", "colour"),
+            "cycles-back",
+        )
+        found.append(back)
+        rest = same.join(back.select(F.col("node").alias("k")), F.col("src") == F.col("k"), "left_anti").join(back.select(F.col("node").alias("k")), F.col("dst") == F.col("k"), "left_anti")
+        new_path, live = rounds.write(rest.select("src", "dst"))
+        rounds.drop(path)
+        path = new_path
+    members = reduce(DataFrame.union, found) if found else live.select(F.col("src").alias("node"), F.col("src").alias("colour"))
+    named = members.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    inner = members.join(named, "colour").select("component", "node", "size")
+    loops = e.filter("src = dst").select(F.col("src").alias("node")).join(inner.select("node"), "node", "left_anti")
+    return inner.unionByName(loops.select(F.col("node").alias("component"), "node", F.lit(1).cast("long").alias("size")))
+
+
+def _coloured(live: DataFrame, rounds: Rounds) -> DataFrame:
+    """Rows (node, colour): the greatest node from which each can be reached, or itself."""
+    nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+    path, now = rounds.write(nodes.select("node", F.col("node").alias("colour")))
+    moved = now
+    while True:
+        came = moved.join(live, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.max("colour").alias("more"))
+        new = now.join(came, F.col("node") == F.col("to"), "left").select("node", F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("up"))
+        new_path, new = rounds.write(new)
+        rounds.drop(path)
+        path, now, moved = new_path, new.select("node", "colour"), new.filter("up").select("node", "colour")
+        if moved.isEmpty():
+            return now
 
 
-def shared_components(access: DataFrame, most: int = 100) -> DataFrame:
+def shared_components(access: DataFrame) -> DataFrame:
     """Least reachable ``item`` of each (scope, item) over shared members, within each scope.
 
-    ``access``: scope, item, member.  Labels go from items to members and
-    back, both ways by minima, so items that share a member are never paired.
+    ``access``: scope, item, member; a null scope, item or member links
+    nothing.  Items and members are nodes of one graph, so items that share a
+    member are never paired.
     """
-    links = written(access.select("scope", "item", "member").distinct(), "components-links")
-    labels = written(links.select("scope", "item", F.col("item").alias("label")).distinct(), "components")
-    for _ in range(most):
-        at = links.join(labels.toDF("scope", "item", "label"), ["scope", "item"])
-        low = at.groupBy("scope", "member").agg(F.min("label").alias("low"))
-        new = links.join(low, ["scope", "member"]).groupBy("scope", "item").agg(F.min("low").alias("label"))
-        new = written(new, "components")
-        moved = new.join(labels.withColumnRenamed("label", "was"), ["scope", "item"]).filter("label <> was")
-        labels = new
-        if moved.isEmpty():
-            return labels
-    raise RuntimeError(f"no fixpoint after {most} rounds")
+    whole = access.select("scope", "item", "member").filter("scope is not null and item is not null and member is not null")
+    kind = whole.schema
+    nothing = [F.lit(None).cast(kind[c].dataType) for c in ("item", "member")]
+
+    def node(side: int) -> Column:
+        # Items come before members, so the least node of a component is an item.
+        return F.struct(F.col("scope"), F.lit(side).alias("side"), *((F.col(c) if k == side else nothing[k]).alias(c) for k, c in enumerate(("item", "member"))))
+
+    found = stars(whole.select(node(0).alias("a"), node(1).alias("b")), "components")
+    return found.filter("node.side = 0").select("node.scope", "node.item", F.col("root.item").alias("label"))
 
 
 def cohesion(access: DataFrame, least_items: int = 2) -> DataFrame:
@@ -99,27 +174,39 @@ def shared_members(access: DataFrame, least: int = 2) -> DataFrame:
     return access.groupBy("member").agg(F.countDistinct("item").alias("users")).filter(F.col("users") >= least)
 
 
-def hierarchy(edges: DataFrame, root, most_depth: int = 16) -> DataFrame:
+def hierarchy(edges: DataFrame, root, most_depth: int | None = None) -> DataFrame:
     """All nodes below a root with their depth (node, parent, depth); ``edges``: child, parent, without cycles.
 
-    A node below the root on several ways has a row for each of its parents.
+    A node below the root on several ways has a row for each of its parents
+    and depths.  ``most_depth``: how far to look, or no end.  A cycle below
+    the root is an error.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("factloom_hierarchy_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE down(node, parent, depth) AS (
-            SELECT child, parent, 1 FROM factloom_hierarchy_edges WHERE parent = :root
-            UNION ALL
-            SELECT e.child, e.parent, d.depth + 1 FROM down d JOIN factloom_hierarchy_edges e ON e.parent = d.node WHERE d.depth < {int(most_depth)}
-        ) SELECT node, parent, depth FROM down""",
-        {"root": root},
-    )
-
-
-def ancestors(edges: DataFrame, node, most_depth: int = 16) -> DataFrame:
-    """All nodes above a node with their depth (node, depth)."""
+    e = written(edges.select("child", "parent").distinct(), "hierarchy-edges")
+    down = e.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    rounds, state = Rounds(e.sparkSession, "hierarchy"), {"round": 0}
+
+    def grow(frontier: DataFrame, seen: DataFrame) -> DataFrame:
+        step = frontier.join(down, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("depth") + 1)
+        step = step.toDF("node", "depth")
+        state["round"] += 1
+        if state["round"] > SINGLE_STEPS:
+            state.setdefault("chains", Chains(down, rounds))
+            state.setdefault("longest", e.count())
+            step = state["chains"].along(step, "depth")
+            if not step.filter(F.col("depth") > state["longest"]).isEmpty():
+                raise ValueError("the hierarchy has a cycle")
+        return step if most_depth is None else step.filter(F.col("depth") < most_depth)
+
+    begin = e.sparkSession.range(1).select(F.lit(root).cast(e.schema["parent"].dataType).alias("node"), F.lit(0).alias("depth"))
+    above = fixpoint(begin, grow, "hierarchy")
+    below = above.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), "parent", (F.col("depth") + 1).alias("depth"))
+    return below.distinct()
+
+
+def ancestors(edges: DataFrame, node, most_depth: int | None = None) -> DataFrame:
+    """All nodes above a node with their depth (node, depth), once for each depth."""
     up = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return hierarchy(up, node, most_depth).select("node", "depth")
+    return hierarchy(up, node, most_depth).select("node", "depth").distinct()
 
 
 def callers_callees(calls: DataFrame, symbol, limit: int = 100) -> DataFrame:

@@ -339,11 +339,11 @@ def rename_preview(spark: SparkSession, d: str) -> DataFrame:
     return changes.affected_files(sites)
 
 
-@query("workspace_changes", "SELECT event_id AS seq, user_id AS file, event_type AS tool, ts AS applied_at FROM events WHERE event_type IN ('purchase', 'signup') ORDER BY seq LIMIT 500")
+@query("workspace_changes", "SELECT event_id AS seq, user_id AS file, event_type AS tool, ts AS applied_at FROM events WHERE event_type IN ('purchase', 'signup')")
 def workspace_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The first page of the change log."""
+    """The change log, whole."""
     log = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "signup"))
-    return log.select(F.col("event_id").alias("seq"), F.col("user_id").alias("file"), F.col("event_type").alias("tool"), F.col("ts").alias("applied_at")).orderBy("seq").limit(500)
+    return log.select(F.col("event_id").alias("seq"), F.col("user_id").alias("file"), F.col("event_type").alias("tool"), F.col("ts").alias("applied_at"))
 
 
 @query("revert_by_sequence", "SELECT event_id AS seq, user_id AS file FROM events WHERE event_id > 100 AND user_id IN (SELECT user_id FROM events WHERE event_id = 100)")

@@ -73,3 +73,40 @@ def test_hierarchy(spark):
 def test_callers_keep_sites_and_callees_don_t(spark):
     calls = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("x", "b", 3), ("x", "b", 4)], "caller string, callee string, site int")
     assert sorted(map(tuple, graph.callers_callees(calls, "x").collect())) == [("callee", "b", 3), ("caller", "a", 1), ("caller", "a", 2)]
+
+
+def test_chains_of_a_thousand(spark):
+    """No walk ends early: hierarchy, closure from a start, and components over a chain of 1,000."""
+    n = 1000
+    chain = spark.range(n).selectExpr("format_string('n%04d', id + 1) as child", "format_string('n%04d', id) as parent")
+    down = graph.hierarchy(chain, "n0000")
+    assert down.count() == n and down.filter("int(substr(node, 2)) = depth").count() == n
+    assert graph.hierarchy(chain, "n0000", most_depth=300).count() == 300
+    e = chain.selectExpr("parent as src", "child as dst")
+    starts = spark.createDataFrame([("n0010",)], "node string")
+    assert graph.closure(e, starts).count() == n - 10
+    access = spark.range(n).selectExpr("'T' as scope", "format_string('m%04d', id) as item", "explode(array(id, id + 1)) as member")
+    assert [r["lcom4"] for r in graph.cohesion(access).collect()] == [1]
+
+
+def test_closure_of_a_long_path_and_its_cycle(spark):
+    e = spark.range(120).selectExpr("id as src", "id + 1 as dst")
+    assert graph.closure(e).count() == 120 * 121 // 2
+    around = spark.range(20).selectExpr("id as src", "(id + 1) % 20 as dst").union(spark.range(20, 28).selectExpr("id as src", "id + 1 as dst")).union(spark.createDataFrame([(3, 20), (27, 27), (30, 31), (31, 30)], "src long, dst long"))
+    got = {r["node"]: (r["component"], r["size"]) for r in graph.cycles(around).collect()}
+    assert got == {k: (0, 20) for k in range(20)} | {27: (27, 1), 30: (30, 2), 31: (30, 2)}
+
+
+def test_hierarchy_with_several_ways_and_with_a_cycle(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("c", "b"), ("e", "d")], "child string, parent string")
+    want = {("b", "a", 1), ("c", "a", 1), ("c", "b", 2), ("d", "b", 2), ("d", "c", 2), ("d", "c", 3), ("e", "d", 3), ("e", "d", 4)}
+    assert {tuple(r) for r in graph.hierarchy(e, "a").collect()} == want
+    with pytest.raises(ValueError):
+        graph.hierarchy(spark.createDataFrame([("b", "a"), ("a", "b")], "child string, parent string"), "a")
+
+
+def test_empty_graphs(spark):
+    none = edges(spark, [])
+    assert graph.closure(none).count() == graph.cycles(none).count() == 0
+    assert graph.cohesion(spark.createDataFrame([], "scope string, item string, member string")).count() == 0
+    assert graph.hierarchy(none.toDF("child", "parent"), "a").count() == 0
