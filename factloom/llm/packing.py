@@ -53,6 +53,8 @@ class _Trial:
 
     def _set(self, length: int, n: int) -> None:
         if n > 0:
+            if length not in self.free:  # what a trial took went elsewhere
+                insort(self.lengths, length)
             self.free[length] = n
         elif self.free.pop(length, None) is not None:
             self.lengths.pop(bisect_left(self.lengths, length))

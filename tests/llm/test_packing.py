@@ -91,6 +91,23 @@ def test_sizes_against_exhaustive_search(lengths, fixed):
     assert all(used[b] == u <= size for first, n, u, size in plans[None].bins for b in range(first, first + n))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 400), min_size=1, max_size=20))
+def test_plan_of_many_pieces_places_each_once(counts):
+    """Bins open in groups here, and what trials took for them may go elsewhere."""
+    plan = packing.Plan(counts, (4, 8, 16, 32))
+    ranks, used = Counter(), Counter()
+    for length, rank, n, first, offset in plan.runs:
+        assert rank == ranks[length]
+        ranks[length] += n
+        for k in range(first, first + n):
+            assert offset == used[k]
+            used[k] += length
+    assert ranks == Counter(counts)
+    assert {b: u for first, n, u, _ in plan.bins for b in range(first, first + n)} == dict(used)
+    assert all(u <= size for _, _, u, size in plan.bins)
+
+
 def test_choosing_sizes_bin_by_bin_can_beat_any_one_size():
     """Pieces that fill small bins best beside pieces that fill large ones best, where each bin has a fixed cost."""
     rng = random.Random(3)
