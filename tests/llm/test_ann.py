@@ -71,3 +71,38 @@ def test_pruning_is_exact_at_factor_one_and_keeps_recall_above():
         looked[factor] = seen[0]
         assert recall >= (1.0 if factor == 1.0 else 0.9), (factor, recall)
     assert looked[1.1] < looked[1.0] < q.sum() * 6000
+
+
+def test_a_third_of_all_vectors_alike(spark):
+    """One region then holds more than a task may, and is dealt to several shards."""
+    rng = random.Random(4)
+    rows = [(i, [1.0, 2.0, -1.0] if i % 3 == 0 else [rng.gauss(0, 2) for _ in range(3)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    same(ann.nearest(df, k=5, shard_values=200, block_values=30).collect(), plain(rows, 20, 5))
+
+
+def test_routed_recall(spark):
+    """Queries go to their own region and those in reach only: all is found at factor one, nine tenths at a larger one."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 6)) * 5
+    rows = [(i, (centres[rng.integers(12)] + rng.normal(size=6) * 0.3).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = {(q, j) for q, _, j, _ in plain(rows, 20, 10)}
+    for factor, least in ((1.0, 1.0), (1.2, 0.9)):
+        got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, k=10, factor=factor, shard_values=900).collect()}
+        assert len(got & want) >= least * len(want)
+
+
+def test_regions_hold_what_bounds_reach():
+    """A region that a query's ball can't reach holds no vector as near as its k-th best."""
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(4000, 4)) * rng.uniform(0.2, 3, size=(4000, 1))
+    regions = ann.Regions(points[::7], float((points**2).sum(axis=1).max()), 16)
+    home = regions.of(points)
+    assert regions.count == 16 and set(home) <= set(range(16))
+    queries = points[:100]
+    score = queries @ points.T
+    worst = np.sort(score, axis=1)[:, -10]
+    reach = {(q, r) for r, at in regions.reached(queries, worst, 1.0) for q in at.tolist()}
+    assert all((q, home[p]) in reach for q, p in zip(*np.nonzero(score >= worst[:, None])))
+    assert len(reach) < 100 * 16
