@@ -68,3 +68,69 @@ def upsert(rows: DataFrame, keys: list[str], new: DataFrame) -> DataFrame:
 def conflicts(moved: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that can't be moved since their keys are taken."""
     return moved.join(present.select(*keys).distinct(), keys, "left_semi")
+
+
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a change makes of a table: rows that go (change ``-``) and rows that come (``+``), as often as they do."""
+    after = after.select(*before.columns)
+    gone, come = before.exceptAll(after), after.exceptAll(before)
+    return gone.withColumn("change", F.lit("-")).unionByName(come.withColumn("change", F.lit("+")))
+
+
+def replaced(rows: DataFrame, where: Column, **values) -> DataFrame:
+    """Rows in which columns have new values (columns or constants) where a condition holds; null is not held."""
+    new = {c: F.when(where, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) for c, v in values.items()}
+    return rows.select(*(new.get(c, F.col(c)) for c in rows.columns))
+
+
+def without(rows: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """Rows whose keys are not among those of ``gone``."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
+
+
+def inserted(rows: DataFrame, keys: list[str], new: DataFrame) -> DataFrame:
+    """Rows, and those of ``new`` whose keys are not taken."""
+    return rows.unionByName(new.join(rows.select(*keys).distinct(), keys, "left_anti").select(*rows.columns))
+
+
+def rewritten(rows: DataFrame, column: str, pattern: str, goal: str) -> DataFrame:
+    """Rows in which a column's matches of a pattern are replaced; rows that have none stay as they are."""
+    return rows.withColumn(column, F.regexp_replace(column, pattern, goal)).select(*rows.columns)
+
+
+def fold(rows: DataFrame, steps: list, valid: Column | None = None) -> DataFrame:
+    """Rows after steps in order, all or none: where any row of the end fails ``valid``, the rows as they were."""
+    after = rows
+    for step in steps:
+        after = step(after).select(*rows.columns)
+    if valid is None:
+        return after
+    wrong = after.agg(F.coalesce(F.bool_or(~valid), F.lit(False)).alias("wrong"))
+    return after.crossJoin(F.broadcast(wrong)).filter("not wrong").drop("wrong").unionByName(rows.crossJoin(F.broadcast(wrong)).filter("wrong").drop("wrong"))
+
+
+def file_checks(files: DataFrame, asked: DataFrame, root: str) -> DataFrame:
+    """Whether files can be created, deleted or moved (op, path, target, verdict).
+
+    ``files``: path; ``asked``: op (create, delete or move), path and, for a
+    move, target.  Verdicts: ok, missing, exists, outside (of the root), same.
+    """
+    taken = files.select(F.col("path").alias("k")).distinct()
+    old = asked.join(taken, F.col("path") == F.col("k"), "left").withColumn("old", F.col("k").isNotNull()).drop("k")
+    both = old.join(taken, F.col("target") == F.col("k"), "left").withColumn("new", F.col("k").isNotNull()).drop("k")
+    move, create = F.col("op") == "move", F.col("op") == "create"
+    out = ~F.coalesce(F.when(move, F.col("target")).otherwise(F.col("path")).startswith(root), F.lit(False))
+    verdict = (
+        F.when((create | move) & out, "outside").when(create & F.col("old"), "exists").when(~create & ~F.col("old"), "missing")
+        .when(move & (F.col("path") == F.col("target")), "same").when(move & F.col("new"), "exists").otherwise("ok")
+    )
+    return both.select("op", "path", "target", verdict.alias("verdict"))
+
+
+def files_after(files: DataFrame, checked: DataFrame) -> DataFrame:
+    """Files (path, text) after those of checked operations that are ok; a file that is moved keeps its text; created ones have ``text``."""
+    ok = checked.filter("verdict = 'ok'")
+    moved = ok.filter("op = 'move'").select(F.col("path").alias("k"), "target")
+    left = files.join(ok.filter("op = 'delete'").select("path"), "path", "left_anti").join(moved, F.col("path") == F.col("k"), "left")
+    made = ok.filter("op = 'create'").select("path", F.lit("").alias("text"))
+    return left.select(F.coalesce("target", "path").alias("path"), "text").unionByName(made)

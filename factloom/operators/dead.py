@@ -67,3 +67,21 @@ def removable(symbols: DataFrame, gone: DataFrame) -> DataFrame:
     marked = symbols.join(gone.select(F.col("symbol").alias("g")).distinct(), F.col("symbol") == F.col("g"), "left")
     n = marked.groupBy("path").agg(F.count("g").alias("removed"), F.sum(F.col("g").isNull().cast("long")).alias("left"))
     return n.filter("removed > 0")
+
+
+def data_flow(events: DataFrame, lo, hi) -> DataFrame:
+    """Variables of each body by what flows through the span lo..hi (body, local, flows_in, flows_out, inside).
+
+    ``events``: body, local, event (read or write), at.  In: written before
+    the span and read in it before any write; out: written in it and read
+    after; inside: all its events are in it.  Variables without an event in
+    the span have no row.
+    """
+    at, read, write = F.col("at"), F.col("event") == "read", F.col("event") == "write"
+    within = at.between(lo, hi)
+    n = events.groupBy("body", "local").agg(
+        F.bool_or(within).alias("seen"), F.bool_or(write & (at < lo)).alias("before"), F.min(F.when(within & read, at)).alias("r"), F.min(F.when(within & write, at)).alias("w"),
+        F.bool_or(read & (at > hi)).alias("after"), F.bool_and(within).alias("inside"),
+    )
+    came = F.col("before") & F.col("r").isNotNull() & (F.col("w").isNull() | (F.col("r") <= F.col("w")))
+    return n.filter("seen").select("body", "local", came.alias("flows_in"), (F.col("w").isNotNull() & F.col("after")).alias("flows_out"), "inside")

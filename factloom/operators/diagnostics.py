@@ -93,3 +93,16 @@ def suppressed(points: DataFrame, spans: DataFrame) -> DataFrame:
     asked = points.select("scope", "at", F.lit(1).alias("side"), "point", F.lit(None).cast(spans.schema["hi"].dataType).alias("hi"))
     last = F.last("hi", ignorenulls=True).over(Window.partitionBy("scope").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     return marks.unionByName(asked).withColumn("until", last).filter("side = 1").select("point", F.coalesce(F.col("at") <= F.col("until"), F.lit(False)).alias("suppressed"))
+
+
+def fixes(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Fixes that a catalogue has for diagnostics, numbered in order for each (place, rule, action, fix); ``rows``: place, rule; ``catalogue``: rule, fix."""
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.partitionBy("place", "rule").orderBy("fix")) - 1
+    return rows.join(catalogue, "rule").select("place", "rule", n.cast("int").alias("action"), "fix")
+
+
+def fix_at(rows: DataFrame, catalogue: DataFrame, place, action: int) -> DataFrame:
+    """The one fix of a place that is asked for (place, rule, fix)."""
+    return fixes(rows.filter(F.col("place") == place), catalogue).filter(F.col("action") == action).select("place", "rule", "fix")

@@ -229,3 +229,18 @@ def impact(parts: dict[str, DataFrame]) -> DataFrame:
 def neighbours(edges: DataFrame) -> DataFrame:
     """Each node with its sorted distinct targets, joined by commas, and their number (node, targets, n)."""
     return edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set(F.col("dst").cast("string"))).alias("t")).select("node", F.array_join("t", ",").alias("targets"), F.size("t").cast("long").alias("n"))
+
+
+def sweep(parts: dict[str, DataFrame], most: int) -> DataFrame:
+    """Places of each category in order, at most some of each, beside totals from before that cut (category, id, total); each frame has a column ``id``."""
+    from pyspark.sql.window import Window
+
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("category"), "id") for k, df in parts.items()))
+    n = rows.groupBy("category").agg(F.count("*").alias("total"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("id"))).filter(F.col("rn") <= most).drop("rn")
+    return first.join(F.broadcast(n), "category")
+
+
+def outline(edges: DataFrame, root, most_depth: int) -> DataFrame:
+    """What is below a root to some depth, by kind of depth (depth, nodes, first, last)."""
+    return hierarchy(edges, root, most_depth).groupBy("depth").agg(F.countDistinct("node").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"))

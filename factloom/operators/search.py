@@ -38,6 +38,21 @@ def grep(lines: DataFrame, pattern: str, scope: str | None = None, limit: int =
     return lines.filter(found).select("id", "line", snippet(text).alias("snippet")).orderBy("id", "line").limit(limit)
 
 
+#: Kinds of tokens of the scopes of a search (fixed values).
+TOKEN_SCOPES = {"identifiers": ("identifier",), "strings": ("string",), "comments": ("comment",), "all": ("identifier", "string", "comment")}
+
+
+def grep_tokens(tokens: DataFrame, pattern: str, scope: str = "all", limit: int = 500) -> DataFrame:
+    """Tokens of a scope in which a pattern is found (id, line, col, kind, snippet), in order of place, then limited.
+
+    ``tokens``: id, line, col, kind (identifier, string, comment or other), text.
+    """
+    if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
+        raise ValueError("look-around and back-references are not supported")
+    hit = tokens.filter(F.col("kind").isin(*TOKEN_SCOPES[scope.lower()]) & F.col("text").rlike(pattern))
+    return hit.select("id", "line", "col", "kind", snippet(F.col("text")).alias("snippet")).orderBy("id", "line", "col").limit(limit)
+
+
 def parse_query(query: str, words: dict[str, Column]) -> tuple[list[Column], list[str]]:
     """Predicates that a query in words names, and what is left of it.
 

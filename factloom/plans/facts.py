@@ -71,16 +71,6 @@ def security_analyzer_status(spark: SparkSession, d: str) -> DataFrame:
     return deps.presence(table(spark, d, "part").select(F.col("p_brand").alias("name")), _WANTED)
 
 
-@query("vulnerability_scan", """WITH v AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id FROM events),
-s AS (SELECT CASE WHEN k >= 90 THEN 'Critical' WHEN k >= 70 THEN 'High' WHEN k >= 40 THEN 'Moderate' ELSE 'Low' END AS severity, user_id AS package FROM v WHERE k IS NOT NULL)
-SELECT severity, count(*) AS findings, count(DISTINCT package) AS packages FROM s GROUP BY severity""")
-def vulnerability_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Findings from JSON: the key k as a score."""
-    k = F.from_json("props", "k int").getField("k")
-    severity = F.when(k >= 90, "Critical").when(k >= 70, "High").when(k >= 40, "Moderate").when(k.isNotNull(), "Low")
-    return deps.vulnerabilities(table(spark, d, "events").select(severity.alias("severity"), F.col("user_id").alias("package")), ["Critical", "High", "Moderate", "Low"])
-
-
 @query("compile_check", f"""SELECT count(*) FILTER (severity = 'Error') AS errors, count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Error') = 0 AND count(*) > 0 AS success FROM {_DIAG} WHERE severity IN ('Warning', 'Error')""")
 def compile_check(spark: SparkSession, d: str) -> DataFrame:
     rows = diagnostics.diagnostics(_diagnostics(spark, d), "Warning")
@@ -206,23 +196,6 @@ def record_field_addition(spark: SparkSession, d: str) -> DataFrame:
     return deps.record_sites(table(spark, d, "lineitem"), {"construction": F.col("l_linenumber") == 1, "deconstruction": F.col("l_returnflag") == "R", "with-expression": F.col("l_tax") == 0})
 
 
-@query("impact_sweep", """WITH x AS (SELECT 'reference' AS category, l_orderkey AS id FROM lineitem WHERE l_partkey = 11 UNION ALL SELECT 'callsite', o_orderkey FROM orders WHERE o_custkey = 11 UNION ALL SELECT 'mapper', p_partkey FROM part WHERE regexp_matches(p_name, '(ring|gear)$'))
-SELECT category, id, n AS total FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM x) WHERE rn <= 5""")
-def impact_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """At most five of each category, beside totals from before that cut."""
-    parts = [
-        table(spark, d, "lineitem").filter("l_partkey = 11").select(F.lit("reference").alias("category"), F.col("l_orderkey").alias("id")),
-        table(spark, d, "orders").filter("o_custkey = 11").select(F.lit("callsite").alias("category"), F.col("o_orderkey").alias("id")),
-        table(spark, d, "part").filter(F.col("p_name").rlike("(ring|gear)$")).select(F.lit("mapper").alias("category"), F.col("p_partkey").alias("id")),
-    ]
-    from pyspark.sql.window import Window
-
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    n = rows.groupBy("category").agg(F.count("*").alias("total"))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("id"))).filter("rn <= 5").drop("rn")
-    return first.join(F.broadcast(n), "category")
-
-
 _BRANCH = "the|und|le|que"
 
 
@@ -232,13 +205,6 @@ def complexity_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.complexity(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _BRANCH).drop("text")
 
 
-@query("test_coverage", """SELECT source, lang, count(*) AS total, CAST(sum(CASE WHEN quality > 0 THEN 1 ELSE 0 END) AS BIGINT) AS covered, round_even(100.0::DOUBLE * sum(CASE WHEN quality > 0 THEN 1 ELSE 0 END) / count(*), 1) AS rate
-FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source, lang)""")
-def test_coverage(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    return metrics.coverage(docs.join(table(spark, d, "labels"), "doc_id").select("source", "lang", F.col("quality").alias("hits")), ["source", "lang"])
-
-
 @query("test_reference_map", "SELECT doc_id AS symbol, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS covered FROM documents d")
 def test_reference_map(spark: SparkSession, d: str) -> DataFrame:
     return metrics.reference_map(table(spark, d, "documents").select(F.col("doc_id").alias("symbol")), table(spark, d, "labels").select(F.col("doc_id").alias("symbol")))
@@ -249,32 +215,6 @@ def test_reference_share(spark: SparkSession, d: str) -> DataFrame:
     return metrics.covered_share(test_reference_map(spark, d))
 
 
-@query("test_discover", "SELECT role AS project, count(*) AS tests, count(DISTINCT conv_id) AS files FROM conversations WHERE contains(lower(text), 'the') GROUP BY role")
-def test_discover(spark: SparkSession, d: str) -> DataFrame:
-    named = table(spark, d, "conversations").filter(F.lower("text").contains("the"))
-    return named.groupBy(F.col("role").alias("project")).agg(F.count("*").alias("tests"), F.countDistinct("conv_id").alias("files"))
-
-
-@query("test_related", "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'ention') OR conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND contains(lower(text), 'hation'))")
-def test_related(spark: SparkSession, d: str) -> DataFrame:
-    """By name, and by reference from the same conversation; each once."""
-    turns = table(spark, d, "conversations")
-    through = turns.filter((F.col("turn") == 0) & F.lower("text").contains("hation")).select("conv_id").distinct()
-    by_name = turns.filter(F.lower("text").contains("ention")).select("conv_id", "turn", "role")
-    return by_name.unionByName(turns.join(through, "conv_id", "left_semi").select("conv_id", "turn", "role")).distinct()
-
-
-_TERMS = ["thention", "erthe", "anthe", "lichkeit", "ouelle"]
-
-
-@query("test_related_files", f"SELECT term, count(*) AS tests, count(DISTINCT conv_id) AS files FROM conversations, (SELECT unnest({_TERMS}) AS term) WHERE contains(lower(text), term) GROUP BY term")
-def test_related_files(spark: SparkSession, d: str) -> DataFrame:
-    """Tests that hold a term of a changed file; at most 25 terms, so each text is looked at once for all."""
-    hit = F.filter(F.array(*(F.lit(t) for t in _TERMS)), lambda t: F.lower(F.col("text")).contains(t))
-    found = table(spark, d, "conversations").select("conv_id", F.explode(hit).alias("term"))
-    return found.groupBy("term").agg(F.count("*").alias("tests"), F.countDistinct("conv_id").alias("files"))
-
-
 @query("suggest_refactorings", f"""WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS target, 1 + len(regexp_extract_all(text, '{_BRANCH}')) AS c, n_chars // 2000 AS p FROM documents),
 t AS (SELECT CAST(l_suppkey AS VARCHAR) AS target, count(DISTINCT l_returnflag) AS low FROM lineitem WHERE l_quantity >= 50 GROUP BY l_suppkey),
 u AS (SELECT CAST(p_partkey AS VARCHAR) AS target FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)),
@@ -295,12 +235,6 @@ def get_source_text(spark: SparkSession, d: str) -> DataFrame:
     return changes.text_slice(search.lines_of(table(spark, d, "documents"), "doc_id", "text"), 2, 5, 1 << 30)
 
 
-@query("source_generated_documents", "SELECT min(page_id) AS page_id, url FROM pages WHERE contains(url, '?') GROUP BY url ORDER BY url LIMIT 500")
-def source_generated_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Generated documents, once for each path, at most 500."""
-    return table(spark, d, "pages").filter(F.col("url").contains("?")).groupBy("url").agg(F.min("page_id").alias("page_id")).orderBy("url").limit(500)
-
-
 @query("syntax_tree_budget", """SELECT conv_id, turn, total FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM conversations) WHERE total <= 1500""")
 def syntax_tree_budget(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
@@ -381,21 +315,3 @@ def verify_suppression(spark: SparkSession, d: str) -> DataFrame:
     spans = marks.filter("event_type = 'signup'").select("scope", "lo", F.coalesce("hi", F.lit(2**63 - 1)).alias("hi"))
     points = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("point"), F.col("user_id").alias("scope"), F.col("event_id").alias("at"))
     return diagnostics.suppressed(points, spans)
-
-
-@query("data_flow", """WITH v AS (SELECT user_id AS body, event_id % 11 AS local, bool_or(event_type IN ('view', 'click')) AS r, bool_or(event_type = 'purchase') AS w FROM events GROUP BY 1, 2)
-SELECT body, CAST(count(*) FILTER (r AND NOT w) AS BIGINT) AS read_only, CAST(count(*) FILTER (w AND NOT r) AS BIGINT) AS written_only, CAST(count(*) FILTER (r AND w) AS BIGINT) AS both FROM v GROUP BY body""")
-def data_flow(spark: SparkSession, d: str) -> DataFrame:
-    """Variables of each body that are read only, written only, or both."""
-    seen = table(spark, d, "events").groupBy(F.col("user_id").alias("body"), (F.col("event_id") % 11).alias("local")).agg(
-        F.bool_or(F.col("event_type").isin("view", "click")).alias("r"), F.bool_or(F.col("event_type") == "purchase").alias("w")
-    )
-    r, w = F.col("r"), F.col("w")
-    return seen.groupBy("body").agg(F.count_if(r & ~w).alias("read_only"), F.count_if(w & ~r).alias("written_only"), F.count_if(r & w).alias("both"))
-
-
-@query("workspace_status", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("nation", "part", "orders", "documents", "events")))
-def workspace_status(spark: SparkSession, d: str) -> DataFrame:
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, (table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("nation", "part", "orders", "documents", "events")))

@@ -30,50 +30,12 @@ def member_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return up.unionByName(graph.hierarchy(tree, "n5", most_depth=1).select("node", "depth"))
 
 
-@query("symbol_relationships", """SELECT 'definition' AS kind, count(*) AS n FROM part WHERE p_partkey = 9 UNION ALL SELECT 'references', count(*) FROM lineitem WHERE l_partkey = 9
-UNION ALL SELECT 'suppliers', count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = 9 UNION ALL SELECT 'siblings', count(*) - 1 FROM part WHERE p_brand = (SELECT p_brand FROM part WHERE p_partkey = 9)""")
-def symbol_relationships(spark: SparkSession, d: str) -> DataFrame:
-    parts, lines = table(spark, d, "part"), table(spark, d, "lineitem").filter("l_partkey = 9")
-    brand = parts.filter("p_partkey = 9").select("p_brand")
-    counts = {
-        "definition": brand.agg(F.count("*").alias("n")),
-        "references": lines.agg(F.count("*").alias("n")),
-        "suppliers": lines.agg(F.countDistinct("l_suppkey").alias("n")),
-        "siblings": parts.join(F.broadcast(brand), "p_brand", "left_semi").agg((F.count("*") - 1).alias("n")),
-    }
-    return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("kind"), "n") for k, df in counts.items()))
-
-
-@query("probe_position", """SELECT conv_id, turn, role, lo, hi FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)::BIGINT AS hi, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)::BIGINT - length(text) AS lo FROM conversations) WHERE lo < 700 AND 700 < hi""")
-def probe_position(spark: SparkSession, d: str) -> DataFrame:
-    """The turn strictly inside which character 700 of each conversation lies."""
-    from pyspark.sql.window import Window
-
-    hi = F.sum(F.length("text").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0))
-    spans = table(spark, d, "conversations").select("conv_id", "turn", "role", hi.alias("hi"), (hi - F.length("text")).alias("lo"))
-    return spans.filter("lo < 700 and 700 < hi")
-
-
 @query("operations_tree", f"""WITH RECURSIVE {_TREE_SQL}, r(node, parent, depth) AS (SELECT child, parent, 1 FROM edges WHERE parent = 'r0' UNION ALL SELECT e.child, e.parent, depth + 1 FROM r JOIN edges e ON e.parent = r.node WHERE depth < 3) SELECT depth, count(*) AS n FROM r GROUP BY depth""")
 def operations_tree(spark: SparkSession, d: str) -> DataFrame:
     """Nodes at each depth of a subtree, to depth 3."""
     return graph.hierarchy(_tree(spark, d), "r0", most_depth=3).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query("validate_recent_changes", """WITH c AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), e AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM c))
-SELECT (SELECT count(*) FROM e) AS errors, (SELECT count(*) FROM c) AS failed_tests, CASE WHEN (SELECT count(*) FROM e) > 0 THEN 'compile-error' WHEN (SELECT count(*) FROM c) > 0 THEN 'test-failure' ELSE 'clean' END AS status""")
-def validate_recent_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Errors (returned lines) in changed files (open orders) only."""
-    changed = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    bad = table(spark, d, "lineitem").filter("l_returnflag = 'R'").join(changed, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber").distinct()
-    return diagnostics.status(bad, changed)
-
-
-@query("project_properties", "SELECT DISTINCT p_brand AS project, p_name AS property, p_type AS value FROM part WHERE contains(lower(p_name), 'bolt')")
-def project_properties(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter(F.lower("p_name").contains("bolt")).select(F.col("p_brand").alias("project"), F.col("p_name").alias("property"), F.col("p_type").alias("value")).distinct()
-
-
 @query("organize_usings", """SELECT l_orderkey AS file, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS imports, count(*) - count(DISTINCT l_returnflag || l_linestatus) AS dropped FROM lineitem GROUP BY l_orderkey""")
 def organize_usings(spark: SparkSession, d: str) -> DataFrame:
     return rewrites.organised(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("name")))
@@ -142,27 +104,3 @@ def remove_interface_member(spark: SparkSession, d: str) -> DataFrame:
     impls = lines.filter("l_returnflag = 'A'").select(F.col("p_brand").alias("member"), F.col("l_suppkey").alias("impl")).distinct()
     calls = lines.filter("l_quantity = 7").select(F.col("p_brand").alias("callee"), F.col("l_suppkey").alias("caller")).distinct()
     return rewrites.removable_members(impls, calls)
-
-
-@query("remove_package_reference", "SELECT p_partkey, p_brand FROM part WHERE p_brand <> 'Brand#5'")
-def remove_package_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Package rows after one package is removed from all projects."""
-    parts = table(spark, d, "part").select("p_partkey", "p_brand")
-    return parts.join(F.broadcast(spark.createDataFrame([("Brand#5",)], "p_brand string")), "p_brand", "left_anti").select("p_partkey", "p_brand")
-
-
-@query("code_actions", """SELECT event_id, event_type AS rule, fix FROM events JOIN (VALUES ('error', 'wrap'), ('error', 'rethrow'), ('purchase', 'audit')) f(rule, fix) ON event_type = f.rule WHERE value > 90""")
-def code_actions(spark: SparkSession, d: str) -> DataFrame:
-    """Fixes that a catalogue has for diagnostics."""
-    fixes = spark.createDataFrame([("error", "wrap"), ("error", "rethrow"), ("purchase", "audit")], "rule string, fix string")
-    rows = table(spark, d, "events").filter("value > 90").select("event_id", F.col("event_type").alias("rule"))
-    return rows.join(F.broadcast(fixes), "rule").select("event_id", "rule", "fix")
-
-
-@query("extract_shared_expression", """SELECT substr(sha256(s), 1, 16) AS hash, count(*) AS sites FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS s FROM documents) WHERE length(s) >= 40 GROUP BY s HAVING count(*) >= 2""")
-def extract_shared_expression(spark: SparkSession, d: str) -> DataFrame:
-    """Equal lines that occur twice or more."""
-    from factloom.functions.text import digest
-
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("s")).select(F.trim("s").alias("s")).filter(F.length("s") >= 40)
-    return lines.groupBy(digest(F.col("s")).alias("hash")).agg(F.count("*").alias("sites")).filter("sites >= 2")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paging import clamp
 
-#: category | capability | kind | module.function | query
+#: Fixed values, one line each: category | capability | kind | module.function | query.
 _TEXT = """
 symbols | symbol_search | query | lookup.symbol_search | symbol_search
 symbols | symbol_info | query | lookup.by_id | symbol_info
@@ -21,7 +21,7 @@ symbols | go_to_definition | query | lookup.by_id | go_to_definition
 symbols | find_references | query | lookup.find_references | find_references
 symbols | find_implementations | query | lookup.preferred | find_implementations
 symbols | document_symbols | query | graph.hierarchy | document_symbols
-symbols | get_symbol_outline | query | graph.hierarchy | document_symbols
+symbols | get_symbol_outline | query | graph.outline | symbol_outline
 symbols | find_overrides | query | graph.hierarchy | find_overrides
 symbols | find_base_members | query | graph.ancestors | base_members
 symbols | member_hierarchy | query | graph.hierarchy | member_hierarchy
@@ -47,12 +47,12 @@ analysis | get_cohesion_metrics | query | graph.cohesion | cohesion_lcom4
 analysis | find_shared_members | query | graph.shared_members | shared_members
 analysis | find_consumers | query | deps.consumers | consumers
 analysis | get_coupling_metrics | query | graph.coupling | coupling_metrics
-analysis | symbol_impact_sweep | query | graph.impact | impact_sweep
+analysis | symbol_impact_sweep | query | graph.sweep | impact_sweep
 analysis | preview_record_field_addition | query | deps.record_sites | record_field_addition
 analysis | analyze_snippet | outside | |
 advanced-analysis | find_unused_symbols | query | dead.unused_symbols | unused_symbols
 advanced-analysis | get_di_registrations | query | deps.registrations | di_override_chains
-advanced-analysis | get_complexity_metrics | query | metrics.complexity | complexity_metrics
+advanced-analysis | get_complexity_metrics | query | metrics.node_complexity | node_complexity
 advanced-analysis | find_reflection_usages | query | search.known_calls | reflection_usages
 advanced-analysis | get_namespace_dependencies | query | graph.dependency_edges | namespace_dependencies
 advanced-analysis | get_nuget_dependencies | query | deps.packages | nuget_dependencies
@@ -60,124 +60,124 @@ advanced-analysis | find_dead_locals | query | dead.dead_locals | dead_locals
 advanced-analysis | find_dead_fields | query | dead.dead_fields | dead_fields
 advanced-analysis | find_duplicate_helpers | query | dead.duplicate_helpers | duplicate_helpers
 advanced-analysis | find_duplicated_methods | query | dead.duplicates | duplicate_methods
-advanced-analysis | find_duplicated_code | query | dead.duplicates | duplicate_methods
+advanced-analysis | find_duplicated_code | query | dead.duplicates | duplicated_code
 advanced-analysis | semantic_search | query | search.semantic_search | semantic_search_structured
 advanced-analysis | trace_exception_flow | query | diagnostics.caught | exception_flow
-advanced-analysis | analyze_data_flow | parsed | dead.dead_locals | data_flow
-advanced-analysis | analyze_control_flow | parsed | graph.closure | control_flow_reachability
+advanced-analysis | analyze_data_flow | query | dead.data_flow | data_flow
+advanced-analysis | analyze_control_flow | query | graph.closure | control_flow_reachability
 advanced-analysis | get_operations | query | graph.hierarchy | operations_tree
 advanced-analysis | suggest_refactorings | query | metrics.suggestions | suggest_refactorings
 validation | compile_check | query | diagnostics.diagnostics | compile_check
 validation | verify_pragma_suppresses | query | diagnostics.suppressed | verify_suppression
 validation | test_coverage | parsed | captured.coverage_lines | test_coverage
-validation | get_test_coverage_map | parsed | captured.coverage_lines | test_coverage
+validation | get_test_coverage_map | parsed | captured.coverage_lines | test_coverage_map
 validation | test_reference_map | query | metrics.reference_map | test_reference_map
 validation | validate_workspace | query | diagnostics.status | validate_workspace
 validation | validate_recent_git_changes | parsed | captured.changed_files | validate_recent_changes
-validation | build_workspace | parsed | captured.build_diagnostics |
-validation | build_project | parsed | captured.build_diagnostics |
-validation | test_discover | query | search.known_calls | test_discover
-validation | test_run | parsed | captured.test_results |
-validation | test_related | query | search.known_calls | test_related
-validation | test_related_files | query | search.known_calls | test_related_files
+validation | build_workspace | parsed | captured.build_diagnostics | build_workspace
+validation | build_project | parsed | captured.build_diagnostics | build_project
+validation | test_discover | query | testing.discovered | test_discover
+validation | test_run | parsed | captured.test_results | test_run
+validation | test_related | query | testing.related | test_related
+validation | test_related_files | query | testing.related_files | test_related_files
 security | security_diagnostics | query | diagnostics.security | security_diagnostics
 security | security_analyzer_status | query | deps.presence | security_analyzer_status
 security | nuget_vulnerability_scan | parsed | captured.vulnerable_packages | vulnerability_scan
-workspace | workspace_load | session | session.load |
-workspace | workspace_reload | session | session.reload |
-workspace | workspace_close | session | session.close |
-workspace | workspace_list | session | session.listed |
+workspace | workspace_load | session | session.load | workspace_load
+workspace | workspace_reload | session | session.reload | workspace_reload
+workspace | workspace_close | session | session.close | workspace_close
+workspace | workspace_list | session | session.listed | workspace_list
 workspace | workspace_status | session | session.status | workspace_status
-workspace | workspace_health | session | session.status | workspace_status
+workspace | workspace_health | session | session.described | workspace_verbose
 workspace | project_graph | query | graph.neighbours | project_graph
 workspace | source_generated_documents | query | lookup.preferred | source_generated_documents
 workspace | get_source_text | query | changes.text_slice | get_source_text
-workspace | workspace_changes | query | session.changes | workspace_changes
-workspace | workspace_warm | session | session.warm |
-server | server_info | session | registry.catalogue |
-server | server_heartbeat | session | registry.heartbeat |
+workspace | workspace_changes | session | session.changes | workspace_log
+workspace | workspace_warm | session | session.warm | workspace_warm
+server | server_info | session | registry.counts | server_info
+server | server_heartbeat | session | registry.heartbeat | server_heartbeat
 refactoring | bulk_replace_type_preview | staged | changes.affected_files | bulk_replace_type
-refactoring | bulk_replace_type_apply | staged | session.apply |
+refactoring | bulk_replace_type_apply | staged | session.apply | bulk_replace_type_apply
 refactoring | replace_invocation_preview | staged | rewrites.reordered | change_signature
-refactoring | change_signature_preview | staged | rewrites.reordered | change_signature
-refactoring | extract_method_preview | staged | dead.dead_locals | data_flow
-refactoring | extract_method_apply | staged | session.apply |
+refactoring | change_signature_preview | staged | rewrites.shared_edits | change_signature_preview
+refactoring | extract_method_preview | staged | dead.data_flow | extract_method_preview
+refactoring | extract_method_apply | staged | session.apply | extract_method_apply
 refactoring | extract_shared_expression_to_helper_preview | staged | dead.duplicates | extract_shared_expression
 refactoring | fix_all_preview | staged | changes.affected_files | fix_all_preview
-refactoring | fix_all_apply | staged | session.apply |
-refactoring | extract_interface_preview | staged | lookup.signatures | signature_help
-refactoring | extract_interface_apply | staged | session.apply |
+refactoring | fix_all_apply | staged | session.apply | fix_all_apply
+refactoring | extract_interface_preview | staged | rewrites.extracted_interface | extract_interface_preview
+refactoring | extract_interface_apply | staged | session.apply | extract_interface_apply
 refactoring | rename_preview | staged | changes.affected_files | rename_preview
-refactoring | rename_apply | staged | session.apply |
+refactoring | rename_apply | staged | session.apply | rename_apply
 refactoring | organize_usings_preview | staged | rewrites.organised | organize_usings
-refactoring | organize_usings_apply | staged | session.apply |
+refactoring | organize_usings_apply | staged | session.apply | organize_usings_apply
 refactoring | format_document_preview | outside | |
-refactoring | format_document_apply | staged | session.apply |
-refactoring | code_fix_preview | staged | diagnostics.details | diagnostic_details
-refactoring | code_fix_apply | staged | session.apply |
+refactoring | format_document_apply | staged | session.apply | format_document_apply
+refactoring | code_fix_preview | staged | changes.difference | code_fix_preview
+refactoring | code_fix_apply | staged | session.apply | code_fix_apply
 refactoring | format_range_preview | outside | |
-refactoring | format_range_apply | staged | session.apply |
+refactoring | format_range_apply | staged | session.apply | format_range_apply
 refactoring | format_check | outside | |
 refactoring | restructure_preview | staged | changes.restructure | restructure
 refactoring | replace_string_literals_preview | staged | changes.replace_literals | replace_literals
-refactoring | symbol_refactor_preview | staged | session.preview |
+refactoring | symbol_refactor_preview | staged | changes.fold | symbol_refactor_preview
 refactoring | split_service_with_di_preview | staged | rewrites.partitioned | split_service
 refactoring | record_field_add_with_satellites_preview | staged | rewrites.satellites | record_satellites
-refactoring | extract_type_preview | staged | rewrites.partitioned | split_service
-refactoring | extract_type_apply | staged | session.apply |
-refactoring | move_type_to_file_preview | staged | changes.upsert | migrate_package
-refactoring | move_type_to_file_apply | staged | session.apply |
-refactoring | change_type_namespace_preview | staged | changes.affected_files | rename_preview
-project-mutation | evaluate_msbuild_property | parsed | captured.ini_options | project_properties
-project-mutation | evaluate_msbuild_items | parsed | captured.ini_options | project_properties
-project-mutation | get_msbuild_properties | parsed | captured.ini_options | project_properties
-project-mutation | add_package_reference_preview | staged | changes.upsert | migrate_package
-project-mutation | remove_package_reference_preview | staged | changes.upsert | remove_package_reference
-project-mutation | add_project_reference_preview | staged | changes.upsert | migrate_package
-project-mutation | remove_project_reference_preview | staged | changes.upsert | remove_package_reference
-project-mutation | set_project_property_preview | staged | changes.upsert | migrate_package
+refactoring | extract_type_preview | staged | changes.replaced | extract_type_preview
+refactoring | extract_type_apply | staged | session.apply | extract_type_apply
+refactoring | move_type_to_file_preview | staged | changes.difference | move_type_to_file_preview
+refactoring | move_type_to_file_apply | staged | session.apply | move_type_to_file_apply
+refactoring | change_type_namespace_preview | staged | rewrites.relocated | change_type_namespace
+project-mutation | evaluate_msbuild_property | parsed | captured.properties | evaluate_property
+project-mutation | evaluate_msbuild_items | parsed | captured.items | project_items
+project-mutation | get_msbuild_properties | parsed | captured.properties | project_properties
+project-mutation | add_package_reference_preview | staged | changes.inserted | add_package_reference
+project-mutation | remove_package_reference_preview | staged | changes.without | remove_package_reference
+project-mutation | add_project_reference_preview | staged | changes.inserted | add_project_reference
+project-mutation | remove_project_reference_preview | staged | changes.without | remove_project_reference
+project-mutation | set_project_property_preview | staged | changes.upsert | set_project_property
 project-mutation | add_target_framework_preview | staged | rewrites.with_element | target_frameworks
-project-mutation | remove_target_framework_preview | staged | rewrites.with_element | target_frameworks
-project-mutation | set_conditional_property_preview | staged | changes.upsert | migrate_package
-project-mutation | add_central_package_version_preview | staged | changes.upsert | migrate_package
-project-mutation | remove_central_package_version_preview | staged | changes.upsert | remove_package_reference
-project-mutation | apply_project_mutation | staged | session.apply |
+project-mutation | remove_target_framework_preview | staged | rewrites.with_element | remove_target_framework
+project-mutation | set_conditional_property_preview | staged | changes.upsert | set_conditional_property
+project-mutation | add_central_package_version_preview | staged | changes.upsert | add_central_package_version
+project-mutation | remove_central_package_version_preview | staged | changes.without | remove_central_package_version
+project-mutation | apply_project_mutation | staged | session.apply | apply_project_mutation
 editing | apply_text_edit | staged | changes.apply_edits | apply_text_edit
-editing | apply_multi_file_edit | staged | changes.apply_edits | apply_text_edit
-editing | preview_multi_file_edit | staged | changes.apply_edits | apply_text_edit
-editing | preview_multi_file_edit_apply | staged | session.apply |
-editing | add_pragma_suppression | staged | changes.upsert | verify_suppression
+editing | apply_multi_file_edit | staged | changes.apply_edits | apply_multi_file_edit
+editing | preview_multi_file_edit | staged | changes.difference | preview_multi_file_edit
+editing | preview_multi_file_edit_apply | staged | session.apply | preview_multi_file_edit_apply
+editing | add_pragma_suppression | staged | rewrites.suppressions | add_pragma_suppression
 editing | pragma_scope_widen | staged | rewrites.widened | pragma_scope_widen
-file-operations | create_file_preview | staged | session.preview |
-file-operations | create_file_apply | staged | session.apply |
-file-operations | delete_file_preview | staged | session.preview |
-file-operations | delete_file_apply | staged | session.apply |
-file-operations | move_file_preview | staged | session.preview |
-file-operations | move_file_apply | staged | session.apply |
+file-operations | create_file_preview | staged | changes.file_checks | create_file_preview
+file-operations | create_file_apply | staged | session.apply | create_file_apply
+file-operations | delete_file_preview | staged | changes.file_checks | delete_file_preview
+file-operations | delete_file_apply | staged | session.apply | delete_file_apply
+file-operations | move_file_preview | staged | changes.file_checks | move_file_preview
+file-operations | move_file_apply | staged | session.apply | move_file_apply
 scaffolding | scaffold_type_preview | outside | |
 scaffolding | scaffold_test_batch_preview | outside | |
-scaffolding | scaffold_type_apply | staged | session.apply |
+scaffolding | scaffold_type_apply | staged | session.apply | scaffold_type_apply
 scaffolding | scaffold_test_preview | outside | |
-scaffolding | scaffold_test_apply | staged | session.apply |
+scaffolding | scaffold_test_apply | staged | session.apply | scaffold_test_apply
 scaffolding | scaffold_first_test_file_preview | outside | |
 orchestration | migrate_package_preview | staged | changes.upsert | migrate_package
-orchestration | split_class_preview | staged | rewrites.partitioned | split_service
-orchestration | extract_and_wire_interface_preview | staged | deps.registrations | di_registrations
-orchestration | apply_composite_preview | staged | session.apply |
+orchestration | split_class_preview | staged | rewrites.split | split_class_preview
+orchestration | extract_and_wire_interface_preview | staged | rewrites.rewired | extract_and_wire_interface
+orchestration | apply_composite_preview | staged | session.apply | apply_composite
 undo | apply_with_verify | staged | diagnostics.new_errors | apply_with_verify
 undo | revert_last_apply | staged | changes.last_change | revert_last_apply
 undo | revert_apply_by_sequence | staged | changes.revertible | revert_by_sequence
-code-actions | get_code_actions | parsed | diagnostics.details | code_actions
-code-actions | preview_code_action | staged | session.preview |
-code-actions | apply_code_action | staged | session.apply |
+code-actions | get_code_actions | parsed | diagnostics.fixes | code_actions
+code-actions | preview_code_action | staged | diagnostics.fix_at | code_action_at
+code-actions | apply_code_action | staged | session.apply | apply_code_action
 cross-project-refactoring | move_type_to_project_preview | staged | changes.conflicts | move_conflicts
-cross-project-refactoring | extract_interface_cross_project_preview | staged | changes.conflicts | move_conflicts
-cross-project-refactoring | dependency_inversion_preview | staged | deps.usages | type_usages
+cross-project-refactoring | extract_interface_cross_project_preview | staged | changes.conflicts | extract_interface_cross_project
+cross-project-refactoring | dependency_inversion_preview | staged | rewrites.inverted | dependency_inversion
 dead-code | remove_dead_code_preview | staged | dead.removable | remove_dead_code
-dead-code | remove_dead_code_apply | staged | session.apply |
+dead-code | remove_dead_code_apply | staged | session.apply | remove_dead_code_apply
 dead-code | remove_interface_member_preview | staged | rewrites.removable_members | remove_interface_member
 configuration | get_editorconfig_options | query | lookup.effective_options | effective_options
-configuration | set_editorconfig_option | staged | changes.upsert | effective_options
+configuration | set_editorconfig_option | staged | changes.upsert | set_editorconfig_option
 configuration | set_diagnostic_severity | staged | rewrites.effective_severity | set_diagnostic_severity
 prompts | get_prompt_text | outside | |
 scripting | evaluate_csharp | outside | |

@@ -89,6 +89,10 @@ class Workspaces:
             out = out.unionByName(p)
         return out
 
+    def described(self, id: str) -> DataFrame:
+        """Columns of each table (name, columns)."""
+        return self.spark.createDataFrame([(name, len(t.columns)) for name, t in self.sessions[id].tables.items()], "name string, columns int")
+
     def warm(self, id: str, names: list[str] | None = None) -> int:
         """Keep tables in memory; how many rows those are."""
         return sum(t.persist().count() for n, t in self.sessions[id].tables.items() if names is None or n in names)

@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: path(line,column): severity CODE: message [project]
-_BUILD_LINE = r"^\s*(.*?)\((\d+),(\d+)\):\s+(error|warning|info)\s+([A-Za-z]+\d+):\s*(.*?)(?:\s+\[(.+?)\])?\s*$"
+#: path(line,column): severity CODE: message [project]; the place may have an end, too.
+_BUILD_LINE = r"^\s*(.*?)\((\d+),(\d+)(?:,\d+,\d+)?\):\s+(error|warning|info)\s+([A-Za-z]+\d+):\s*(.*?)(?:\s+\[(.+?)\])?\s*$"
 
 
 def build_diagnostics(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Diagnostics of a build log, each once (path, line, col, severity, id, message, project)."""
+    """Diagnostics of a build log, once for each (id, path, line, col): the first message and project in order."""
     part = [F.regexp_extract(column, _BUILD_LINE, k) for k in range(1, 8)]
     found = lines.filter(F.col(column).rlike(_BUILD_LINE)).select(
         part[0].alias("path"), part[1].cast("int").alias("line"), part[2].cast("int").alias("col"), F.initcap(part[3]).alias("severity"), part[4].alias("id"), part[5].alias("message"), F.nullif(part[6], F.lit("")).alias("project")
     )
-    return found.distinct()
+    one = found.groupBy("id", "path", "line", "col").agg(F.min(F.struct("severity", "message", "project")).alias("d"))
+    return one.select("path", "line", "col", "d.severity", "id", "d.message", "d.project")
 
 
 def test_results(reports: DataFrame, column: str = "xml") -> DataFrame:
@@ -78,3 +79,16 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Texts of files, whole, with their paths."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def properties(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Properties of a captured dump, a line ``project|name=value`` each (project, name, value); other lines go."""
+    pattern = r"^([^|]*)\|([^=]*)=(.*)$"
+    part = [F.regexp_extract(column, pattern, k) for k in (1, 2, 3)]
+    return lines.filter(F.col(column).rlike(pattern)).select(part[0].alias("project"), part[1].alias("name"), part[2].alias("value"))
+
+
+def items(reports: DataFrame, column: str = "json") -> DataFrame:
+    """Items of a captured JSON list with their metadata, a row for each (project, item, name, value)."""
+    each = reports.select(F.explode(F.from_json(column, "array<struct<project:string,item:string,metadata:map<string,string>>>")).alias("i"))
+    return each.select("i.project", "i.item", F.explode("i.metadata").alias("name", "value"))

@@ -1,9 +1,13 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import functools
+import inspect
+import sys
+
 import duckdb
 import pytest
 
-from factloom import plans
+from factloom import plans, registry, session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,9 +40,55 @@ def test_every_query_has_sql():
     assert set(plans.QUERIES) == set(plans.SQL)
 
 
+#: Functions of this library that each query called.
+CALLED: dict[str, set[str]] = {}
+
+
+@pytest.fixture(scope="module")
+def calls():
+    """The set that calls of operators, parsers, sessions and the catalogue are noted in, as module.function."""
+    seen, patch = set(), pytest.MonkeyPatch()
+    mine = [m for n, m in sys.modules.items() if n.startswith("factloom.") and not n.startswith("factloom.llm")]
+
+    def noting(name, f):
+        @functools.wraps(f)
+        def run(*args, **kw):
+            seen.add(name)
+            return f(*args, **kw)
+
+        return run
+
+    for m in mine:
+        if m.__name__.split(".")[1] in ("operators", "sources", "functions", "registry"):
+            for name, f in list(vars(m).items()):
+                if inspect.isfunction(f) and f.__module__ == m.__name__ and not name.startswith("_"):
+                    new = noting(f"{m.__name__.split('.')[-1]}.{name}", f)
+                    for other in mine:
+                        for k, v in list(vars(other).items()):
+                            if v is f:
+                                patch.setattr(other, k, new)
+    for name, f in list(vars(session.Workspaces).items()):
+        if inspect.isfunction(f) and not name.startswith("_"):
+            patch.setattr(session.Workspaces, name, noting(f"session.{name}", f))
+    yield seen
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_query_equals_sql(spark, small, duck, name):
+def test_query_equals_sql(spark, small, duck, calls, name):
+    calls.clear()
     assert from_spark(plans.QUERIES[name](spark, small)) == from_duck(duck, plans.SQL[name])
+    CALLED[name] = set(calls)
+
+
+def test_catalogue_rows_have_queries_of_their_own_that_call_their_operators():
+    """Each capability that isn't outside names an operator and a query that calls it; no two share a query."""
+    rows = [(c, operator, q) for _, c, kind, operator, q in registry.CATALOGUE if kind != "outside"]
+    assert all(operator and q in plans.QUERIES for _, operator, q in rows)
+    shared = [q for _, _, q in rows]
+    assert len(shared) == len(set(shared))
+    missing = [(c, operator, q) for c, operator, q in rows if q in CALLED and operator not in CALLED[q]]
+    assert missing == []
 
 
 def test_entry(spark):
