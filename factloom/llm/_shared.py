@@ -74,7 +74,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing that is yet to run reads them."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
@@ -106,17 +116,22 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def few(df: DataFrame) -> DataFrame:
+        """Written in files of about 200,000 rows, however many tasks a shuffle has; never in less than eight tasks."""
+        return materialise(df.filter("u <> v").distinct().coalesce(max(8, before[0] // 200_000)), label)
+
     before = mark(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).toDF("k", "m")
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").distinct(), label)
+        large = few(large)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m")).toDF("k", "m")
         small = down.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct(), label)
+        last, now = now, few(small)
+        forget(last, large)
         after = mark(now)
         if after == before:
             break
