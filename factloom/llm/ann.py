@@ -184,7 +184,7 @@ def nearest(
     shard_values: int = 1 << 20,
     block_values: int = 1 << 19,
     most_regions: int = 4096,
-    sample_values: int = 1 << 22,
+    sample_values: int = 1 << 20,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the nearest found of each query, nearest first.
 
@@ -198,7 +198,8 @@ def nearest(
     ``shard_values`` and ``block_values`` bound the numbers that a task holds
     of vectors and of queries.  Regions are for vectors of the commonest
     number of components: one for each shard's worth of them, at most
-    ``most_regions``, fitted on a sample of about ``sample_values`` numbers;
+    ``most_regions``, fitted on a sample of about ``sample_values`` numbers, or
+    eight vectors for each region if that is more;
     every vector is in one.  A vector is copied for each block of queries that
     reaches its region, a query for each shard that it reaches.
     """
@@ -213,7 +214,7 @@ def nearest(
     want = max(1, min(most_regions, -(-n * dim // shard_values)))
     regions = None
     if want > 1:
-        rows = max(want, sample_values // dim)
+        rows = max(8 * want, sample_values // dim)
         share = -(-1_000_000 * min(n, rows) // n)
         sample = usable.filter((F.size(v) == dim) & (F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000)) < share)).select("v").limit(2 * rows).toArrow()
         regions = Regions(_matrix(sample["v"]), most, want) if sample.num_rows else None

@@ -78,7 +78,9 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train_r
     """Trigram models of labelled rows, one for every language that any row declares.
 
     Of each language about ``train_rows`` rows are taken, by a hash of the id,
-    with their whole texts; all rows of a language that has no more.
+    with their whole texts; all rows of a language that has no more.  Rows
+    without a text or without a declared language (of two or three letters)
+    are left out, repeated ones count each; without any, no language is known.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), declared_code(F.col(lang_col)).alias("lang")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}  # codes of two or three letters: a bounded number

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._shared import materialise
+from factloom.llm._shared import forget, materialise
 
 #: What stands for the end of a text among words: no word has a space.
 END = b" "
@@ -361,11 +361,12 @@ def _train(texts: DataFrame, scorer: Scorer) -> None:
 
     kind = "block long, part long, seen long, v array<double>"
     copies = materialise(texts.mapInArrow(run, kind), "lm-copies")
-    last = copies.agg(F.max("part")).first()[0]
+    written, last = copies, copies.agg(F.max("part")).first()[0]
     while last is not None:
         copies = copies.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(add, kind)
         last = last // FAN or None
     parts = copies.collect()  # as many numbers as the model has
+    forget(written)
     if parts:
         parts.sort(key=lambda r: r["block"])
         flat = np.concatenate([np.array(r["v"]) for r in parts])

@@ -31,12 +31,14 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Documents, by their tokens and one for each text's end."""
     counted = tokencounts.token_counts(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.tiktoken", keep=["doc_id"])
     # One more for the end of each text that has tokens.
     return packing.pack(counted.withColumn("n_tokens", F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1)))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against all items of the benchmark, in windows of 10 words."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
@@ -44,6 +46,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Documents: base spans, and random strings by the token test, as one string and in numbers."""
     found = secrets.scan(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.tiktoken")
 
     def joined(spans):
@@ -57,6 +60,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: fingerprints of 3-word shingles, linked within 3 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -74,14 +78,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, learning from those whose remainder is not 2."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings: the 20 nearest of every 20th, exact."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without sentences of repeated spans of 20 words or more."""
     return spans.dedup_spans(table(spark, sf_dir, "documents"))
 
 

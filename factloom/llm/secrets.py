@@ -139,7 +139,9 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
 def redact(docs: DataFrame, vocab_path: str, *, text_col: str = "text", chars_col: str | None = "n_chars", max_ratio: float = 2.2) -> DataFrame:
     """``docs`` with secrets replaced by a mark; no document goes, and other columns stay as they are.
 
-    ``chars_col``, where it exists, follows the new text.
+    ``chars_col``, where it exists, follows the new text.  Null and empty
+    texts stay; repeated rows are each treated alike; an empty table gives an
+    empty one.  Spans that overlap become one mark.
     """
     vocab = vocabulary(docs.sparkSession, vocab_path)
     names = docs.columns

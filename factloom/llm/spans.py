@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._shared import materialise
+from factloom.llm._shared import forget, materialise
 
 #: Of any so many words in a row within a sentence, the one with the smallest hash ends a piece.
 WINDOW = 12
@@ -272,6 +272,7 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hashes = src.select("text").mapInArrow(count, "h1 long")
     repeated = materialise(hashes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "spans-repeated")
     sieve = docs.sparkSession.sparkContext.broadcast(_filter(repeated, filter_bits))
+    forget(repeated)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

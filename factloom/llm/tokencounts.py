@@ -28,7 +28,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._shared import materialise
+from factloom.llm._shared import forget, materialise
 from factloom.llm.secrets import encoding, vocabulary
 
 LEDGER = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
@@ -178,7 +178,9 @@ class Rollups:
         put = one.filter("kind <> 'delete'").select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         old = self.ledger(one.select("doc_id", "version").filter("doc_id is not null and version is not null"))
         take = old.select("doc_id", "source", "lang", "version", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
-        return self._publish(_named(batch), {"data": self._write(put.unionByName(take))})
+        data = self._write(put.unionByName(take))
+        forget(changes, one)
+        return self._publish(_named(batch), {"data": data})
 
     def compact(self) -> bool:
         """Fold all batches into one; false if another did so meanwhile, or there is nothing to fold.

@@ -54,3 +54,22 @@ def test_redact(spark, none):
     assert (got[2]["text"], got[3]["text"], got[4]["text"], got[4]["n_chars"]) == (None, "", "nothing here", 99)
     assert secrets.spans_of(got[1]["text"], ENC) == []
     assert secrets.redact(none, VOCABULARY).columns == none.columns
+
+
+def test_recall_and_precision_of_the_token_test():
+    """Random keys in prose are found, and words, names, digests and identifiers around them are not."""
+    rng = random.Random(12)
+    prose = "The quick brown fox jumps over the lazy dog while configuration_manager_version-handlers and InternationalizationService run with build-2024-01-15".split()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = planted = extra = 0
+    for _ in range(300):
+        keys = ["".join(rng.choices(alphabet, k=rng.randint(24, 48))) for _ in range(rng.randint(0, 2))]
+        known = [f"{rng.getrandbits(256):064x}", f"{rng.getrandbits(160):040x}", "123e4567-e89b-12d3-a456-426614174000"]
+        parts = rng.choices(prose, k=60) + keys + rng.sample(known, 2)
+        rng.shuffle(parts)
+        text = " ".join(parts)
+        got = [text[a:b] for kind, a, b in secrets.spans_of(text, ENC) if kind == "random"]
+        planted += len(keys)
+        found += sum(k in got for k in keys)
+        extra += sum(g not in keys for g in got)
+    assert planted > 200 and found >= 0.95 * planted and extra <= 0.02 * planted
