@@ -121,10 +121,11 @@ def stars(edges: DataFrame, label: str) -> DataFrame:
     while before[0]:
         both = now.toDF("node", "other").union(now.select("b", "a"))
         large = to_least(both).filter("other > node").select(F.col("other").alias("a"), F.col("least").alias("b"))
-        middle, large = rounds.write(large.filter("a <> b").distinct())
+        files = max(8, before[0] // 200_000)  # however many tasks a shuffle has
+        middle, large = rounds.write(large.filter("a <> b").distinct().coalesce(files))
         down = to_least(large.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")))
         small = down.select(F.col("other").alias("a"), F.col("least").alias("b")).union(down.select("node", "least"))
-        done, now = rounds.write(small.filter("a <> b").distinct())
+        done, now = rounds.write(small.filter("a <> b").distinct().coalesce(files))
         rounds.drop(path, middle)
         path, after = done, sign(now)
         if after == before:

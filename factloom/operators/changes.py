@@ -27,7 +27,7 @@ def restructure(rows: DataFrame, pattern: str, goal: str, text_col: str = "text"
 
 def replace_literals(tokens: DataFrame, replacements: dict[str, str]) -> DataFrame:
     """Tokens that a bounded map replaces (id, ord, token, replacement)."""
-    pairs = F.broadcast(tokens.sparkSession.createDataFrame(list(replacements.items()), "literal string, replacement string"))
+    pairs = tokens.sparkSession.createDataFrame(list(replacements.items()), "literal string, replacement string")
     return tokens.join(pairs, F.col("token") == F.col("literal")).select("id", "ord", "token", "replacement")
 
 

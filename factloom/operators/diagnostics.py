@@ -77,7 +77,7 @@ def caught(sites: DataFrame, ancestors: DataFrame, root: str) -> DataFrame:
     with exact set where it is the raised one.
     """
     typed = sites.withColumn("declared", F.coalesce("declared", F.lit(root)))
-    return typed.join(F.broadcast(ancestors.toDF("type", "exact")), F.col("declared") == F.col("type")).withColumn("catches_base", ~F.col("exact")).drop("type", "exact")
+    return typed.join(ancestors.toDF("type", "exact"), F.col("declared") == F.col("type")).withColumn("catches_base", ~F.col("exact")).drop("type", "exact")
 
 
 def suppressed(points: DataFrame, spans: DataFrame) -> DataFrame:

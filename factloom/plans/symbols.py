@@ -100,7 +100,7 @@ def signature_help(spark: SparkSession, d: str) -> DataFrame:
 SELECT target, option, value, level FROM (SELECT *, row_number() OVER (PARTITION BY target, option ORDER BY level DESC, value DESC) AS rn FROM o) WHERE rn = 1""")
 def effective_options(spark: SparkSession, d: str) -> DataFrame:
     """Defaults of a region, its nations and customers: the deepest one set holds."""
-    who = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    who = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
 
     def level(value: str, n: int, where: str) -> DataFrame:
         return who.filter(where).select(F.col("c_custkey").alias("target"), F.lit("limit").alias("option"), F.col(value).alias("value"), F.lit(n).alias("level"))

@@ -17,3 +17,14 @@ def write_version(rows: DataFrame, path: str, version: int, partition: list[str]
     w = rows.write.mode("error")
     (w.partitionBy(*partition) if partition else w).parquet(target)
     return target
+
+
+def write_sorted(rows: DataFrame, path: str, key: str, files: int | None = None) -> str:
+    """Write a table in ranges of a key, sorted within each file, so that a lookup by it reads the row groups that can hold it.
+
+    ``files``: how many ranges, or as many as shuffles have.  A key that many
+    rows share lies in one range.
+    """
+    ranged = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)
+    ranged.sortWithinPartitions(key).write.mode("error").parquet(path)
+    return path

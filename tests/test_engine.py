@@ -141,3 +141,18 @@ def test_streams(spark, tmp_path):
     (one,) = run(changes.sessions(events, "ts", "k", gap="1 minute"), "complete")
     assert one["n"] == 21
     assert events.isStreaming and F is not None
+
+
+def test_sorted_tables_let_lookups_skip(spark, tmp_path):
+    """A key is within the bounds of one row group of all, and the filter goes to the scan."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = sinks.write_sorted(spark.range(20_000).selectExpr("(id * 7919) % 20000 as k", "id as v"), str(tmp_path / "sorted"), "k", 8)
+    groups = [(g.column(0).statistics.min, g.column(0).statistics.max) for f in glob.glob(f"{path}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert len(groups) == 8 and sum(low <= 12_345 <= high for low, high in groups) == 1
+    found = spark.read.parquet(path).filter("k = 12345")
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,12345)]" in plan
