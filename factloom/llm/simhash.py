@@ -242,10 +242,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and stays.
     """
     found = near_duplicates(docs, id_col, text_col, width, budget, max_unit)
-    kept = found.filter("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi")
+    stays = F.bool_or(F.col("component_id") == F.col("doc_id"))
+    gone = found.filter("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).filter("not stays").select(F.col("doc_id").alias(id_col))
+    # Ids only, and of what goes: Spark broadcasts them if their size, known since they are written, permits, and then no text is shuffled.
+    out = docs.join(materialise(gone, "simhash-gone"), id_col, "left_anti").select(*docs.columns)
     again = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
     if not again.isEmpty():
         again = materialise(again, "simhash-again")
-        out = out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+        out = out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(*docs.columns)
+    return out
