@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.shared import Chains, Rounds, fixpoint, stars, written
@@ -144,19 +144,16 @@ def shared_components(access: DataFrame) -> DataFrame:
     """Least reachable ``item`` of each (scope, item) over shared members, within each scope.
 
     ``access``: scope, item, member; a null scope, item or member links
-    nothing.  Items and members are nodes of one graph, so items that share a
-    member are never paired.
+    nothing and has no row.  Items of a member are linked with its least one,
+    so items that share a member are never paired, and members that one item
+    has alone are out before the first round.
     """
-    whole = access.select("scope", "item", "member").filter("scope is not null and item is not null and member is not null")
-    kind = whole.schema
-    nothing = [F.lit(None).cast(kind[c].dataType) for c in ("item", "member")]
-
-    def node(side: int) -> Column:
-        # Items come before members, so the least node of a component is an item.
-        return F.struct(F.col("scope"), F.lit(side).alias("side"), *((F.col(c) if k == side else nothing[k]).alias(c) for k, c in enumerate(("item", "member"))))
-
-    found = stars(whole.select(node(0).alias("a"), node(1).alias("b")), "components")
-    return found.filter("node.side = 0").select("node.scope", "node.item", F.col("root.item").alias("label"))
+    whole = written(access.select("scope", "item", "member").filter("scope is not null and item is not null and member is not null").distinct(), "components-access")
+    least = whole.groupBy("scope", "member").agg(F.min("item").alias("least"), F.max("item").alias("most")).filter("least <> most").drop("most")
+    links = whole.join(least, ["scope", "member"]).filter("item <> least")
+    found = stars(links.select(F.struct("scope", "item").alias("a"), F.struct("scope", F.col("least").alias("item")).alias("b")), "components")
+    roots = found.select("node.scope", "node.item", F.col("root.item").alias("root"))
+    return whole.select("scope", "item").distinct().join(roots, ["scope", "item"], "left").select("scope", "item", F.coalesce("root", "item").alias("label"))
 
 
 def cohesion(access: DataFrame, least_items: int = 2) -> DataFrame:

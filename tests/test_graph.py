@@ -57,6 +57,23 @@ def test_lcom4(spark):
     assert got == {"T": 2, "V": 1}
 
 
+def test_components_against_plain_search(spark):
+    """Random access, with nulls and repeats: least reachable items by going round until nothing changes."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ST"), rng.randrange(30), rng.randrange(40)) for _ in range(45)]
+    label = {(s, i): i for s, i, _ in rows}
+    while True:
+        low = {}
+        for s, i, m in rows:
+            low[s, m] = min(low.get((s, m), 99), label[s, i])
+        new = {k: min([v] + [low[s, m] for s, i, m in rows if (s, i) == k]) for k, v in label.items()}
+        if new == label:
+            break
+        label = new
+    access = spark.createDataFrame(rows + rows[:5] + [(None, 1, 2), ("S", None, 2), ("S", 77, None)], "scope string, item int, member int")
+    assert {(r["scope"], r["item"]): r["label"] for r in graph.shared_components(access).collect()} == label
+
+
 def test_long_chain_is_one_component(spark):
     rows = [("T", f"m{k:02}", f"f{k + d}") for k in range(15) for d in (0, 1)]
     got = graph.cohesion(spark.createDataFrame(rows, "scope string, item string, member string")).collect()
