@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontam, langid, lm, packing, secrets, simhash, spans, tokencounts, urlrep
+from factloom.llm import ann, decontam, divergence, langid, lm, packing, secrets, simhash, spans, tokencounts, urlrep
 from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, shared_dir, table
 
 #: Vocabularies of public tokenizers.
@@ -122,6 +122,11 @@ def token_count_changes(spark: SparkSession, sf_dir: str, tokenizers: str = TOKE
     return store.totals()
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: terms of 30 documents of a language or more; distances of sources, and the 50 terms that each has most beyond its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -133,6 +138,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
+    "op12_divergence": op12_divergence,
     "pages_language": pages_language,
     "token_count_changes": token_count_changes,
 }
@@ -220,6 +226,38 @@ SELECT page_id, v.host, path, rule,
             WHEN a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.35::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
        CAST(r.n AS BIGINT) AS n_labelled
 FROM v JOIN r ON v.site = r.host
+""",
+    "op12_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), n AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source) USING (lang, source)
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM n JOIN v USING (lang) GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), f AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50
 """,
     "op9_nearest": """
 WITH e AS (
