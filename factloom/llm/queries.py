@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontam, divergence, langid, lm, packing, secrets, simhash, spans, tokencounts, urlrep
+from factloom.llm import ann, decontam, divergence, langid, lm, packing, phrases, secrets, simhash, spans, tokencounts, urlrep
 from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, shared_dir, table
 
 #: Vocabularies of public tokenizers.
@@ -127,6 +127,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: each language's 2,000 best phrases of two to four words that occur 30 times or more."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -139,6 +144,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
     "op12_divergence": op12_divergence,
+    "op13_phrases": op13_phrases,
     "pages_language": pages_language,
     "token_count_changes": token_count_changes,
 }
@@ -258,6 +264,33 @@ WITH d AS (
 )
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM f QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_phrases": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, p, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, p HAVING count(*) >= 30
+), c AS (
+  SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) >= 2
+), s AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:len(c.p)]
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(f) AS f FROM (SELECT lang, p, f, m, unnest(range(1, len(p) - m + 2)) AS i FROM f, (SELECT unnest(range(2, 4)) AS m) WHERE len(p) > m) GROUP BY ALL
+)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, array_to_string(low.p, ' ')) AS rank, array_to_string(low.p, ' ') AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM low JOIN n ON low.lang = n.lang LEFT JOIN inside i ON i.lang = low.lang AND i.p = low.p
+WHERE i.f IS NULL OR 100 * i.f < 80 * a
+QUALIFY rank <= 2000
 """,
     "op9_nearest": """
 WITH e AS (
