@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontam, divergence, langid, lm, packing, phrases, secrets, simhash, spans, tokencounts, urlrep
+from factloom.llm import ann, decontam, divergence, langid, lm, packing, phrases, quality, secrets, simhash, spans, tokencounts, urlrep
 from factloom.llm._shared import ASCII_LOWER, ASCII_UPPER, shared_dir, table
 
 #: Vocabularies of public tokenizers.
@@ -122,6 +122,14 @@ def token_count_changes(spark: SparkSession, sf_dir: str, tokenizers: str = TOKE
     return store.totals()
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by ``labels.quality``, learning from those whose remainder is not 0."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels")
+    rated = quality.rate(table(spark, sf_dir, "documents"), labels.filter(~held_out))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: terms of 30 documents of a language or more; distances of sources, and the 50 terms that each has most beyond its language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -143,6 +151,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
+    "op11_quality": op11_quality,
     "op12_divergence": op12_divergence,
     "op13_phrases": op13_phrases,
     "pages_language": pages_language,
