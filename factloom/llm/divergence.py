@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, OrderedDict, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -40,6 +40,8 @@ HELD = 300_000
 AT_ONCE = 1 << 20
 #: Sources and terms of a unit of comparison.
 TILE, CHUNK = 256, 512
+#: Languages with kept terms whose sums are broadcast; those of more are joined like any table.
+FEW_LANGS = 10_000
 #: Added to each count, and what shares are multiplied by (fixed values).
 PRIOR, SCALE = 5, 1_000_000_000
 #: Bytes of terms as they are, A-Z as a-z, all others as blanks.
@@ -172,14 +174,15 @@ def audit(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, shard_byt
     kept = materialise(document_frequencies(docs).filter(F.col("docs") >= least_docs).select("lang", "term"), "divergence-kept")
     posted = materialise(occurrences(docs, kept, shard_bytes), "divergence-postings")
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    near = F.broadcast if vocabulary.count() <= FEW_LANGS else lambda rows: rows
     sums = posted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("present"))
     every = _rows(docs).select("lang", "source").distinct()
-    groups = every.join(sums, ["lang", "source"], "left").join(F.broadcast(vocabulary), "lang", "left").na.fill(0, ["total", "present", "v"])
+    groups = every.join(sums, ["lang", "source"], "left").join(near(vocabulary), "lang", "left").na.fill(0, ["total", "present", "v"])
     groups = groups.withColumn("none", F.when(F.col("v") > 0, _share("0", "total", "v")).otherwise(0))
     groups = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = materialise(groups, "divergence-groups")
     shares = posted.join(groups.select("lang", "source", "at", "total", "v"), ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
-    out = _pairs(groups, shares).unionByName(_terms(posted, shares, most_terms))
+    out = _pairs(groups, shares, near).unionByName(_terms(posted, shares, most_terms, near))
     out = materialise(out, "divergence")
     forget(kept, posted, groups)
     return out
@@ -190,18 +193,18 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
     return rows.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value")).withColumn("rank", F.row_number().over(w))
 
 
-def _terms(posted: DataFrame, shares: DataFrame, most: int) -> DataFrame:
+def _terms(posted: DataFrame, shares: DataFrame, most: int, near: Callable) -> DataFrame:
     of_lang = posted.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     totals = posted.groupBy("lang").agg(F.sum("n").alias("total_lang"))
-    q = of_lang.join(F.broadcast(totals), "lang")
+    q = of_lang.join(near(totals), "lang")
     both = shares.join(q, ["lang", "term"]).withColumn("q", _share("n_lang", "total_lang", "v")).filter("p > q")
     return _ranked(both.select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value")), "term").filter(F.col("rank") <= most)
 
 
-def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, shares: DataFrame, near: Callable) -> DataFrame:
     """Pairs by units of two tiles of sources and a chunk of terms; terms that a unit doesn't have are all alike and added at the end."""
     ends = groups.groupBy("lang").agg((F.max("at") / TILE).cast("int").alias("last"), F.ceil(F.first("v") / CHUNK).cast("int").alias("chunks"))
-    ends = F.broadcast(ends.filter("chunks > 0"))
+    ends = near(ends.filter("chunks > 0"))
     own = (F.col("at") / TILE).cast("int")
 
     def in_units(rows: DataFrame) -> DataFrame:
