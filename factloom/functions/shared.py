@@ -134,3 +134,26 @@ def stars(edges: DataFrame, label: str) -> DataFrame:
     roots = now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
     alone = edges.toDF("a", "b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return alone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def sums_to_root(edges: DataFrame, label: str) -> DataFrame:
+    """Rows (node, total): the weights of all edges from each node up to its root, by doubling pointers.
+
+    ``edges``: node, parent, weight, one row for each node; a parent that has
+    no row of its own is a root.  Each round doubles how far a node has looked,
+    and only nodes that aren't at their root yet are joined, so a chain of a
+    thousand takes about ten.  A cycle is an error.
+    """
+    rounds = Rounds(edges.sparkSession, label)
+    path, now = rounds.write(edges.select("node", F.col("parent").alias("at"), F.col("weight").cast("long").alias("total")))
+    most = now.count().bit_length() + 1
+    for _ in range(most + 1):
+        moving = now.filter("at is not null")
+        if moving.isEmpty():
+            return now.select("node", "total")
+        far = now.select(F.col("node").alias("k"), F.col("at").alias("next"), F.col("total").alias("more"))
+        moved = moving.join(far, F.col("at") == F.col("k"), "left").select("node", F.col("next").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+        new_path, now = rounds.write(now.filter("at is null").unionByName(moved))
+        rounds.drop(path)
+        path = new_path
+    raise ValueError("the edges have a cycle")

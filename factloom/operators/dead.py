@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.text import digest
 
@@ -50,6 +51,51 @@ def duplicates(members: DataFrame, form: Column, lines: Column, least_lines: int
     return tagged.groupBy("hash").agg(F.count("*").alias("members"), F.max("n").alias("lines"), F.min("id").alias("first")).filter("members >= 2")
 
 
+#: Bodies of more nodes than this have no canonical form (fixed value).
+MOST_NODES = 50_000
+
+
+def canonical_bodies(tokens: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+    """The digest of each body's form, in which names are numbered by first appearance (body, nodes, form).
+
+    ``tokens``: body, at, kind, text, where ``kind`` is ``identifier``,
+    ``literal`` or any other kind; ``at`` orders a body's tokens.  Bodies that
+    differ in names only have one form, those that differ in a literal, a kind
+    or in which places share a name don't; text of other kinds is not looked
+    at.  A body of more than ``most_nodes`` tokens has a null form, so a window
+    never holds more than those.  A null text is as an empty one.
+    """
+    sizes = tokens.groupBy("body").agg(F.count("*").alias("nodes"))
+    named = tokens.join(sizes.filter(F.col("nodes") <= most_nodes).select("body"), "body").select("body", "at", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    is_name = F.col("kind") == "identifier"
+    # A name's number is that of its first place among the first places of names.
+    first = F.when(is_name, F.min("at").over(Window.partitionBy("body", "kind", "text")))
+    number = F.dense_rank().over(Window.partitionBy("body").orderBy(F.col("first").asc_nulls_last()))
+    numbered = named.withColumn("first", first).withColumn("number", number)
+    own = F.when(is_name, F.concat(F.lit("$"), F.col("number").cast("string"))).when(F.col("kind") == "literal", F.concat(F.length("text").cast("string"), F.lit("="), F.col("text"))).otherwise("")
+    coded = numbered.select("body", F.struct("at", F.concat_ws(".", F.coalesce("kind", F.lit("")), own).alias("code")).alias("t"))
+    form = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["code"]), "|"), 256)
+    forms = coded.groupBy("body").agg(form.alias("form")).withColumnRenamed("body", "of")
+    return sizes.join(forms, F.col("body") == F.col("of"), "left").select("body", "nodes", "form")
+
+
+def duplicate_bodies(tokens: DataFrame, bodies: DataFrame, least_lines: int = 10, most_nodes: int = MOST_NODES, limit: int | None = None) -> DataFrame:
+    """Groups of bodies of equal form (hash, members, lines, first, left_out), two or more, most members first.
+
+    ``bodies``: body, lines; those of fewer than ``least_lines`` don't count.
+    Groups go by the whole digest and show its first 16 digits; ``lines`` are
+    those of the least body.  ``left_out``: how many bodies of enough lines have
+    too many nodes for a form.  Null bodies have none.
+    """
+    forms = canonical_bodies(tokens.filter("body is not null"), most_nodes).join(bodies.filter(F.col("lines") >= least_lines), "body")
+    # The groups, and how many there are without a form, in one pass: theirs is the group of the null form.
+    groups = forms.groupBy("form").agg(F.count("*").alias("members"), F.min(F.struct("body", "lines")).alias("first"))
+    left = groups.filter("form is null").agg(F.coalesce(F.sum("members"), F.lit(0)).alias("left_out"))
+    out = groups.filter("form is not null and members >= 2").crossJoin(left)  # of one row
+    out = out.select(F.substring("form", 1, 16).alias("hash"), "members", F.col("first.lines").alias("lines"), F.col("first.body").alias("first"), "left_out")
+    return out.orderBy(F.desc("members"), F.desc("lines"), "hash").limit(limit) if limit else out
+
+
 def duplicate_helpers(helpers: DataFrame, own: DataFrame, frameworks: tuple[str, ...] = ()) -> DataFrame:
     """Members that only hand on to one symbol outside (helper, callee, confidence).
 

@@ -79,30 +79,36 @@ def _reached(e: DataFrame, begin: DataFrame) -> DataFrame:
     return fixpoint(begin, grow, "closure")
 
 
+#: Edges below which components are finished on the driver: at most so many rows, whatever the graph was.
+DRIVER_EDGES = 100_000
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Members of cycles (component, node, size): nodes that reach each other, named by their least node.
 
     A canonical definition: it doesn't depend on the order of a traversal.
-    Nodes that no cycle can pass through are trimmed; then the greatest node
-    that leads to each goes forwards as a colour, and what leads back to the
-    node of its own colour is a component.  All tables are as long as the
-    nodes or edges; rounds grow with the longest path that is left.
+    Nodes that no cycle can pass through are trimmed, and paths of nodes with
+    one edge in and one out become one edge, by doubling, so long chains cost
+    few rounds.  What is left under ``DRIVER_EDGES`` is finished on the driver;
+    of more, the greatest node that leads to each goes forwards as a colour,
+    and what leads back to the node of its own colour is a component.  All
+    tables are as long as the nodes or edges.  Null ends are no edges.
     """
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     rounds = Rounds(edges.sparkSession, "cycles")
-    path, live = rounds.write(e.filter("src <> dst"))
-    found = []
-    while True:
-        n = live.count()
-        while n:
-            open_ends = live.join(live.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi")
-            open_ends = open_ends.join(live.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi")
-            new_path, live = rounds.write(open_ends)
-            rounds.drop(path)
-            path, before, n = new_path, n, live.count()
-            if n == before:
+    live = rounds.keep(e.filter("src <> dst"))
+    n, found, stages = live.count(), [], []
+    while n:
+        while n > DRIVER_EDGES:
+            before = n
+            live, n = _trimmed(live, n, rounds)
+            live, n, whole, stage = _contracted(live, n, rounds)
+            found.append(whole)
+            stages.append(stage)
+            if n > 0.9 * before:
                 break
-        if not n:
+        if n <= DRIVER_EDGES:
+            found.append(_on_driver(live))
             break
         colours = _coloured(live, rounds)
         same = rounds.keep(
@@ -110,21 +116,107 @@ def cycles(edges: DataFrame) -> DataFrame:
         )
         back = fixpoint(
             colours.filter("node = colour"),
-            lambda frontier, seen: frontier.toDF("dst", "c").join(same, "dst").filter("c = colour").select("src", "colour"),
+            lambda frontier, seen, same=same: frontier.toDF("dst", "c").join(same, "dst").filter("c = colour").select("src", "colour"),
             "cycles-back",
         )
-        found.append(back)
+        found.append(rounds.keep(back.join(back.groupBy("colour").count().filter("count > 1").select("colour"), "colour", "left_semi").select("node", "colour")))
         rest = same.join(back.select(F.col("node").alias("k")), F.col("src") == F.col("k"), "left_anti").join(back.select(F.col("node").alias("k")), F.col("dst") == F.col("k"), "left_anti")
-        new_path, live = rounds.write(rest.select("src", "dst"))
-        rounds.drop(path)
-        path = new_path
+        live = rounds.keep(rest.select("src", "dst"))
+        n = live.count()
     members = reduce(DataFrame.union, found) if found else live.select(F.col("src").alias("node"), F.col("src").alias("colour"))
+    for inner, loops in reversed(stages):
+        more = loops.join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("colour"))
+        members = rounds.keep(members.union(more))
+        at = members.toDF("from", "a"), members.toDF("to", "b")
+        members = rounds.keep(members.union(inner.join(at[0], "from").join(at[1], "to").filter("a = b").select("node", "a")))
     named = members.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
     inner = members.join(named, "colour").select("component", "node", "size")
     loops = e.filter("src = dst").select(F.col("src").alias("node")).join(inner.select("node"), "node", "left_anti")
     return inner.unionByName(loops.select(F.col("node").alias("component"), "node", F.lit(1).cast("long").alias("size")))
 
 
+def _trimmed(live: DataFrame, n: int, rounds: Rounds) -> tuple[DataFrame, int]:
+    """Edges without nodes that nothing leads to or from, for some rounds or until there are none."""
+    for _ in range(SINGLE_STEPS):
+        kept = live.join(live.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi")
+        kept = kept.join(live.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi")
+        live = rounds.keep(kept)
+        before, n = n, live.count()
+        if n == before:
+            break
+    return live, n
+
+
+def _contracted(live: DataFrame, n: int, rounds: Rounds) -> tuple[DataFrame, int, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Edges in which each path of nodes with one edge in and one out is one edge.
+
+    Also: (node, colour) of cycles made of such nodes only; and, to be read
+    once the rest is known, (node, from, to) of nodes within such paths, and
+    nodes whose path led back to them.
+    """
+    out = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).filter("n = 1").select("node", "next")
+    come = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("node")
+    mid = rounds.keep(out.join(come, "node"))
+    inner = mid.select(F.col("node").alias("k"))
+    step = mid.join(inner, F.col("next") == F.col("k"), "left")
+    now = rounds.keep(step.select("node", F.col("k").alias("at"), F.col("node").alias("last"), F.col("node").alias("low")))
+    for _ in range(mid.count().bit_length() + 1):
+        moving = now.filter("at is not null")
+        if moving.isEmpty():
+            break
+        far = now.select(F.col("node").alias("k"), F.col("at").alias("at2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        moved = moving.join(far, F.col("at") == F.col("k")).select("node", F.col("at2").alias("at"), F.col("last2").alias("last"), F.least("low", "low2").alias("low"))
+        now = rounds.keep(now.filter("at is null").unionByName(moved))
+    # What still moves after as many steps as there are nodes goes round; the least node was seen by all.
+    whole = now.filter("at is not null").select("node", F.col("low").alias("colour"))
+    ends = now.filter("at is null").select("node", "last")
+    begins = live.join(inner, F.col("src") == F.col("k"), "left_anti").join(ends, F.col("dst") == F.col("node")).select("last", F.col("src").alias("from"))
+    paths = rounds.keep(begins.join(mid.toDF("last", "to"), "last"))
+    inside = rounds.keep(ends.join(paths, "last").select("node", "from", "to"))
+    others = live.join(inner, F.col("src") == F.col("k"), "left_anti").join(inner, F.col("dst") == F.col("k"), "left_anti")
+    fewer = rounds.keep(others.union(paths.filter(F.col("from") != F.col("to")).select("from", "to")).distinct())
+    return fewer, fewer.count(), whole, (inside, paths.filter(F.col("from") == F.col("to")).select(F.col("from").alias("node")).distinct())
+
+
+def _on_driver(live: DataFrame) -> DataFrame:
+    """Rows (node, colour) of components of two nodes or more, over a bounded number of edges: depth first, without recursion."""
+    onward: dict = {}
+    for r in live.collect():
+        onward.setdefault(r["src"], []).append(r["dst"])
+    index, low, stack, on, rows = {}, {}, [], set(), []
+    for start in onward:
+        if start in index:
+            continue
+        work = [(start, iter(onward[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        while work:
+            node, ways = work[-1]
+            for way in ways:
+                if way not in index:
+                    index[way] = low[way] = len(index)
+                    stack.append(way)
+                    on.add(way)
+                    work.append((way, iter(onward.get(way, ()))))
+                    break
+                if way in on:
+                    low[node] = min(low[node], index[way])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                    on.difference_update(group)
+                    if len(group) > 1:
+                        rows += [(x, group[0]) for x in group]
+    kind = live.schema["src"].dataType.simpleString()
+    return live.sparkSession.createDataFrame(rows, f"node {kind}, colour {kind}")
+
+
 def _coloured(live: DataFrame, rounds: Rounds) -> DataFrame:
     """Rows (node, colour): the greatest node from which each can be reached, or itself."""
     nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
@@ -140,6 +232,120 @@ def _coloured(live: DataFrame, rounds: Rounds) -> DataFrame:
             return now
 
 
+def circular_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (component, src, dst) whose ends are members of one cycle; ``members`` as of ``cycles``."""
+    one, two = members.select("component", F.col("node").alias("src")), members.select(F.col("component").alias("c2"), F.col("node").alias("dst"))
+    return edges.select("src", "dst").distinct().join(one, "src").join(two, "dst").filter("component = c2").select("component", "src", "dst")
+
+
+def cycle_paths(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One shortest closed path of each component, from its least node and back (component, length, path); loops are none.
+
+    Breadth first from the least nodes of all components at once, each within
+    its component; a node's way back is its least predecessor among those one
+    step nearer, so ties have one result.  Rounds are as many as the longest of
+    these paths has steps.  ``path`` joins the nodes by `` > ``.
+    """
+    rounds = Rounds(edges.sparkSession, "cycle-paths")
+    inner = rounds.keep(circular_edges(edges.filter("src <> dst"), cycles(edges) if members is None else members))
+    steps = [rounds.keep(inner.filter("src = component").select("component", F.col("dst").alias("node"), F.col("src").alias("came"), F.lit(1).alias("dist")))]
+    closed = []
+    while True:
+        front = steps[-1]
+        done = front.filter("node = component")
+        closed.append(done)
+        open_ = front.join(done.select("component"), "component", "left_anti")
+        if open_.isEmpty():
+            break
+        seen = reduce(DataFrame.union, (s.select("component", "node") for s in steps))
+        ways = open_.select("component", F.col("node").alias("src"), "dist").join(inner, ["component", "src"])
+        fresh = ways.groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("came"), (F.min("dist") + 1).cast("int").alias("dist"))
+        steps.append(rounds.keep(fresh.join(seen, ["component", "node"], "left_anti").select("component", "node", "came", "dist")))
+    ends = rounds.keep(reduce(DataFrame.union, closed))
+    # Back from the end of each path, one step of all of them at a time; the last is the least node again.
+    at = ends.select("component", "came", F.col("dist").alias("length"), "dist", F.array(F.col("node")).alias("nodes"))
+    for known in reversed(steps[:-1]):
+        before = known.select("component", F.col("node").alias("came"), F.col("came").alias("earlier"), (F.col("dist") + 1).alias("dist"))
+        back = at.join(before, ["component", "came", "dist"], "left")
+        moved = F.col("earlier").isNotNull()
+        at = rounds.keep(back.select(
+            "component", F.coalesce("earlier", "came").alias("came"), "length", F.when(moved, F.col("dist") - 1).otherwise(F.col("dist")).alias("dist"),
+            F.when(moved, F.concat(F.array("came"), F.col("nodes"))).otherwise(F.col("nodes")).alias("nodes"),
+        ))
+    path = F.array_join(F.transform(F.concat(F.array("came"), F.col("nodes")), lambda x: x.cast("string")), " > ")
+    return at.select("component", F.col("length").cast("long").alias("length"), path.alias("path"))
+
+
+def dependency_graph(members: DataFrame, uses: DataFrame, circular_only: bool = False) -> DataFrame:
+    """Nodes, weighted edges and a path of each cycle as one table (part, a, b, n, circular).
+
+    ``node``: a node and its members; ``edge``: both ends and the uses between
+    them; ``cycle``: the least node of a component, its shortest closed path
+    as ``b``, and the length of that.  ``circular``: whether a node is in a cycle, or an
+    edge within one; ``circular_only`` leaves out what isn't.  ``members``:
+    node; ``uses``: src, dst, of which those from a node to itself count not.
+    """
+    edges = written(dependency_edges(uses).select("src", "dst", "weight"), "dependency-edges")
+    found = written(cycles(edges), "dependency-cycles")
+    within = circular_edges(edges, found).select("src", "dst", F.lit(True).alias("c"))
+    text = [F.col(x).cast("string") for x in ("node", "src", "dst", "component")]
+    nodes = dependency_nodes(members, edges).join(found.select("node", F.lit(True).alias("c")), "node", "left")
+    nodes = nodes.select(F.lit("node").alias("part"), text[0].alias("a"), F.lit(None).cast("string").alias("b"), F.col("members").alias("n"), F.col("c").isNotNull().alias("circular"))
+    lines = edges.join(within, ["src", "dst"], "left").select(F.lit("edge").alias("part"), text[1].alias("a"), text[2].alias("b"), F.col("weight").alias("n"), F.col("c").isNotNull().alias("circular"))
+    paths = cycle_paths(edges, found).select(F.lit("cycle").alias("part"), text[3].alias("a"), F.col("path").alias("b"), F.col("length").alias("n"), F.lit(True).alias("circular"))
+    out = nodes.unionByName(lines).unionByName(paths)
+    return out.filter("circular") if circular_only else out
+
+
+def overrides(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The virtual roots of many members at once (start, root), and all that overrides each root (root, node).
+
+    ``edges``: member, overridden, a row for each declaration that a member
+    overrides or implements; ``starts``: member.  A member that overrides
+    nothing is its own root, and one below several has each of them.  Roots are
+    gone down from once each, however many members lead to them.
+    """
+    up = written(edges.select(F.col("member").alias("src"), F.col("overridden").alias("dst")).filter("src is not null and dst is not null").distinct(), "overrides")
+    begin = written(starts.select(F.col("member").alias("src")).filter("src is not null").distinct(), "overrides-starts")
+    reached = closure(up, begin).union(begin.select("src", F.col("src").alias("dst")))
+    roots = written(reached.join(up.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_anti").distinct().toDF("start", "root"), "overrides-roots")
+    down = closure(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots.select("root").distinct())
+    return roots, down.toDF("root", "node")
+
+
+def clusters(items: DataFrame, access: DataFrame, interfaces: DataFrame | None = None, least_items: int = 2) -> DataFrame:
+    """Groups of a type's methods that hang together, by fields or by private helpers (scope, type_kind, methods, fields, lcom4, cluster, members, shared_fields).
+
+    ``items``: scope, item, all methods; ``access``: scope, item, member, kind,
+    where a ``call`` of a helper links methods as a ``field`` does, but only
+    fields are shown and counted.  One row for each cluster, named by its least
+    method; methods that reach nothing are clusters of their own.
+    ``interfaces``: scope, item; each has one row, whose lcom4 is its methods.
+    Types of fewer than ``least_items`` methods have none.
+    """
+    own = written(items.select("scope", "item").filter("scope is not null and item is not null").distinct(), "clusters-items")
+    used = written(access.select("scope", "item", "member", "kind").filter("member is not null").distinct().join(own, ["scope", "item"], "left_semi"), "clusters-access")
+    linked = shared_components(used.select("scope", "item", F.struct("kind", "member").alias("member")))
+    label = own.join(linked, ["scope", "item"], "left").select("scope", "item", F.coalesce("label", "item").alias("cluster"))
+    label = written(label, "clusters-labels")
+    fields = used.filter("kind = 'field'")
+
+    def listed(c: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",")
+
+    shown = fields.join(label, ["scope", "item"]).groupBy("scope", "cluster").agg(listed("member").alias("shared_fields"))
+    of_scope = label.groupBy("scope").agg(F.count("*").alias("methods"), F.countDistinct("cluster").alias("lcom4")).filter(F.col("methods") >= least_items)
+    n_fields = fields.groupBy("scope").agg(F.countDistinct("member").alias("fields"))
+    out = label.groupBy("scope", "cluster").agg(listed("item").alias("members")).join(shown, ["scope", "cluster"], "left").join(of_scope, "scope").join(n_fields, "scope", "left")
+    columns = ["scope", "type_kind", "methods", "fields", "lcom4", "cluster", "members", "shared_fields"]
+    out = out.withColumn("type_kind", F.lit("Class")).na.fill(0, ["fields"]).na.fill("", ["shared_fields"]).select(columns)
+    if interfaces is None:
+        return out
+    n = interfaces.groupBy("scope").agg(F.countDistinct("item").alias("methods"))
+    none = F.lit(None).cast(own.schema["item"].dataType)
+    return out.unionByName(n.select("scope", F.lit("Interface").alias("type_kind"), "methods", F.lit(0).cast("long").alias("fields"), F.col("methods").alias("lcom4"), none.alias("cluster"), F.lit("").alias("members"), F.lit("").alias("shared_fields")))
+
+
 def shared_components(access: DataFrame) -> DataFrame:
     """Least reachable ``item`` of each (scope, item) over shared members, within each scope.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.shared import sums_to_root
 from factloom.functions.text import line_count, occurrences
 
 
@@ -26,6 +27,63 @@ def node_complexity(nodes: DataFrame, decisions: list[str]) -> DataFrame:
     return nodes.groupBy("member").agg((1 + F.sum(F.col("kind").isin(decisions).cast("long"))).alias("complexity"), F.max("depth").alias("nesting"))
 
 
+#: Kinds of nodes whose body is one level deeper, parts of such nodes that hold a body themselves, and nodes that are a decision.
+ONE_BODY = ["IfStatement", "ForStatement", "ForEachStatement", "WhileStatement", "DoStatement", "LockStatement", "UsingStatement", "FixedStatement", "CheckedStatement", "UnsafeStatement"]
+MORE_BODIES = ["TryStatement", "SwitchStatement", "SwitchExpression"]
+BODY_HOLDERS = ["ElseClause", "SwitchSection", "CatchClause", "FinallyClause", "SwitchExpressionArm"]
+DECISIONS = [
+    "IfStatement", "CaseSwitchLabel", "CasePatternSwitchLabel", "SwitchExpressionArm", "ConditionalExpression", "WhileStatement", "ForStatement", "ForEachStatement", "DoStatement",
+    "CatchClause", "LogicalAndExpression", "LogicalOrExpression", "CoalesceExpression",
+]
+
+
+def nesting(nodes: DataFrame) -> DataFrame:
+    """How many control bodies each node lies in (member, node, depth), from its parents' kinds alone.
+
+    ``nodes``: member, node, parent, kind, one row for each node of a member;
+    a root's parent is null or no node.  An edge into a control body weighs 1,
+    any other 0, local functions and else clauses too.  A statement that is
+    itself the whole body of another, without a block, or a statement of a
+    switch section, counts once with it: the bodies directly in it weigh 0,
+    those one such step further 1 again.  Sums over ancestors by doubling.
+    """
+    up = nodes.select("member", F.col("node").alias("parent"), F.col("kind").alias("of"), F.col("parent").alias("above"))
+    both = nodes.select("member", "node", "parent", "kind").join(up, ["member", "parent"], "left")
+    statement = F.col("kind").endswith("Statement") | (F.col("kind") == "Block")
+    body = (
+        (F.col("of").isin(ONE_BODY) & statement)
+        | ((F.col("of") == "TryStatement") & (F.col("kind") == "Block"))
+        | (F.col("of").isin("ElseClause", "SwitchSection") & statement)
+        | (F.col("of").isin("CatchClause", "FinallyClause") & (F.col("kind") == "Block"))
+        | ((F.col("of") == "SwitchExpressionArm") & F.col("kind").endswith("Expression"))
+    )
+    owner = F.when(F.col("of").isin(BODY_HOLDERS), F.col("above")).otherwise(F.col("parent"))
+    key = F.struct("member", "node").alias("node")
+    both = both.select("member", key, F.struct("member", "parent").alias("parent"), F.struct("member", owner.alias("node")).alias("owner"), F.coalesce(body, F.lit(False)).alias("body"), F.col("kind").isin(ONE_BODY + MORE_BODIES).alias("control"))
+    # Of control statements that are bodies of one another, every second one, from the outermost on, counts with its owner.
+    runs = sums_to_root(both.filter("body and control").select("node", F.col("owner").alias("parent"), F.lit(1).alias("weight")), "nesting-runs")
+    with_owner = runs.filter("total % 2 = 1").select(F.col("node").alias("owner"), F.lit(True).alias("counted"))
+    weight = (F.col("body") & F.col("counted").isNull()).cast("long")
+    depth = sums_to_root(both.join(with_owner, "owner", "left").select("node", "parent", weight.alias("weight")), "nesting")
+    return depth.select("node.member", "node.node", F.col("total").alias("depth"))
+
+
+def method_metrics(members: DataFrame, nodes: DataFrame, least: int | None = None, limit: int | None = 50) -> DataFrame:
+    """Complexity, lines, deepest nesting and index of each member (member, complexity, loc, nesting, maintainability), most complex first.
+
+    ``members``: member, first_line, last_line; ``nodes`` as of ``nesting``.
+    Decisions are nodes of fixed kinds.  A member without nodes has complexity 1.
+    """
+    deepest = nesting(nodes).groupBy("member").agg(F.max("depth").alias("nesting"))
+    decided = nodes.groupBy("member").agg(F.sum(F.col("kind").isin(DECISIONS).cast("long")).alias("n"))
+    out = members.join(decided, "member", "left").join(deepest, "member", "left")
+    out = out.select("member", (1 + F.coalesce("n", F.lit(0))).alias("complexity"), (F.col("last_line") - F.col("first_line") + 1).cast("long").alias("loc"), F.coalesce("nesting", F.lit(0)).cast("long").alias("nesting"))
+    out = out.withColumn("maintainability", maintainability(F.greatest(F.col("loc"), F.lit(1)), F.col("complexity")))
+    if least is not None:
+        out = out.filter(F.col("complexity") >= least)
+    return out.orderBy(F.desc("complexity"), "member").limit(limit) if limit else out
+
+
 def coverage(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines, lines hit and rate of each group and of each of its upper levels; ``lines``: the keys and hits.
 

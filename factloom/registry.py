@@ -22,7 +22,7 @@ symbols | find_references | query | lookup.find_references | find_references
 symbols | find_implementations | query | lookup.preferred | find_implementations
 symbols | document_symbols | query | graph.hierarchy | document_symbols
 symbols | get_symbol_outline | query | graph.outline | symbol_outline
-symbols | find_overrides | query | graph.hierarchy | find_overrides
+symbols | find_overrides | query | graph.overrides | override_roots
 symbols | find_base_members | query | graph.ancestors | base_members
 symbols | member_hierarchy | query | graph.hierarchy | member_hierarchy
 symbols | symbol_signature_help | query | lookup.signatures | signature_help
@@ -43,7 +43,7 @@ analysis | find_type_mutations | query | deps.mutations | type_mutations
 analysis | find_type_usages | query | deps.usages | type_usages
 analysis | semantic_grep | query | search.grep | semantic_grep
 analysis | list_analyzers | query | paging.page | list_analyzers
-analysis | get_cohesion_metrics | query | graph.cohesion | cohesion_lcom4
+analysis | get_cohesion_metrics | query | graph.clusters | cohesion_clusters
 analysis | find_shared_members | query | graph.shared_members | shared_members
 analysis | find_consumers | query | deps.consumers | consumers
 analysis | get_coupling_metrics | query | graph.coupling | coupling_metrics
@@ -52,15 +52,15 @@ analysis | preview_record_field_addition | query | deps.record_sites | record_fi
 analysis | analyze_snippet | outside | |
 advanced-analysis | find_unused_symbols | query | dead.unused_symbols | unused_symbols
 advanced-analysis | get_di_registrations | query | deps.registrations | di_override_chains
-advanced-analysis | get_complexity_metrics | query | metrics.node_complexity | node_complexity
+advanced-analysis | get_complexity_metrics | query | metrics.method_metrics | method_metrics
 advanced-analysis | find_reflection_usages | query | search.known_calls | reflection_usages
-advanced-analysis | get_namespace_dependencies | query | graph.dependency_edges | namespace_dependencies
+advanced-analysis | get_namespace_dependencies | query | graph.dependency_graph | namespace_graph
 advanced-analysis | get_nuget_dependencies | query | deps.packages | nuget_dependencies
 advanced-analysis | find_dead_locals | query | dead.dead_locals | dead_locals
 advanced-analysis | find_dead_fields | query | dead.dead_fields | dead_fields
 advanced-analysis | find_duplicate_helpers | query | dead.duplicate_helpers | duplicate_helpers
-advanced-analysis | find_duplicated_methods | query | dead.duplicates | duplicate_methods
-advanced-analysis | find_duplicated_code | query | dead.duplicates | duplicated_code
+advanced-analysis | find_duplicated_methods | query | dead.duplicate_bodies | duplicated_bodies
+advanced-analysis | find_duplicated_code | query | dead.duplicate_bodies | duplicated_turns
 advanced-analysis | semantic_search | query | search.semantic_search | semantic_search_structured
 advanced-analysis | trace_exception_flow | query | diagnostics.caught | exception_flow
 advanced-analysis | analyze_data_flow | query | dead.data_flow | data_flow
