@@ -5,10 +5,10 @@ Texts are read four times, by tasks that hand on sums only.
 1. Words are counted.  A word stands as a 64-bit hash of its language and its
    bytes from here on; that no two words of the corpus share one is checked,
    and another seed is taken where two do.
-2. Phrases whose words are all frequent are counted in ``BUCKETS`` buckets of
-   their hashes, for each length, in numpy arrays that stop at the least count.
+2. Phrases whose words are all frequent are counted in two buckets each, of
+   2^``BUCKETS`` for each length, in numpy arrays that stop at the least count.
    Partial arrays are added up as a tree.
-3. A phrase is a candidate if its bucket and those of all its parts reach the
+3. A phrase is a candidate if its buckets and those of all its parts reach the
    least count.  This is Apriori-safe: no frequent phrase is left out.  The
    distinct candidates, with the frequent words, are written as a table.
 4. Candidates get a minimal perfect hash, whose slots hold the hashes of the
@@ -40,7 +40,8 @@ from factloom.llm._shared import forget, materialise, ship
 
 #: Longest phrase, in words.
 LONGEST = 4
-#: Buckets of each length of phrase, as a power of two, and those in one piece of an array.
+#: Buckets of each length of phrase, as a power of two, and those in one piece of an array.  Fewer than words of the corpus
+#: let more infrequent candidates through, which cost time and change nothing.
 BUCKETS, PIECE = 25, 1 << 18
 #: Candidates of one round: their keys and counts take about 60 bytes each.
 ROUND = 2_000_000
@@ -48,8 +49,8 @@ ROUND = 2_000_000
 FAN_IN = 32
 #: Bytes of text that are looked at together; a longer text is alone.
 AT_ONCE = 1 << 20
-#: Rows that a task holds before it hands them on.
-HELD = 300_000
+#: Rows that a task holds before it hands them on, and candidates that it knows it has handed on.
+HELD, KNOWN = 300_000, 600_000
 #: Bytes of texts as they are, A-Z as a-z, tabs as blanks, and all that ends a piece as a full stop (fixed values).
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TEXT = bytes(46 if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,7 +172,7 @@ class _Hashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 2 * HELD:
+        if len(self) > HELD:
             self.clear()
             self[b"."] = 0
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -300,24 +301,29 @@ def _bucket(hashes: np.ndarray, size: int) -> np.ndarray:
     return (hashes & np.uint64(size - 1)).astype(np.int64)
 
 
+def _two(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of each hash, one in each half."""
+    return _bucket(hashes, size // 2), size // 2 + _bucket(hashes >> np.uint64(32), size // 2)
+
+
 def _bits(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether the buckets of hashes are marked, of which there are eight in a byte."""
-    at = _bucket(hashes, 8 * len(bits))
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """Whether both buckets of each hash are marked, of which there are eight in a byte."""
+    first, second = _two(hashes, 8 * len(bits))
+    return (bits[first >> 3] >> (first & 7).astype(np.uint8)) & (bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1 == 1
 
 
 def _bucket_bits(docs: DataFrame, words: DataFrame, total: int, least: int, seed: int) -> list[np.ndarray]:
     """For each length, a bit for each bucket that reaches the least count, or for words, that a frequent word is in.
 
-    There are about as many buckets as words of the corpus, 2^BUCKETS at most.
+    A phrase has two buckets, so an infrequent one gets through only where it shares both with others.  There are about as many buckets as words of the corpus, 2^BUCKETS at most.
     """
     spark, size = docs.sparkSession, 1 << min(BUCKETS, max(12, int(total).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         sums = _Arrays(size // 8, np.uint8)
         for batch in batches:
-            at = _bucket(phrase_hash([batch.column(0).to_numpy().view(np.uint64)]), size)
-            np.bitwise_or.at(sums.sums, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in _two(phrase_hash([batch.column(0).to_numpy().view(np.uint64)]), size):
+                np.bitwise_or.at(sums.sums, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from sums.out(part)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
@@ -340,9 +346,10 @@ def _bucket_bits(docs: DataFrame, words: DataFrame, total: int, least: int, seed
         for _, _, h in _hashed(batches, seed):
             for k, at in _windows(h, lambda at, k: _bits(phrase_hash(_keys(h, at, 1)), known) if k == 1 else np.ones(len(at), bool)):
                 if k > 1:
-                    bucket, n = np.unique(_bucket(phrase_hash(_keys(h, at, k)), size), return_counts=True)
-                    bucket += (k - 2) * size
-                    sums.sums[bucket] = np.minimum(sums.sums[bucket] + n, cap)
+                    for half in _two(phrase_hash(_keys(h, at, k)), size):
+                        bucket, n = np.unique(half, return_counts=True)
+                        bucket += (k - 2) * size
+                        sums.sums[bucket] = np.minimum(sums.sums[bucket] + n, cap)
         yield from sums.out(part)
 
     counted, parts = _mapped(_rows(docs), count)
@@ -369,11 +376,14 @@ def candidates(docs: DataFrame, words: DataFrame, bits: list[np.ndarray], seed:
     names = ["lang", "phrase", *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = held.value, {}  # keys of each phrase: its language and words
+        known, sent, found = held.value, set(), {}  # keys of each phrase: its language and words
 
         def out() -> pa.RecordBatch:
             keys = np.frombuffer(b"".join(found), np.int64).reshape(-1, LONGEST)
             langs, phrases = zip(*found.values()) if found else ((), ())
+            if len(sent) > KNOWN:
+                sent.clear()
+            sent.update(found)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), *(pa.array(c) for c in np.ascontiguousarray(keys.T))], names)
 
@@ -389,7 +399,7 @@ def candidates(docs: DataFrame, words: DataFrame, bits: list[np.ndarray], seed:
                 rows[:, :k] = np.stack(keys, 1)[first]
                 data, width = rows.tobytes(), 8 * LONGEST
                 for r, i in enumerate(at[first].tolist()):
-                    if (x := data[r * width : (r + 1) * width]) not in found:
+                    if (x := data[r * width : (r + 1) * width]) not in found and x not in sent:
                         found[x] = lang, b" ".join(tokens[i : i + k])
             if len(found) > HELD:
                 yield out()
