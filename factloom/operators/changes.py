@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions import patterns
+
+# Workers need not have this package: patterns go to them with their code.
+cloudpickle.register_pickle_by_value(patterns)
+
 
 def text_slice(lines: DataFrame, first: int, last: int, most_chars: int = 65536) -> DataFrame:
     """Lines first to last of each text as one string, cut to a number of characters (id, text)."""
@@ -25,6 +34,29 @@ def restructure(rows: DataFrame, pattern: str, goal: str, text_col: str = "text"
     return rows.filter(text.rlike(pattern)).withColumn("rewritten", F.regexp_replace(text, pattern, goal)).withColumn("changes", F.regexp_count(text, F.lit(pattern)).cast("long"))
 
 
+def restructured(rows: DataFrame, pattern: str, goal: str, text_col: str = "text") -> DataFrame:
+    """Rows in which a pattern with placeholders matches, with the rewritten text as ``rewritten`` and the number of ``changes``.
+
+    ``functions.patterns.Pattern`` says what matches.  A goal that names a
+    placeholder which the pattern has not is an error, before anything runs.
+    Null texts match nothing.  Texts go to Python in Arrow batches, and only
+    those that hold all fixed names of the pattern.
+    """
+    made = patterns.Pattern(pattern, goal)
+
+    def rewrite(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in texts:
+            yield pd.DataFrame([made.rewrite(t) for t in some], columns=["rewritten", "changes"])
+
+    may = rows.filter(F.col(text_col).isNotNull())
+    for t, held in made.parts:
+        if not held:
+            may = may.filter(F.col(text_col).contains(t))
+    done = F.pandas_udf(rewrite, "rewritten string, changes long")(F.col(text_col))
+    out = may.withColumn("_done", done).select("*", "_done.rewritten", "_done.changes").drop("_done")
+    return out.filter("changes > 0")
+
+
 def replace_literals(tokens: DataFrame, replacements: dict[str, str]) -> DataFrame:
     """Tokens that a bounded map replaces (id, ord, token, replacement)."""
     pairs = tokens.sparkSession.createDataFrame(list(replacements.items()), "literal string, replacement string")

@@ -51,17 +51,30 @@ def by_id(rows: DataFrame, column: str, value) -> DataFrame:
     return rows.filter(F.col(column) == value)
 
 
-def enclosing(points: DataFrame, spans: DataFrame, bucket: int) -> DataFrame:
-    """The innermost span around each point (point_id, span_id).
+def enclosing(points: DataFrame, spans: DataFrame, bucket: int | None = None) -> DataFrame:
+    """The innermost span around each point (point_id, span_id); ties go to the least span_id.
 
     ``points``: point_id, scope, at; ``spans``: span_id, scope, lo, hi (both
-    inside).  Points and spans meet by scope and bucket of position, so no
-    scope is joined with itself in whole.
+    inside, whole numbers).  A span lies on the level of the least power of two
+    that is no shorter, where it meets two blocks at most, so one of any length
+    is two rows; a point looks into its block of each level that has spans, of
+    which there are 64 at most.  Each span that it meets is over half as long
+    as the block, so few are met in vain.  ``bucket`` is not used any more.
     """
-    cut = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    at = points.withColumn("bucket", F.floor(F.col("at") / bucket))
-    met = at.join(cut, ["scope", "bucket"]).filter("at between lo and hi")
-    return met.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), F.col("span_id").alias("id"))).alias("s")).select("point_id", F.col("s.id").alias("span_id"))
+    length = F.col("hi").cast("long") - F.col("lo").cast("long") + 1
+    # Bits of length - 1: whole numbers only, as logarithms round.
+    level = F.length(F.regexp_replace(F.bin(length - 1), "^0+", ""))
+    sized = spans.filter("lo <= hi").withColumn("level", level)
+
+    def block(c: str):
+        return F.expr(f"shiftright(cast({c} as long), level)")
+
+    cut = sized.withColumn("block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
+    levels = sized.agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one row
+    at = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).withColumn("block", block("at")).drop("levels")
+    met = at.join(cut, ["scope", "level", "block"]).filter("at between lo and hi")
+    best = met.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), F.col("span_id").alias("id"))).alias("s"))
+    return best.select("point_id", F.col("s.id").alias("span_id"))
 
 
 def preferred(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

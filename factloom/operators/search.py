@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.shared import written
 from factloom.functions.text import snippet
 
 #: Patterns of scopes of tokens (fixed values, in the subset that all dialects share).
@@ -96,3 +97,42 @@ def known_calls(texts: DataFrame, table: list[tuple[str, str]]) -> DataFrame:
     """Occurrences of the calls of a table in texts (id, call, kind, n); ``table``: (call, kind), a bounded list."""
     counts = [F.struct(F.lit(c).alias("call"), F.lit(k).alias("kind"), F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))) / len(c)).cast("long").alias("n")) for c, k in table]
     return texts.select("id", F.inline(F.array(*counts))).filter("n > 0")
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The different runs of so many characters of a text, from its characters and those some places on, in time that grows with its length."""
+    chars = F.split(text, "")
+
+    def of(n: int) -> Column:
+        runs = chars
+        for k in range(1, n):
+            runs = F.zip_with(runs, F.slice(chars, k + 1, F.length(text)), lambda x, y: F.concat(x, y))
+        return F.filter(runs, lambda x: F.length(x) == n)  # what begins too late is null
+
+    return F.array_distinct(F.concat(*(of(n) for n in sizes)))
+
+
+def holding(texts: DataFrame, terms: DataFrame, q: int = 3) -> DataFrame:
+    """Which text holds which term as a substring (id, term), each pair once, for any number of terms.
+
+    ``texts``: id, text; ``terms``: term.  An index of q-grams: each term is
+    looked up by the one of its grams that fewest texts have, and what that
+    finds is checked by ``contains``.  Terms shorter than a gram are runs of
+    characters themselves and joined with those.  Null and empty terms are in
+    no text; case counts.
+    """
+    wanted = written(terms.select("term").filter("term <> ''").distinct(), "terms")
+    long, short = wanted.filter(F.length("term") >= q), wanted.filter(F.length("term") < q)
+    of_term = long.select("term", F.explode(_grams(F.col("term"), [q])).alias("gram"))
+    rows = texts.select("id", "text").filter("text is not null")
+    grams = rows.select("id", F.explode(_grams(F.col("text"), [q])).alias("gram"))
+    index = written(grams.join(of_term.select("gram").distinct(), "gram", "left_semi"), "grams")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # A term with a gram that no text has is in none, and goes here.
+    best = of_term.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b")).filter("b.n > 0")
+    maybe = index.join(best.select("term", F.col("b.gram").alias("gram")), "gram").select("id", "term")
+    found = rows.join(maybe, "id").filter(F.col("text").contains(F.col("term"))).select("id", "term")
+    if q > 1:
+        runs = rows.select("id", F.explode(_grams(F.col("text"), list(range(1, q)))).alias("term"))
+        found = found.unionByName(runs.join(short, "term", "left_semi").select("id", "term"))
+    return found.distinct()

@@ -187,7 +187,7 @@ _TERMS = sorted({"thention", "erthe", "anthe", "lichkeit.generated", "ouelle"})
 @query("test_related_files", f"""SELECT file, name, array_to_string(list_filter({_TERMS}, lambda t: contains(lower(name || chr(10) || file), t)), ',') AS terms FROM {_METHODS} WHERE turn % 2 = 0 AND len(list_filter({_TERMS}, lambda t: contains(lower(name || chr(10) || file), t))) > 0""")
 def test_related_files(spark: SparkSession, d: str) -> DataFrame:
     """Tests that hold a declared type or the stem of a changed file; at most 25 files, so their terms are a bounded list."""
-    files = spark.createDataFrame([(p,) for p in _CHANGED], "path string").limit(testing.MOST_FILES)
+    files = spark.createDataFrame([(p,) for p in _CHANGED], "path string").orderBy("path").limit(testing.MOST_FILES)
     types = spark.createDataFrame([(p, t) for p, ts in _CHANGED.items() for t in ts], "path string, type string")
     terms = sorted({r["term"] for r in testing.terms_of(files, types).collect()})
     methods = _methods(spark, d)

@@ -482,7 +482,7 @@ def probe_position(spark: SparkSession, d: str) -> DataFrame:
     hi = F.sum(F.length("text").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0))
     spans = turns.select(F.concat_ws(":", F.col("turn").cast("string"), "role").alias("span_id"), F.col("conv_id").alias("scope"), hi.alias("end"), (hi - F.length("text") + 1).alias("lo"))
     points = turns.select(F.col("conv_id").alias("point_id"), F.col("conv_id").alias("scope"), F.lit(700).cast("long").alias("at")).distinct()
-    return lookup.enclosing(points, spans.select("span_id", "scope", "lo", (F.col("end") - 1).alias("hi")).filter("lo <= hi"), bucket=1000)
+    return lookup.enclosing(points, spans.select("span_id", "scope", "lo", (F.col("end") - 1).alias("hi")).filter("lo <= hi"))
 
 
 @query("impact_sweep", """WITH x AS (SELECT 'reference' AS category, l_orderkey AS id FROM lineitem WHERE l_partkey = 11 UNION ALL SELECT 'callsite', o_orderkey FROM orders WHERE o_custkey = 11 UNION ALL SELECT 'mapper', p_partkey FROM part WHERE regexp_matches(p_name, '(ring|gear)$'))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import dead, graph, metrics
+from factloom.operators import changes, dead, graph, lookup, metrics, testing
 from factloom.plans.base import TRADE_SQL, query, table, trade
 from factloom.plans.graphs import _TREE_SQL, _tree
 
@@ -150,3 +150,53 @@ def override_roots(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("member"))
     roots, below = graph.overrides(tree, nations)
     return roots.join(below, "root").select("start", "root", "node")
+
+
+_TERMS_SQL = """t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[^\\s.,;:!?]+')) AS w FROM benchmark)),
+m AS (SELECT DISTINCT role AS file, text AS name FROM conversations WHERE turn % 2 = 0 AND text IS NOT NULL)"""
+
+
+@query("related_tests_by_terms", f"WITH {_TERMS_SQL} SELECT file, name, string_agg(term, ',' ORDER BY term) AS terms FROM m JOIN t ON contains(lower(name || chr(10) || file), term) GROUP BY file, name")
+def related_tests_by_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Even turns as tests that hold a word of the benchmark, of which some are one or two letters long; the words stay in Spark."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s.,;:!?]+)"), 1)
+    terms = table(spark, d, "benchmark").select(F.explode(words).alias("term"))
+    turns = table(spark, d, "conversations").filter("text is not null").select(F.col("role").alias("file"), F.col("text").alias("name"), "turn")
+    return testing.related_by_terms(turns.filter("turn % 2 = 0"), terms, turns.filter("turn = 1").select("file", "name"))
+
+
+_LEVELS_SQL = """s AS (SELECT 'o' || o_orderkey AS span_id, o_custkey % 7 AS scope, epoch(o_orderdate) AS lo, epoch(o_orderdate) + CASE WHEN o_orderkey % 1000 = 0 THEN 1000000000 WHEN o_orderkey % 50 = 0 THEN 40000000 ELSE 86400 * (o_orderkey % 5) END AS hi FROM orders),
+p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, l_orderkey % 7 AS scope, epoch(l_shipdate) AS pos FROM lineitem)"""
+
+
+@query("enclosing_long_spans", f"WITH {_LEVELS_SQL} SELECT point_id, arg_min(span_id, (hi - lo, span_id)) AS span_id FROM p JOIN s ON p.scope = s.scope AND pos BETWEEN lo AND hi GROUP BY point_id")
+def enclosing_long_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest order around the shipping of each line; some orders last days, some a year and some over thirty."""
+    key, began = F.col("o_orderkey"), F.unix_timestamp("o_orderdate")
+    length = F.when(key % 1000 == 0, 1_000_000_000).when(key % 50 == 0, 40_000_000).otherwise(86_400 * (key % 5))
+    spans = table(spark, d, "orders").select(F.concat(F.lit("o"), key.cast("string")).alias("span_id"), (F.col("o_custkey") % 7).alias("scope"), began.alias("lo"), (began + length).alias("hi"))
+    points = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_orderkey") % 7).alias("scope"), F.unix_timestamp("l_shipdate").alias("at"))
+    return lookup.enclosing(points, spans)
+
+
+_NESTED_SQL = """o AS (SELECT l_orderkey AS id, list('p' || l_partkey || '[' || l_suppkey || ', 1]' ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem GROUP BY l_orderkey),
+n AS (SELECT id, p[1] AS head, array_to_string(list_transform(p[2:], lambda x: 'f(' || x || ', '), '') || 'g(x)' || repeat(')', len(p) - 1) AS rest FROM o)"""
+
+
+@query("restructure_nested", f"WITH {_NESTED_SQL} SELECT id, 'y = h(' || rest || ', ' || head || ') + h(''f(a, b)'', z); o.f(q, r)' AS rewritten, 2 AS changes FROM n")
+def restructure_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order as calls in one another: the outer call's arguments change places, quoted ones and calls of a member stay."""
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("["), F.col("l_suppkey").cast("string"), F.lit(", 1]"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", part.alias("p")))).alias("l"))
+    calls = F.array_join(F.transform("l", lambda x: F.concat(F.lit("f("), x["p"], F.lit(", "))), "")
+    text = F.concat(F.lit("y = "), calls, F.lit("g(x)"), F.repeat(F.lit(")"), F.size("l")), F.lit(" + f( z,'f(a, b)' ); o.f(q, r)"))
+    return changes.restructured(lines.select("id", text.alias("text")), "f(__a__, __b__)", "h(__b__, __a__)").select("id", "rewritten", "changes")
+
+
+@query("restructure_repeated", """SELECT l_orderkey * 10 + l_linenumber AS id, 'if (same(k' || l_partkey % 10 || ' + 1)) { g(k' || l_suppkey % 10 || '); }' AS rewritten, 1 AS changes FROM lineitem WHERE l_partkey % 10 = l_suppkey % 10 GROUP BY ALL""")
+def restructure_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """A placeholder that comes twice matches the same tokens, however they are spaced."""
+    a, b = ((F.col(c) % 10).cast("string") for c in ("l_partkey", "l_suppkey"))
+    text = F.concat(F.lit("if (eq(k"), a, F.lit(" + 1, k"), b, F.lit("+1)) { g(k"), b, F.lit("); }"))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text")).distinct()
+    return changes.restructured(lines, "eq(__a__, __a__)", "same(__a__)").select("id", "rewritten", "changes")

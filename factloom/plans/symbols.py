@@ -79,7 +79,7 @@ def enclosing_symbol(spark: SparkSession, d: str) -> DataFrame:
     n = spark.range(400).select(F.col("id").cast("int").alias("x"))
     quarters = n.select(F.concat(F.lit("q"), F.col("x").cast("string")).alias("span_id"), F.lit(0).alias("scope"), (F.col("x") * 90).alias("lo"), (F.col("x") * 90 + 89).alias("hi"))
     months = n.select(F.concat(F.lit("m"), F.col("x").cast("string")).alias("span_id"), F.lit(0).alias("scope"), (F.col("x") * 30).alias("lo"), (F.col("x") * 30 + 24).alias("hi"))
-    return lookup.enclosing(points, quarters.unionByName(months), bucket=90)
+    return lookup.enclosing(points, quarters.unionByName(months))
 
 
 @query("completions", f"SELECT id, name, p_size AS rank FROM {_PARTS} WHERE starts_with(lower(name), 'red') ORDER BY rank, name, id LIMIT 100")

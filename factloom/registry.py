@@ -31,7 +31,7 @@ symbols | find_references_bulk | query | lookup.find_references_bulk | find_refe
 symbols | find_type_consumers | query | deps.consumers | type_consumers
 symbols | find_property_writes | query | deps.usages | property_writes
 symbols | probe_position | query | lookup.enclosing | probe_position
-symbols | enclosing_symbol | query | lookup.enclosing | enclosing_symbol
+symbols | enclosing_symbol | query | lookup.enclosing | enclosing_long_spans
 symbols | goto_type_definition | query | lookup.by_id | goto_type_definition
 symbols | get_completions | query | lookup.completions | completions
 analysis | project_diagnostics | query | diagnostics.diagnostics | diagnostics
@@ -79,7 +79,7 @@ validation | build_project | parsed | captured.build_diagnostics | build_project
 validation | test_discover | query | testing.discovered | test_discover
 validation | test_run | parsed | captured.test_results | test_run
 validation | test_related | query | testing.related | test_related
-validation | test_related_files | query | testing.related_files | test_related_files
+validation | test_related_files | query | testing.related_by_terms | related_tests_by_terms
 security | security_diagnostics | query | diagnostics.security | security_diagnostics
 security | security_analyzer_status | query | deps.presence | security_analyzer_status
 security | nuget_vulnerability_scan | parsed | captured.vulnerable_packages | vulnerability_scan
@@ -118,7 +118,7 @@ refactoring | code_fix_apply | staged | session.apply | code_fix_apply
 refactoring | format_range_preview | outside | |
 refactoring | format_range_apply | staged | session.apply | format_range_apply
 refactoring | format_check | outside | |
-refactoring | restructure_preview | staged | changes.restructure | restructure
+refactoring | restructure_preview | staged | changes.restructured | restructure_nested
 refactoring | replace_string_literals_preview | staged | changes.replace_literals | replace_literals
 refactoring | symbol_refactor_preview | staged | changes.fold | symbol_refactor_preview
 refactoring | split_service_with_di_preview | staged | rewrites.partitioned | split_service
