@@ -9,8 +9,8 @@ Texts are read four times, by tasks that hand on sums only.
    2^``BUCKETS`` for each length, in numpy arrays that stop at the least count.
    Partial arrays are added up as a tree.
 3. A phrase is a candidate if its buckets and those of all its parts reach the
-   least count.  This is Apriori-safe: no frequent phrase is left out.  The
-   distinct candidates, with the frequent words, are written as a table.
+   least count.  This is Apriori-safe: no frequent phrase is left out.  Keys
+   of the distinct candidates, and the frequent words, are written as a table.
 4. Candidates get a minimal perfect hash, whose slots hold the hashes of the
    words themselves.  Each task looks up every phrase, verifies it by the keys
    that its slot stores, and adds to a numpy array by ``bincount``; the arrays
@@ -49,8 +49,8 @@ ROUND = 2_000_000
 FAN_IN = 32
 #: Bytes of text that are looked at together; a longer text is alone.
 AT_ONCE = 1 << 20
-#: Rows that a task holds before it hands them on, and candidates that it knows it has handed on.
-HELD, KNOWN = 300_000, 600_000
+#: Rows that a task holds before it hands them on, and words of the corpus for each range of candidates.
+HELD, RANGE_WORDS = 300_000, 4_000_000
 #: Bytes of texts as they are, A-Z as a-z, tabs as blanks, and all that ends a piece as a full stop (fixed values).
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TEXT = bytes(46 if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -370,45 +370,70 @@ def _bucket_bits(docs: DataFrame, words: DataFrame, total: int, least: int, seed
     return [one, *bits.reshape(LONGEST - 1, -1)]
 
 
-def candidates(docs: DataFrame, words: DataFrame, bits: list[np.ndarray], seed: int) -> DataFrame:
-    """Rows (lang, phrase, w0..w3): frequent words, and phrases whose bucket and whose parts' buckets are all full."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-    names = ["lang", "phrase", *KEYS]
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Rows of keys in the order of their hash, each once; repeats that another row of one hash parts may stay."""
+    keys = keys[np.argsort(_row_hash(keys), kind="stable")]
+    return keys[np.concatenate([np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]).any(1)])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sent, found = held.value, set(), {}  # keys of each phrase: its language and words
 
-        def out() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(found), np.int64).reshape(-1, LONGEST)
-            langs, phrases = zip(*found.values()) if found else ((), ())
-            if len(sent) > KNOWN:
-                sent.clear()
-            sent.update(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), *(pa.array(c) for c in np.ascontiguousarray(keys.T))], names)
-
-        for lang, tokens, h in _hashed(batches, seed):
+def _row_hash(keys: np.ndarray) -> np.ndarray:
+    return phrase_hash(list(keys.T))
+
+
+def candidates(docs: DataFrame, words: DataFrame, bits: list[np.ndarray], total: int, seed: int) -> DataFrame:
+    """Rows (w0..w3): frequent words, and phrases whose buckets and whose parts' buckets are all full, each once.
+
+    Tasks hand on arrays of keys, in as many ranges of hashes as the corpus
+    has ``RANGE_WORDS``, and those are merged as a tree, so no task holds more
+    than ``FAN_IN`` tasks' keys of a range.
+    """
+    held, ranges = docs.sparkSession.sparkContext.broadcast(bits), 1 + int(total) // RANGE_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        known, found, n = held.value, [np.zeros((0, LONGEST), np.uint64)], 0
+        for _, _, h in _hashed(batches, seed):
             for k, at in _windows(h, lambda at, k: _bits(phrase_hash(_keys(h, at, k)), known[k - 1])):
-                if k == 1 or not len(at):
-                    continue
-                keys = _keys(h, at, k)
-                _, first, same = np.unique(phrase_hash(keys), return_index=True, return_inverse=True)
-                if any((c[first][same] != c).any() for c in keys):  # phrases that share a hash
-                    first = np.unique(np.stack(keys, 1), axis=0, return_index=True)[1]
-                rows = np.zeros((len(first), LONGEST), np.uint64)
-                rows[:, :k] = np.stack(keys, 1)[first]
-                data, width = rows.tobytes(), 8 * LONGEST
-                for r, i in enumerate(at[first].tolist()):
-                    if (x := data[r * width : (r + 1) * width]) not in found and x not in sent:
-                        found[x] = lang, b" ".join(tokens[i : i + k])
-            if len(found) > HELD:
-                yield out()
-        yield out()
+                if k > 1 and len(at):
+                    keys = np.zeros((len(at), LONGEST), np.uint64)
+                    keys[:, :k] = np.stack(_keys(h, at, k), 1)
+                    found.append(_distinct(keys))
+                    n += len(found[-1])
+            if n > 2 * len(found[0]) + HELD:
+                found = [_distinct(np.concatenate(found))]
+                n = 0
+        keys = _distinct(np.concatenate(found))
+        piece = (_row_hash(keys) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        keys, piece = keys[order], piece[order]
+        for r, begin, end in zip(*(x.tolist() for x in _runs(piece))):
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int32()), pa.array([keys[begin:end].tobytes()], pa.binary())], ["piece", "part", "data"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = _distinct(np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, LONGEST) for x in rows["data"]]))
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "part": rows["part"].iloc[:1] // FAN_IN, "data": [keys.tobytes()]})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                keys = np.frombuffer(data.as_py(), np.int64).reshape(-1, LONGEST)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(keys.T)], KEYS)
+
+    written, parts = _mapped(_rows(docs), run)
+    merged = written
+    while parts > 1:
+        merged = merged.groupBy("piece", (F.col("part") / FAN_IN).cast("int")).applyInPandas(merge, _Arrays.schema)
+        parts = -(-parts // FAN_IN)
+    schema = ", ".join(f"{k} long" for k in KEYS)
+    single = words.select(F.col("h").alias("w0"), *(F.lit(0).cast("long").alias(k) for k in KEYS[1:]))
+    out = materialise(single.unionByName(merged.select("data").mapInArrow(unpack, schema).distinct()), "phrases-candidates")
+    forget(written)
+    return out
+
 
-    phrases = _rows(docs).mapInArrow(run, f"lang string, phrase binary, {', '.join(f'{k} long' for k in KEYS)}")
-    phrases = phrases.groupBy(*KEYS).agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase")).select(*names)
-    single = words.select("lang", F.col("word").alias("phrase"), F.col("h").alias("w0"), *(F.lit(0).cast("long").alias(k) for k in KEYS[1:]))
-    return single.unionByName(phrases)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a sorted array, and where each begins and ends."""
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[begin], begin, np.append(begin[1:], len(x)) if len(x) else begin
 
 
 def _keys_of(some: DataFrame) -> np.ndarray:
@@ -495,8 +520,9 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000, covered: in
     spark = docs.sparkSession
     ship(spark)
     words, totals, seed = _words_of(docs, least)
-    bits = _bucket_bits(docs, words, totals.agg(F.sum("total")).first()[0] or 0, least, seed)
-    found = materialise(candidates(docs, words, bits, seed), "phrases-candidates")
+    total = totals.agg(F.sum("total")).first()[0] or 0
+    bits = _bucket_bits(docs, words, total, least, seed)
+    found = candidates(docs, words, bits, total, seed)
     marks = spark.sparkContext.broadcast(bits)
     rounds = -(-found.count() // per_round)
     counted = found.withColumns({c: F.lit(0).cast("long") for c in ["a", *(x for pair in _CUTS for x in pair)]})
@@ -510,7 +536,7 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000, covered: in
         held.unpersist()
         counts.unpersist()
     frequent = counted.filter((F.col("w1") != 0) & (F.col("a") >= least))
-    out = materialise(_best(_outside(frequent, covered), totals, most), "phrases")
+    out = materialise(_best(_outside(frequent, covered), words, totals, most), "phrases")
     forget(found, counted, totals, words)
     return out
 
@@ -535,11 +561,17 @@ def _outside(frequent: DataFrame, covered: int) -> DataFrame:
     return frequent.join(holders, on, "left").filter("longer is null or 100 * longer < %d * a" % covered)
 
 
-def _best(rows: DataFrame, totals: DataFrame, most: int) -> DataFrame:
+def _best(rows: DataFrame, words: DataFrame, totals: DataFrame, most: int) -> DataFrame:
     """The lowest-scoring cut of each phrase, and the first of each language by score."""
     score = "cast(floor((cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0))) div cast({l} + {r} as decimal(20,0))) as long)"
     cuts = [F.when(F.col(left) > 0, F.struct(F.expr(score.format(l=left, r=right)).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))) for k, (left, right) in enumerate(_CUTS, 1)]
-    cut = rows.withColumn("c", F.least(*cuts)).join(totals, "lang")
-    out = cut.select("lang", F.col("phrase").cast("string").alias("phrase"), "a", "c.l", "c.r", F.col("total").alias("n"), "c.score")
+    cut = rows.withColumn("c", F.least(*cuts)).join(words.select(F.col("h").alias("w0"), "lang", F.col("word").alias("word0")), "w0")
+    place = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"))
+    # Words are looked up only for phrases that can be among the first; those tied with the last of them too.
+    first = cut.withColumn("place", F.rank().over(place)).filter(F.col("place") <= most)
+    for k in range(1, LONGEST):
+        first = first.join(words.select(F.col("h").alias(f"w{k}"), F.col("word").alias(f"word{k}")), f"w{k}", "left")
+    phrase = F.concat_ws(" ", *(F.col(f"word{k}").cast("string") for k in range(LONGEST)))
+    out = first.join(totals, "lang").select("lang", phrase.alias("phrase"), "a", "c.l", "c.r", F.col("total").alias("n"), "c.score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
     return out.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
