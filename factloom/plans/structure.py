@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import changes, dead, graph, lookup, metrics, testing
+from factloom.operators import changes, dead, graph, lookup, metrics, mirrored, testing, unused
 from factloom.plans.base import TRADE_SQL, query, table, trade
 from factloom.plans.graphs import _TREE_SQL, _tree
 
@@ -200,3 +200,136 @@ def restructure_repeated(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("if (eq(k"), a, F.lit(" + 1, k"), b, F.lit("+1)) { g(k"), b, F.lit("); }"))
     lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text")).distinct()
     return changes.restructured(lines, "eq(__a__, __a__)", "same(__a__)").select("id", "rewritten", "changes")
+
+
+#: Suppliers as types and parts as their members; names, kinds and attributes follow from keys and prices.
+_SYMBOLS_SQL = """types AS (SELECT 't' || s_suppkey AS symbol, 'T' || s_suppkey || CASE s_suppkey % 9 WHEN 0 THEN 'Tests' WHEN 1 THEN 'ModelSnapshot' WHEN 2 THEN 'Test' ELSE '' END AS name, s_suppkey % 4 = 1 AS is_static, s_suppkey AS k,
+  CASE s_suppkey % 6 WHEN 5 THEN 'Interface' WHEN 4 THEN 'Enum' ELSE 'Class' END AS type_kind, s_suppkey % 6 = 3 AS is_record, CASE WHEN s_acctbal > 5000 THEN 'Public' ELSE 'Internal' END AS accessibility FROM supplier),
+n AS (SELECT count(*) AS n FROM supplier),
+members AS (SELECT 'm' || p_partkey AS symbol, CASE WHEN p_size = 7 THEN 'Main' WHEN p_size = 8 THEN 'Invoke' ELSE replace(p_name, ' ', '_') END AS name, CASE p_type WHEN 'SMALL' THEN 'property' WHEN 'LARGE' THEN 'field' ELSE 'method' END AS kind, 't' || (p_partkey * 7 % n) AS container,
+  CASE WHEN p_size % 3 = 0 THEN 'Public' ELSE 'Private' END AS accessibility, CASE WHEN p_size % 10 = 1 THEN 'Constructor' ELSE 'Ordinary' END AS method_kind, CASE WHEN p_size % 2 = 0 THEN 'HttpContext' ELSE 'int,' || p_brand END AS parameters,
+  p_size % 2 = 1 AS is_static, p_size % 11 = 5 AS is_override, p_size % 13 = 4 AS is_extension, p_brand, p_partkey FROM part, n),
+symbols AS (SELECT symbol, name, 'type' AS kind, CAST(NULL AS VARCHAR) AS container, accessibility, CAST(NULL AS VARCHAR) AS method_kind, type_kind, CAST(NULL AS VARCHAR) AS parameters, is_static, is_record, false AS is_override, false AS is_extension FROM types
+  UNION ALL SELECT m.symbol, m.name, m.kind, m.container, m.accessibility, m.method_kind, t.type_kind, m.parameters, m.is_static, t.is_record, m.is_override, m.is_extension FROM members m JOIN types t ON t.symbol = m.container),
+attributes AS (SELECT symbol, CASE p_brand WHEN 'Brand#1' THEN 'FactAttribute' WHEN 'Brand#2' THEN 'Route' WHEN 'Brand#3' THEN 'MigrationAttribute' WHEN 'Brand#4' THEN 'DataMemberAttribute' WHEN 'Brand#5' THEN 'JsonPropertyNameAttribute' ELSE 'Obsolete' END AS attribute FROM members WHERE p_partkey % 3 = 0
+  UNION ALL SELECT symbol, CASE k % 17 WHEN 3 THEN 'TestClassAttribute' WHEN 4 THEN 'McpServerToolTypeAttribute' ELSE 'Serializable' END FROM types),
+bases AS (SELECT symbol, 't' || (k // 2) AS base, CASE WHEN k % 23 = 5 THEN 'Hub' ELSE 'T' || (k // 2) END AS base_name FROM types WHERE k > 1),
+refs AS (SELECT DISTINCT 'm' || l_partkey AS target FROM lineitem WHERE l_quantity >= 45),
+outside AS (SELECT DISTINCT container, name, parameters FROM members JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 3)"""
+_UNUSED_SQL = f"""WITH RECURSIVE {_SYMBOLS_SQL},
+fixture AS (SELECT symbol FROM types WHERE name LIKE '%Tests' OR name LIKE '%Test' UNION SELECT symbol FROM attributes WHERE attribute = 'TestClassAttribute'),
+inh(symbol) AS (SELECT symbol FROM bases WHERE base_name = 'Hub' UNION SELECT b.symbol FROM inh JOIN bases b ON b.base = inh.symbol),
+conv AS (SELECT symbol FROM types WHERE name LIKE '%ModelSnapshot' UNION SELECT symbol FROM inh UNION SELECT container FROM symbols WHERE kind = 'method' AND accessibility = 'Public' AND name = 'Invoke' AND parameters = 'HttpContext'
+  UNION SELECT symbol FROM attributes WHERE attribute = 'McpServerToolTypeAttribute' UNION SELECT symbol FROM fixture),
+x AS (SELECT s.*, CASE
+  WHEN symbol IN (SELECT symbol FROM conv) OR container IN (SELECT symbol FROM conv) OR symbol IN (SELECT symbol FROM attributes WHERE attribute = 'MigrationAttribute') THEN 'convention-invoked'
+  WHEN accessibility = 'Public' AND NOT {{public}} THEN 'public' WHEN kind = 'method' AND method_kind = 'Constructor' THEN 'method-kind'
+  WHEN symbol IN (SELECT symbol FROM members WHERE p_partkey % 19 = 0) THEN 'interface-implementation' WHEN kind IN ('method', 'property') AND is_override THEN 'override'
+  WHEN kind = 'method' AND name = 'Main' AND is_static THEN 'entry-point' WHEN symbol IN (SELECT symbol FROM attributes WHERE attribute IN ('FactAttribute', 'Route', 'DataMemberAttribute')) THEN 'framework-attribute'
+  WHEN kind = 'type' AND is_static AND symbol IN (SELECT container FROM symbols WHERE is_extension) THEN 'extension-host' END AS reason FROM symbols s)"""
+
+
+def _symbols(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Symbols with their attributes, bases, implementations and references."""
+    suppliers, parts = table(spark, d, "supplier"), table(spark, d, "part")
+    k = F.col("s_suppkey")
+    end = F.when(k % 9 == 0, "Tests").when(k % 9 == 1, "ModelSnapshot").when(k % 9 == 2, "Test").otherwise("")
+    kind = F.when(k % 6 == 5, "Interface").when(k % 6 == 4, "Enum").otherwise("Class")
+    types = suppliers.select(
+        F.concat(F.lit("t"), k.cast("string")).alias("symbol"), F.concat(F.lit("T"), k.cast("string"), end).alias("name"), k.alias("k"), kind.alias("type_kind"), (k % 6 == 3).alias("is_record"),
+        (k % 4 == 1).alias("is_static"), F.when(F.col("s_acctbal") > 5000, "Public").otherwise("Internal").alias("accessibility"),
+    )
+    n = suppliers.agg(F.count("*").alias("n"))  # one row
+    p, size = F.col("p_partkey"), F.col("p_size")
+    members = parts.crossJoin(F.broadcast(n)).select(
+        F.concat(F.lit("m"), p.cast("string")).alias("symbol"), F.when(size == 7, "Main").when(size == 8, "Invoke").otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"),
+        F.when(F.col("p_type") == "SMALL", "property").when(F.col("p_type") == "LARGE", "field").otherwise("method").alias("kind"), F.concat(F.lit("t"), (p * 7 % F.col("n")).cast("string")).alias("container"),
+        F.when(size % 3 == 0, "Public").otherwise("Private").alias("accessibility"), F.when(size % 10 == 1, "Constructor").otherwise("Ordinary").alias("method_kind"),
+        F.when(size % 2 == 0, "HttpContext").otherwise(F.concat(F.lit("int,"), F.col("p_brand"))).alias("parameters"), (size % 2 == 1).alias("is_static"), (size % 11 == 5).alias("is_override"),
+        (size % 13 == 4).alias("is_extension"), "p_brand", "p_partkey",
+    )
+    own = types.select(F.col("symbol").alias("container"), "type_kind", "is_record")
+    columns = ["symbol", "name", "kind", "container", "accessibility", "method_kind", "type_kind", "parameters", "is_static", "is_record", "is_override", "is_extension"]
+    none = F.lit(None).cast("string")
+    all_types = types.withColumns({"kind": F.lit("type"), "container": none, "method_kind": none, "parameters": none, "is_override": F.lit(False), "is_extension": F.lit(False)})
+    names = {"Brand#1": "FactAttribute", "Brand#2": "Route", "Brand#3": "MigrationAttribute", "Brand#4": "DataMemberAttribute", "Brand#5": "JsonPropertyNameAttribute"}
+    of_member = F.coalesce(*(F.when(F.col("p_brand") == b, a) for b, a in names.items()), F.lit("Obsolete"))
+    of_type = F.when(k % 17 == 3, "TestClassAttribute").when(k % 17 == 4, "McpServerToolTypeAttribute").otherwise("Serializable")
+    above = F.floor(F.col("k") / 2).cast("string")
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    return {
+        "symbols": all_types.select(columns).unionByName(members.join(own, "container").select(columns)),
+        "attributes": members.filter("p_partkey % 3 = 0").select("symbol", of_member.alias("attribute")).union(types.withColumn("s_suppkey", F.col("k")).select("symbol", of_type)),
+        "bases": types.filter("k > 1").select("symbol", F.concat(F.lit("t"), above).alias("base"), F.when(F.col("k") % 23 == 5, "Hub").otherwise(F.concat(F.lit("T"), above)).alias("base_name")),
+        "implements": members.filter("p_partkey % 19 = 0").select("symbol"),
+        "refs": lines.filter("l_quantity >= 45").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("target")).distinct(),
+        "outside": members.join(lines.filter("l_quantity = 3"), "p_partkey", "left_semi").select("container", "name", "parameters"),
+    }
+
+
+@query("unused_by_rules", f"""{_UNUSED_SQL.format(public='true')},
+o AS (SELECT container, name FROM symbols WHERE kind = 'method' AND method_kind = 'Ordinary' GROUP BY container, name HAVING count(*) > 1)
+SELECT symbol, CASE WHEN (container IS NOT NULL AND type_kind = 'Interface') OR (kind = 'field' AND type_kind = 'Enum') OR (kind = 'property' AND (is_record OR symbol IN (SELECT symbol FROM attributes WHERE attribute IN ('JsonPropertyNameAttribute', 'DataMemberAttribute')))) THEN 'low'
+  WHEN accessibility = 'Public' THEN 'medium' ELSE 'high' END AS confidence
+FROM x WHERE reason IS NULL AND symbol NOT IN (SELECT target FROM refs)
+  AND NOT (kind = 'method' AND (is_extension OR (container, name) IN (SELECT (container, name) FROM o)) AND EXISTS (SELECT 1 FROM outside z WHERE z.container = x.container AND z.name = x.name AND z.parameters = x.parameters))""")
+def unused_by_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Members and types without references, public ones too, by all rules that hold by default."""
+    s = _symbols(spark, d)
+    rules = tuple(r for r in unused.DEFAULT_RULES if r != "public")
+    excluded = unused.exclusions(s["symbols"], s["attributes"], s["bases"], s["implements"], rules)
+    return unused.unused(s["symbols"], s["refs"], s["outside"], excluded, s["attributes"])
+
+
+@query("unused_exclusions", f"{_UNUSED_SQL.format(public='false')} SELECT symbol, reason FROM x WHERE reason IS NOT NULL")
+def unused_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Why symbols are never reported: the first rule that each falls under."""
+    s = _symbols(spark, d)
+    return unused.exclusions(s["symbols"], s["attributes"], s["bases"], s["implements"])
+
+
+#: Brands as domain types with a carrier each and one mapper for two; parts give their properties, orders the methods' texts.
+_MIRRORED_SQL = """b AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS k FROM part),
+types AS (SELECT 'd' || k AS type, 'Item' || k || 'x' AS name, false AS is_record FROM b UNION ALL SELECT 'c' || k, 'Item' || k || CASE k % 3 WHEN 0 THEN 'Dto' WHEN 1 THEN 'Snapshot' ELSE 'Row' END, k % 4 = 2 FROM b UNION ALL SELECT 'm' || k, 'Item' || k || CASE WHEN k % 5 = 0 THEN 'Helper' ELSE 'Mapper' END, false FROM b),
+props AS (SELECT DISTINCT 'd' || substr(p_brand, 7) AS type, replace(p_name, ' ', '') AS property, CASE WHEN p_size % 4 = 0 THEN 'j' || p_size END AS json_name FROM part WHERE p_size <= 16
+  UNION SELECT 'c' || substr(p_brand, 7), CASE WHEN p_size % 4 = 0 THEN 'Other' || p_size ELSE replace(p_name, ' ', '') END, CASE WHEN p_size % 4 = 0 THEN 'j' || p_size END FROM part WHERE p_size >= 12),
+methods AS (SELECT 'm' || k AS type, o AS ord, CASE o WHEN 1 THEN 'Map' WHEN 2 THEN 'ToCarrier' ELSE 'FromCarrier' END AS name, 'Item' || k || CASE k % 3 WHEN 0 THEN 'Dto' WHEN 1 THEN 'Snapshot' ELSE 'Row' END || ' F(Item' || k || 'x x)' AS signature,
+  coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT replace(p_name, ' ', '') AS x FROM part WHERE CAST(substr(p_brand, 7) AS INTEGER) = k AND p_size % 3 = o - 1)), '') AS body FROM b, (SELECT unnest([1, 2, 3]) AS o) WHERE NOT (k % 7 = 0 AND o = 3))"""
+
+
+def _mirrored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    parts = table(spark, d, "part").select(F.substring("p_brand", 7, 9).alias("b"), F.replace("p_name", F.lit(" "), F.lit("")).alias("name"), "p_size")
+    k = F.col("k")
+    brands = parts.select(F.col("b").cast("int").alias("k")).distinct()
+    end = F.when(k % 3 == 0, "Dto").when(k % 3 == 1, "Snapshot").otherwise("Row")
+
+    def named(letter: str, e, record):
+        return brands.select(F.concat(F.lit(letter), k.cast("string")).alias("type"), F.concat(F.lit("Item"), k.cast("string"), e).alias("name"), record.alias("is_record"))
+
+    types = named("d", F.lit("x"), F.lit(False)).union(named("c", end, k % 4 == 2)).union(named("m", F.when(k % 5 == 0, "Helper").otherwise("Mapper"), F.lit(False)))
+    json = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("j"), F.col("p_size").cast("string")))
+    own = parts.filter("p_size <= 16").select(F.concat(F.lit("d"), F.col("b")).alias("type"), F.col("name").alias("property"), json.alias("json_name"))
+    other = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Other"), F.col("p_size").cast("string"))).otherwise(F.col("name"))
+    theirs = parts.filter("p_size >= 12").select(F.concat(F.lit("c"), F.col("b")).alias("type"), other.alias("property"), json.alias("json_name"))
+    texts = parts.groupBy(F.col("b").cast("int").alias("k"), (F.col("p_size") % 3 + 1).cast("int").alias("ord")).agg(F.array_join(F.array_sort(F.collect_set("name")), ";").alias("body"))
+    three = brands.select("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("ord")).filter("not (k % 7 = 0 and ord = 3)").join(texts, ["k", "ord"], "left")
+    signature = F.concat(F.lit("Item"), k.cast("string"), end, F.lit(" F(Item"), k.cast("string"), F.lit("x x)"))
+    methods = three.select(
+        F.concat(F.lit("m"), k.cast("string")).alias("type"), "ord", F.when(F.col("ord") == 1, "Map").when(F.col("ord") == 2, "ToCarrier").otherwise("FromCarrier").alias("name"), signature.alias("signature"),
+        F.coalesce("body", F.lit("")).alias("body"),
+    )
+    return {"starts": own.select("type", "property"), "types": types, "properties": own.union(theirs).distinct(), "methods": methods}
+
+
+@query("impact_one_sided", f"""WITH {_MIRRORED_SQL},
+pairs AS (SELECT DISTINCT a.type AS domain, a.property, c.type AS carrier, c.property AS mirror FROM props a JOIN props c ON (a.property = c.property OR a.json_name = c.json_name) AND a.type <> c.type JOIN types t ON t.type = c.type
+  WHERE a.type LIKE 'd%' AND (t.is_record OR t.name LIKE '%Dto' OR t.name LIKE '%Snapshot' OR t.name LIKE 'Snapshot%')),
+maps AS (SELECT DISTINCT p.domain, p.carrier, m.type FROM (SELECT DISTINCT domain, carrier FROM pairs) p JOIN types d ON d.type = p.domain JOIN types c ON c.type = p.carrier JOIN methods m ON contains(m.signature, d.name) AND contains(m.signature, c.name) JOIN types t ON t.type = m.type WHERE t.name LIKE '%Mapper'),
+w AS (SELECT maps.domain, maps.carrier, CASE WHEN m.name LIKE 'To%' THEN 'To' ELSE 'From' END AS way, arg_min(m.body, (m.type, m.ord)) AS body FROM maps JOIN methods m ON m.type = maps.type WHERE m.name LIKE 'To%' OR m.name LIKE 'From%' GROUP BY ALL),
+s AS (SELECT DISTINCT p.*, w.way FROM pairs p JOIN w USING (domain, carrier) WHERE contains(w.body, p.property) OR contains(w.body, p.mirror)),
+f AS (SELECT p.domain, p.property, p.carrier, p.mirror, coalesce(bool_or(way = 'To'), false) AS t, coalesce(bool_or(way = 'From'), false) AS f FROM pairs p LEFT JOIN s ON s.domain = p.domain AND s.property = p.property AND s.carrier = p.carrier AND s.mirror = p.mirror
+  WHERE (p.domain, p.carrier) IN (SELECT (domain, carrier) FROM maps) GROUP BY ALL)
+SELECT domain, property, carrier, mirror, concat_ws(',', CASE WHEN t THEN 'To' END, CASE WHEN f THEN 'From' END) AS present, concat_ws(',', CASE WHEN NOT t THEN 'To' END, CASE WHEN NOT f THEN 'From' END) AS missing FROM f WHERE NOT (t AND f)""")
+def impact_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """All properties of all brands at once: those that a mapper carries one way only, or not at all."""
+    return mirrored.one_sided(**_mirrored(spark, d))

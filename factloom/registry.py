@@ -47,10 +47,10 @@ analysis | get_cohesion_metrics | query | graph.clusters | cohesion_clusters
 analysis | find_shared_members | query | graph.shared_members | shared_members
 analysis | find_consumers | query | deps.consumers | consumers
 analysis | get_coupling_metrics | query | graph.coupling | coupling_metrics
-analysis | symbol_impact_sweep | query | graph.sweep | impact_sweep
+analysis | symbol_impact_sweep | query | mirrored.one_sided | impact_one_sided
 analysis | preview_record_field_addition | query | deps.record_sites | record_field_addition
 analysis | analyze_snippet | outside | |
-advanced-analysis | find_unused_symbols | query | dead.unused_symbols | unused_symbols
+advanced-analysis | find_unused_symbols | query | unused.unused | unused_by_rules
 advanced-analysis | get_di_registrations | query | deps.registrations | di_override_chains
 advanced-analysis | get_complexity_metrics | query | metrics.method_metrics | method_metrics
 advanced-analysis | find_reflection_usages | query | search.known_calls | reflection_usages
