@@ -4,6 +4,8 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from factloom.llm import spans
 
 END = re.compile(r"[.!?。！？]+[\s\"')\]]*|\n+\s*")
@@ -153,5 +155,20 @@ def test_words_are_hashed_by_all_their_characters():
     assert h[0] != h[2] and h[0] == h[4] and h[1] == h[3] and h[6] == h[7]
 
 
+def test_a_document_in_a_hundred_thousand_rows(spark):
+    """Rows that repeat a document, with an id or without, don't make its list of runs longer, and all have the same result."""
+    rng = random.Random(12)
+    own = " ".join(f"{' '.join(''.join(rng.choices('abcdefgh', k=4)) for _ in range(9))}." for _ in range(12))
+    text = f"{own} {own}"  # each run comes again within it
+    once = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    many = spark.range(100_000).selectExpr("if(id % 2 = 0, 7, null) as doc_id").withColumn("text", F.lit(text))
+    sizes = [{r["n"] for r in spans.covered(df).selectExpr("size(spans) as n").collect()} for df in (once, many.filter("doc_id = 7"))]
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 1
+    got = spans.dedup_spans(many).groupBy("doc_id", "text", "n_removed").count().collect()
+    want = spans.dedup_spans(once).collect()[0]
+    assert {(r["doc_id"], r["count"]) for r in got} == {(7, 50_000), (None, 50_000)}
+    assert next((r["text"], r["n_removed"]) for r in got if r["doc_id"] == 7) == (want["text"], want["n_removed"]) and want["n_removed"] > 0
+
+
 def test_empty(none):
     assert spans.dedup_spans(none).count() == 0
