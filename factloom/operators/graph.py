@@ -444,6 +444,34 @@ def sweep(parts: dict[str, DataFrame], most: int) -> DataFrame:
     return first.join(F.broadcast(n), "category")
 
 
+def impact_rows(parts: dict[str, DataFrame], offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the places of each kind that a change touches (kind, id, total), with how many there are; each frame has a column ``id``.
+
+    Places are distinct and in order; ``total`` is from before the page.  Ids
+    of all kinds are shown as text, in the order of their own type.
+    """
+    from pyspark.sql.window import Window
+
+    out = []
+    for kind, df in parts.items():
+        one = df.select("id").distinct()
+        n = one.agg(F.count("*").alias("total"))  # one row
+        place = F.row_number().over(Window.partitionBy(F.lit(kind)).orderBy("id"))
+        page = one.withColumn("rn", place).filter(F.col("rn") <= offset + limit).filter(F.col("rn") > offset)
+        out.append(page.crossJoin(F.broadcast(n)).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "total"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def subtree(edges: DataFrame, root, kinds: DataFrame, most_depth: int) -> DataFrame:
+    """The nodes below a root to some depth, the root too, as rows that give the tree again (node, parent, depth, kind).
+
+    ``edges``: child, parent; ``kinds``: node, kind.
+    """
+    below = hierarchy(edges, root, most_depth)
+    top = edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["child"].dataType).alias("node"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), F.lit(0).alias("depth"))
+    return below.unionByName(top).join(kinds.select("node", "kind"), "node", "left").select("node", "parent", "depth", "kind")
+
+
 def outline(edges: DataFrame, root, most_depth: int) -> DataFrame:
     """What is below a root to some depth, by kind of depth (depth, nodes, first, last)."""
     return hierarchy(edges, root, most_depth).groupBy("depth").agg(F.countDistinct("node").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"))

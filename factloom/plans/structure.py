@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import changes, dead, graph, lookup, metrics, mirrored, testing, unused
+from factloom.operators import changes, dead, graph, lookup, metrics, mirrored, testing, unused, usages
 from factloom.plans.base import TRADE_SQL, query, table, trade
 from factloom.plans.graphs import _TREE_SQL, _tree
 
@@ -333,3 +333,99 @@ SELECT domain, property, carrier, mirror, concat_ws(',', CASE WHEN t THEN 'To' E
 def impact_one_sided(spark: SparkSession, d: str) -> DataFrame:
     """All properties of all brands at once: those that a mapper carries one way only, or not at all."""
     return mirrored.one_sided(**_mirrored(spark, d))
+
+
+#: Events as nodes, each below the one before of its user; kinds and places in them by key.
+_USAGE_KINDS = [
+    "QualifiedName", "TypeArgumentList", "MethodDeclaration", "Parameter", "PropertyDeclaration", "VariableDeclaration", "FieldDeclaration", "SimpleBaseType", "CastExpression", "AsExpression", "IsPatternExpression",
+    "ObjectCreationExpression", "SimpleMemberAccessExpression", "SimpleAssignmentExpression", "ObjectInitializerExpression", "Argument", "NullableType", "Block", "QualifiedName", "VariableDeclaration",
+]
+_SLOTS = ["Type", "ReturnType", "Left", "Right", "Expression", "Type"]
+_NODES_SQL = f"""nodes AS (SELECT event_id AS node, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent, CASE WHEN event_id % 331 = 7 THEN 'TypeCref' ELSE {_USAGE_KINDS}[event_id * 7 % 20 + 1] END AS kind, {_SLOTS}[event_id % 6 + 1] AS slot,
+  CASE WHEN event_id % 2 = 0 THEN 'out' END AS modifier FROM events),
+a AS (SELECT n.node AS ref, n.slot, p.node AS p, p.kind AS p_kind, p.slot AS p_slot, p.modifier AS p_modifier, g.kind AS g_kind FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN nodes g ON g.node = p.parent)"""
+
+
+def _usage_nodes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    kind = F.when(i % 331 == 7, "TypeCref").otherwise(F.get(F.array(*map(F.lit, _USAGE_KINDS)), (i * 7 % 20).cast("int")))
+    parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    slot = F.get(F.array(*map(F.lit, _SLOTS)), (i % 6).cast("int"))
+    return table(spark, d, "events").select(i.alias("node"), parent.alias("parent"), kind.alias("kind"), slot.alias("slot"), F.when(i % 2 == 0, "out").alias("modifier"))
+
+
+def _class_sql() -> str:
+    """The cases of the table, in its order."""
+    each = []
+    for name, kinds, slot in usages.TYPE_CLASSES:
+        each.append(f"WHEN p_kind IN {_in(list(kinds) + [''])}" + (f" AND slot = '{slot}'" if slot else "") + f" THEN '{name}'")
+    return " ".join(each)
+
+
+@query("type_usage_classes", f"""WITH RECURSIVE {_NODES_SQL}, doc(node) AS (SELECT node FROM nodes WHERE kind = 'TypeCref' UNION SELECT n.node FROM doc JOIN nodes n ON n.parent = doc.node),
+up(ref, pos) AS (SELECT node, node FROM nodes WHERE node % 4 = 1 UNION ALL SELECT up.ref, w.node FROM up JOIN nodes n ON n.node = up.pos JOIN nodes w ON w.node = n.parent AND w.kind IN ('QualifiedName', 'NullableType')),
+top AS (SELECT up.ref, a.* EXCLUDE (ref) FROM up JOIN a ON a.ref = up.pos WHERE coalesce(a.p_kind, '') NOT IN ('QualifiedName', 'NullableType'))
+SELECT ref, CASE WHEN ref IN (SELECT node FROM doc) THEN 'Documentation' WHEN ref % 3 = 0 AND p_kind = 'SimpleMemberAccessExpression' AND slot = 'Expression' THEN 'StaticMemberAccess'
+  WHEN p_kind = 'VariableDeclaration' AND slot = 'Type' AND g_kind = 'FieldDeclaration' THEN 'FieldType' {_class_sql()} ELSE 'Other' END AS classification FROM top""")
+def type_usage_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth node as a reference to a type."""
+    nodes = _usage_nodes(spark, d)
+    refs = nodes.filter("node % 4 = 1").select(F.col("node").alias("ref"), "node", (F.col("node") % 3 == 0).alias("is_static"))
+    return usages.type_usages(refs, nodes)
+
+
+@query("property_write_kinds", f"""WITH {_NODES_SQL} SELECT ref, CASE WHEN p_kind LIKE '%AssignmentExpression' AND slot = 'Left' THEN CASE WHEN g_kind LIKE '%InitializerExpression' THEN 'ObjectInitializer' ELSE 'Assignment' END
+  WHEN p_kind = 'SimpleMemberAccessExpression' AND g_kind LIKE '%AssignmentExpression' AND p_slot = 'Left' THEN 'Assignment' WHEN p_kind = 'Argument' AND p_modifier = 'out' THEN 'OutRef' END AS classification FROM a WHERE classification IS NOT NULL""")
+def property_write_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes as references to a property; those that write it."""
+    nodes = _usage_nodes(spark, d)
+    return usages.property_writes(nodes.select(F.col("node").alias("ref"), "node"), nodes)
+
+
+_METHODS_OF = ["GetType", "CreateInstance", "Load", "Invoke", "GetValue", "GetMethods", "Other"]
+_TYPES_OF = ["Type", "Activator", "Assembly", "PropertyInfo", "Own"]
+
+
+@query("reflection_calls", f"""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS site, CASE l_suppkey % 3 WHEN 0 THEN 'System' WHEN 1 THEN 'System.Reflection' ELSE 'Own' END AS namespace, {_TYPES_OF}[l_partkey % 5 + 1] AS type, {_METHODS_OF}[CAST(l_quantity AS BIGINT) % 7 + 1] AS method, CASE WHEN l_tax > 0.05 THEN l_returnflag END AS argument FROM lineitem WHERE l_linestatus = 'O')
+SELECT DISTINCT site, CASE WHEN namespace = 'System' AND type = 'Type' AND method = 'GetType' THEN 'Type.GetType' WHEN namespace = 'System' AND type = 'Activator' AND method = 'CreateInstance' THEN 'Activator.CreateInstance' WHEN namespace = 'System.Reflection' AND type = 'Assembly' AND method IN ('GetType', 'Load') THEN 'Assembly.' || method
+  WHEN namespace = 'System.Reflection' AND method = 'Invoke' THEN 'Reflection.Invoke' WHEN namespace = 'System.Reflection' AND type = 'PropertyInfo' AND method = 'GetValue' THEN 'PropertyInfo.GetValue' WHEN type = 'Type' AND method = 'GetMethods' THEN 'Type.GetMethods' END AS kind, argument FROM c WHERE kind IS NOT NULL
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'typeof', l_returnflag FROM lineitem WHERE l_linestatus = 'F' AND l_discount = 0.1""")
+def reflection_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Open lines as calls, of which some are known, and some others as ``typeof``."""
+    lines = table(spark, d, "lineitem").withColumn("site", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    space = F.when(F.col("l_suppkey") % 3 == 0, "System").when(F.col("l_suppkey") % 3 == 1, "System.Reflection").otherwise("Own")
+    owner = F.get(F.array(*map(F.lit, _TYPES_OF)), (F.col("l_partkey") % 5).cast("int"))
+    method = F.get(F.array(*map(F.lit, _METHODS_OF)), (F.col("l_quantity").cast("long") % 7).cast("int"))
+    calls = lines.filter("l_linestatus = 'O'").select("site", space.alias("namespace"), owner.alias("type"), method.alias("method"), F.when(F.col("l_tax") > 0.05, F.col("l_returnflag")).alias("argument"))
+    return usages.reflection_calls(calls, lines.filter("l_linestatus = 'F' and l_discount = 0.1").select("site", F.col("l_returnflag").alias("argument")))
+
+
+@query("impact_places", """WITH l AS (SELECT * FROM lineitem WHERE l_suppkey = 3), x AS (SELECT DISTINCT 'lines' AS kind, l_orderkey * 10 + l_linenumber AS id FROM l UNION SELECT 'orders', l_orderkey FROM l UNION SELECT 'customers', o_custkey FROM l JOIN orders ON l_orderkey = o_orderkey)
+SELECT kind, CAST(id AS VARCHAR) AS id, total FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, row_number() OVER (PARTITION BY kind ORDER BY id) AS rn FROM x) WHERE rn BETWEEN 6 AND 25""")
+def impact_places(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of what a supplier's change touches."""
+    lines = table(spark, d, "lineitem").filter("l_suppkey = 3").select("l_orderkey", "l_linenumber")
+    customers = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("id"))
+    return graph.impact_rows({"lines": lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")), "orders": lines.select(F.col("l_orderkey").alias("id")), "customers": customers}, offset=5, limit=20)
+
+
+@query("relationship_places", """WITH x AS (SELECT 'definition' AS kind, p_partkey AS id FROM part WHERE p_partkey = 9 UNION SELECT 'references', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_partkey = 9 UNION SELECT 'suppliers', l_suppkey FROM lineitem WHERE l_partkey = 9
+  UNION SELECT 'siblings', p_partkey FROM part WHERE p_partkey <> 9 AND p_brand = (SELECT p_brand FROM part WHERE p_partkey = 9))
+SELECT kind, CAST(id AS VARCHAR) AS id, total FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, row_number() OVER (PARTITION BY kind ORDER BY id) AS rn FROM x) WHERE rn <= 50""")
+def relationship_places(spark: SparkSession, d: str) -> DataFrame:
+    """The places that a part is related to, fifty of each kind."""
+    parts, lines = table(spark, d, "part"), table(spark, d, "lineitem").filter("l_partkey = 9")
+    own = parts.filter("p_partkey = 9")
+    return graph.impact_rows({
+        "definition": own.select(F.col("p_partkey").alias("id")), "references": lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")), "suppliers": lines.select(F.col("l_suppkey").alias("id")),
+        "siblings": parts.filter("p_partkey <> 9").join(own.select("p_brand"), "p_brand", "left_semi").select(F.col("p_partkey").alias("id")),
+    }, limit=50)
+
+
+@query("operations_subtree", f"""WITH RECURSIVE {_TREE_SQL}, r(node, parent, depth) AS (SELECT 'r0', NULL::VARCHAR, 0 UNION ALL SELECT e.child, e.parent, depth + 1 FROM r JOIN edges e ON e.parent = r.node WHERE depth < 3)
+SELECT node, parent, depth, CASE substr(node, 1, 1) WHEN 'n' THEN 'nation' WHEN 's' THEN 'supplier' END AS kind FROM r""")
+def operations_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """A region's nations and suppliers as a tree of operations."""
+    tree = _tree(spark, d)
+    first = F.substring("child", 1, 1)
+    return graph.subtree(tree, "r0", tree.select(F.col("child").alias("node"), F.when(first == "n", "nation").when(first == "s", "supplier").alias("kind")), 3)

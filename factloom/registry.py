@@ -26,10 +26,10 @@ symbols | find_overrides | query | graph.overrides | override_roots
 symbols | find_base_members | query | graph.ancestors | base_members
 symbols | member_hierarchy | query | graph.hierarchy | member_hierarchy
 symbols | symbol_signature_help | query | lookup.signatures | signature_help
-symbols | symbol_relationships | query | graph.impact | symbol_relationships
+symbols | symbol_relationships | query | graph.impact_rows | relationship_places
 symbols | find_references_bulk | query | lookup.find_references_bulk | find_references_bulk
 symbols | find_type_consumers | query | deps.consumers | type_consumers
-symbols | find_property_writes | query | deps.usages | property_writes
+symbols | find_property_writes | query | usages.property_writes | property_write_kinds
 symbols | probe_position | query | lookup.enclosing | probe_position
 symbols | enclosing_symbol | query | lookup.enclosing | enclosing_long_spans
 symbols | goto_type_definition | query | lookup.by_id | goto_type_definition
@@ -38,9 +38,9 @@ analysis | project_diagnostics | query | diagnostics.diagnostics | diagnostics
 analysis | diagnostic_details | query | diagnostics.details | diagnostic_details
 analysis | type_hierarchy | query | graph.hierarchy | type_hierarchy
 analysis | callers_callees | query | graph.callers_callees | callers_callees
-analysis | impact_analysis | query | graph.impact | impact_analysis
+analysis | impact_analysis | query | graph.impact_rows | impact_places
 analysis | find_type_mutations | query | deps.mutations | type_mutations
-analysis | find_type_usages | query | deps.usages | type_usages
+analysis | find_type_usages | query | usages.type_usages | type_usage_classes
 analysis | semantic_grep | query | search.grep | semantic_grep
 analysis | list_analyzers | query | paging.page | list_analyzers
 analysis | get_cohesion_metrics | query | graph.clusters | cohesion_clusters
@@ -53,7 +53,7 @@ analysis | analyze_snippet | outside | |
 advanced-analysis | find_unused_symbols | query | unused.unused | unused_by_rules
 advanced-analysis | get_di_registrations | query | deps.registrations | di_override_chains
 advanced-analysis | get_complexity_metrics | query | metrics.method_metrics | method_metrics
-advanced-analysis | find_reflection_usages | query | search.known_calls | reflection_usages
+advanced-analysis | find_reflection_usages | query | usages.reflection_calls | reflection_calls
 advanced-analysis | get_namespace_dependencies | query | graph.dependency_graph | namespace_graph
 advanced-analysis | get_nuget_dependencies | query | deps.packages | nuget_dependencies
 advanced-analysis | find_dead_locals | query | dead.dead_locals | dead_locals
@@ -65,7 +65,7 @@ advanced-analysis | semantic_search | query | search.semantic_search | semantic_
 advanced-analysis | trace_exception_flow | query | diagnostics.caught | exception_flow
 advanced-analysis | analyze_data_flow | query | dead.data_flow | data_flow
 advanced-analysis | analyze_control_flow | query | graph.closure | control_flow_reachability
-advanced-analysis | get_operations | query | graph.hierarchy | operations_tree
+advanced-analysis | get_operations | query | graph.subtree | operations_subtree
 advanced-analysis | suggest_refactorings | query | metrics.suggestions | suggest_refactorings
 validation | compile_check | query | diagnostics.diagnostics | compile_check
 validation | verify_pragma_suppresses | query | diagnostics.suppressed | verify_suppression
