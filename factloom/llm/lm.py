@@ -6,10 +6,14 @@ bounded table that every task has; a smaller part of it is the vocabulary of
 the model, in classes of about equal (square-rooted) frequency.  Words beyond
 the head are joined with their counts, so no word's count is left out.
 
-The model is a gated recurrent unit.  Each task trains a copy, from the same
-start, over all training documents of its partition, by backpropagation
-truncated to a window; the copies are averaged, weighted by their tokens, in
-levels of bounded fan-in.  The output is a softmax over classes and one within
+The model is a gated recurrent unit.  Training documents are dealt by a hash to
+a fixed number of groups, and within each to a fixed number of rounds.  In a
+round each group trains a copy over its documents of that round, in the order
+of their hash, by backpropagation truncated to a window; the copies are
+averaged, weighted by their tokens, in levels of bounded fan-in, and the next
+round starts from the average.  So a model doesn't depend on how its table is
+partitioned, and more documents are more steps of each copy, not more copies.
+Groups are what trains at once: a larger cluster can have more of them.  The output is a softmax over classes and one within
 the word's class.  A word outside the vocabulary is the unknown word: by its
 share of the counts if it is in the training documents, in the head or beyond
 it.  All words new to training are one word with one count, as in the base
@@ -30,7 +34,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,8 @@ class Shape:
     rate: float = 0.3
     chunk_tokens: int = 4_000_000
     seed: int = 11
+    groups: int = 16
+    rounds: int = 4
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -91,6 +96,20 @@ class Gru:
         self.wx, self.u, self.b = some(n, 3 * h), some(h, 3 * h), np.zeros(3 * h, np.float32)
         self.wc, self.bc, self.wo, self.bo = some(c, h), np.zeros(c, np.float32), some(n, h), np.zeros(n, np.float32)
         self.class_of = np.repeat(np.arange(c), np.diff(cuts))
+        #: Sums of squared gradients, which the steps are scaled by.
+        self.squares = {x: np.full(getattr(self, x).shape, 1e-4, np.float32) for x in self.NAMES}
+
+    def learnt(self) -> np.ndarray:
+        """The model and its sums of squares, which the next round goes on with."""
+        return np.concatenate([self.flat(), *(self.squares[x].ravel() for x in self.NAMES)])
+
+    def go_on(self, learnt: np.ndarray) -> None:
+        size = len(self.flat())
+        self.load(learnt[:size])
+        for x in self.NAMES:
+            a = self.squares[x]
+            self.squares[x] = learnt[size : size + a.size].astype(np.float32).reshape(a.shape)
+            size += a.size
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
@@ -319,58 +338,86 @@ BLOCK = 256
 
 
 def _train(texts: DataFrame, scorer: Scorer) -> None:
-    """Train copies over all partitions and put their average into the scorer."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(scorer)
-    size = len(scorer.gru.flat())
+    """Train the scorer's model over all rows of a table with a column ``text``; its other columns deal rows out too.
+
+    Rows that are the same in all columns are of one group and round.
+    """
+    spark, shape = texts.sparkSession, scorer.shape
+    kind = np.int16 if shape.vocabulary < 1 << 15 else np.int32
+    first = spark.sparkContext.broadcast((scorer.rank[END], {w: r + 1 for w, r in scorer.rank.items() if r < shape.vocabulary - 1}))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, ranks = first.value
+        place = ranks.get
+        for batch in batches:
+            words = map(tokens, (x.as_py() for x in batch.column(1)))
+            ids = pa.array((np.fromiter(chain((end + 1,), map(place, w, repeat(0))), kind, len(w) + 1).tobytes() for w in words), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["h", "ids"])
+
+    keyed = texts.select(F.xxhash64(*texts.columns).alias("h"), "text").mapInArrow(encode, "h long, ids binary")
+    piece = F.pmod("h", F.lit(shape.groups * shape.rounds))
+    dealt = materialise(keyed.select("h", "ids", (piece % shape.groups).cast("int").alias("part"), F.floor(piece / shape.groups).cast("int").alias("round")), "lm-encoded")
+    for k in range(shape.rounds):
+        _round(dealt.filter(F.col("round") == k).select("part", "h", "ids"), scorer, kind)
+    forget(dealt)
+
+
+def _round(dealt: DataFrame, scorer: Scorer, kind: type) -> None:
+    """Train a copy for each group, all from the scorer's model, and put their average in its place."""
+    shared = dealt.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        gru = Gru(s.gru.cuts, s.shape)
-        place = {w: r + 1 for w, r in s.rank.items() if r < s.shape.vocabulary - 1}.get
-        squares = {x: np.full(getattr(gru, x).shape, 1e-4, np.float32) for x in Gru.NAMES}
-        seen, end, part = 0, [s.rank[END] + 1], TaskContext.get().partitionId()
+        gru, part, seen, stream, size = None, None, 0, [], 0
+        end = [s.rank[END] + 1]
 
-        def learn(stream: list[np.ndarray]) -> int:
+        def learn() -> int:
             """One pass over texts, each a start symbol and its words; how many tokens those are."""
             starts = np.zeros(sum(map(len, stream)) + 1, bool)
             starts[np.cumsum([0, *map(len, stream)])] = True
-            gru.train(np.concatenate([*stream, np.array(end)]), starts, squares)
+            gru.train(np.concatenate([*stream, np.array(end)]).astype(np.int32), starts, gru.squares)
             return len(starts) - 1
 
-        stream, size = [], 0
+        def copy(seen: int) -> pa.RecordBatch:
+            values = gru.learnt().astype(np.float64) * seen
+            values = np.pad(values, (0, -len(values) % BLOCK)).reshape(-1, BLOCK)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(values))), pa.array(np.full(len(values), part, np.int64)), pa.array(np.full(len(values), seen)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), BLOCK).cast(pa.list_(pa.float64()))], ["block", "part", "seen", "v"]
+            )
+
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                stream.append(np.fromiter(chain(end, map(place, words, repeat(0))), np.int32, len(words) + 1))
-                size += len(words) + 1
+            for group, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if group != part:
+                    if part is not None:
+                        yield copy(seen + (learn() if stream else 0))
+                    gru, part, seen, stream, size = Gru(s.gru.cuts, s.shape), group, 0, [], 0
+                    gru.go_on(s.gru.learnt())
+                stream.append(np.frombuffer(ids.as_py(), kind))
+                size += len(stream[-1])
                 if size >= s.shape.chunk_tokens:
-                    seen += learn(stream)
+                    seen += learn()
                     stream, size = [], 0
-        seen += learn(stream) if stream else 0
-        if seen:
-            values = gru.flat().astype(np.float64) * seen
-            values = np.pad(values, (0, -len(values) % BLOCK)).reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values))), pa.array(np.full(len(values), part)), pa.array(np.full(len(values), seen)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), BLOCK).cast(pa.list_(pa.float64()))], ["block", "part", "seen", "v"]
-            )
+        if part is not None:
+            yield copy(seen + (learn() if stream else 0))
 
     def add(key, t):
+        t = t.sort_by("part")
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0)
         return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "seen": [sum(t["seen"].to_pylist())], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-    kind = "block long, part long, seen long, v array<double>"
-    copies = materialise(texts.mapInArrow(run, kind), "lm-copies")
+    schema = "block long, part long, seen long, v array<double>"
+    sorted_ = dealt.repartition(scorer.shape.groups, "part").sortWithinPartitions("part", "h").select("part", "ids")
+    copies = materialise(sorted_.mapInArrow(run, schema), "lm-copies")
     written, last = copies, copies.agg(F.max("part")).first()[0]
     while last is not None:
-        copies = copies.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(add, kind)
+        copies = copies.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(add, schema)
         last = last // FAN or None
     parts = copies.collect()  # as many numbers as the model has
     forget(written)
+    shared.unpersist()
     if parts:
         parts.sort(key=lambda r: r["block"])
-        flat = np.concatenate([np.array(r["v"]) for r in parts])
-        scorer.gru.load(flat[:size] / parts[0]["seen"])
+        scorer.gru.go_on(np.concatenate([np.array(r["v"]) for r in parts]) / parts[0]["seen"])
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), head_words: int = 131_072, head_bytes: int = 256) -> DataFrame:
@@ -384,8 +431,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    training = src.filter("not held_out").select("text")
-    counts = materialise(word_counts(training), "lm-counts")
+    training = src.filter("not held_out").select("doc_id", "text")
+    counts = materialise(word_counts(training.select("text")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The head: all words over a count that is chosen from a table of counts by powers, so that it has no more than its size.
     short = counts.filter((F.octet_length("word") <= head_bytes) & (F.col("word") != F.lit(END))).withColumn("power", F.floor(F.log2("n") * 8))

@@ -93,6 +93,31 @@ def test_copies_are_averaged_by_their_tokens(spark):
     assert np.allclose(flats[0], flats[2], atol=1e-6) and np.allclose(flats[1], flats[2], atol=1e-6)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """The same rows in 1, 4 and 40 partitions, in any order, train the same model; repeated and null rows among them."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 90)))) for i in range(150)] + [(None, "a b"), (3, None), (4, "a b c")] * 2
+    every = []
+    for n in (1, 4, 40):
+        rng.shuffle(rows)
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), shape=SMALL).collect()
+        every.append(sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in got))
+    assert every[0] == every[1] == every[2]
+
+
+def test_more_rounds_go_on_from_the_average(spark):
+    rows = [(i, f"a b c d{i % 7} " * (1 + i % 5)) for i in range(300)]
+    flats = []
+    for rounds in (1, 3):
+        shape = lm.Shape(vocabulary=64, classes=6, hidden=12, window=8, streams=16, chunk_tokens=5000, rounds=rounds, groups=2)
+        c = Counter(w for _, t in rows for w in lm.tokens(t))
+        s = lm.Scorer([(lm.END, len(rows)), *c.most_common()], shape, 0)
+        lm._train(spark.createDataFrame(rows, "doc_id long, text string"), s)
+        flats.append(s.gru)
+    assert not np.array_equal(flats[0].flat(), flats[1].flat())
+    assert all((g.squares[x] >= 1e-4 - 1e-9).all() and (g.squares[x] > 1e-4).any() for g in flats for x in g.NAMES)
+
+
 def test_unknown_words_share_out_probability():
     """Words outside the vocabulary, new ones counted as one, have together what the unknown word has."""
     texts = [" ".join(f"w{(i * k) % 90}" for k in range(40)) for i in range(60)]
