@@ -296,9 +296,8 @@ def covered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = found.filter("not again").groupBy("h1", "h2").agg(F.min(key).alias("kept"), F.max(key).alias("other")).filter("kept <> other").select("h1", "h2", "kept")
     later = found.filter("not again").join(first, ["h1", "h2"]).filter(key != F.col("kept"))
     gone = later.select("id", "part", "i", "j", "a", "b").unionByName(found.filter("again").select("id", "part", "i", "j", "a", "b"))
-    # Rows that repeat a document found each of its runs again; partial sums take them together, so a list has each once.
-    gone = gone.groupBy("id", "part", "i", "j").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    return gone.groupBy("id", "part").agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("spans"))
+    # Rows that repeat a document found each of its runs again; sets, of tasks and then of all, have each once.
+    return gone.groupBy("id", "part").agg(F.collect_set(F.struct("i", "j", "a", "b")).alias("spans"))
 
 
 def _merged(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
