@@ -80,6 +80,21 @@ def caught(sites: DataFrame, ancestors: DataFrame, root: str) -> DataFrame:
     return typed.join(ancestors.toDF("type", "exact"), F.col("declared") == F.col("type")).withColumn("catches_base", ~F.col("exact")).drop("type", "exact")
 
 
+#: Catch sites of one answer unless asked for otherwise, and at most (fixed values).
+SITES, MOST_SITES = 200, 2000
+
+
+def caught_page(found: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+    """The first catch sites in order, beside whether the cap was reached (``truncated``); ``found`` as ``caught`` gives it.
+
+    No cap, and one of 0 or less, is 200; more than 2,000 is 2,000.  As many
+    sites as the cap count as truncated, as nothing was looked for after them.
+    """
+    cap = SITES if most is None or most <= 0 else min(most, MOST_SITES)
+    full = found.agg((F.count("*") >= cap).alias("truncated"))  # one row
+    return found.orderBy(*order).limit(cap).crossJoin(F.broadcast(full))
+
+
 def suppressed(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Whether a span of the same scope is around each point (point, suppressed).
 

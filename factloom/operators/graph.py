@@ -346,6 +346,26 @@ def clusters(items: DataFrame, access: DataFrame, interfaces: DataFrame | None =
     return out.unionByName(n.select("scope", F.lit("Interface").alias("type_kind"), "methods", F.lit(0).cast("long").alias("fields"), F.col("methods").alias("lcom4"), none.alias("cluster"), F.lit("").alias("members"), F.lit("").alias("shared_fields")))
 
 
+def control_flow(steps: DataFrame, region: DataFrame, kinds: DataFrame, first) -> DataFrame:
+    """Points of a region of statements (point, node): where it is entered, left and returned from, and what is never reached.
+
+    ``steps``: src, dst; ``region``: node; ``kinds``: node, kind.  ``entry``: a
+    node with a step from outside; ``exit``: one with a step to the outside;
+    ``return``: of kind return; ``unreachable``: one that no steps within the
+    region lead to from its ``first`` node.
+    """
+    own = written(region.select("node").filter("node is not null").distinct(), "region")
+    sides = steps.select("src", "dst").distinct().join(own.toDF("src").withColumn("from_in", F.lit(True)), "src", "left").join(own.toDF("dst").withColumn("to_in", F.lit(True)), "dst", "left")
+    sides = written(sides, "region-steps")
+    entry = sides.filter("to_in and from_in is null").select(F.lit("entry").alias("point"), F.col("dst").alias("node"))
+    leave = sides.filter("from_in and to_in is null").select(F.lit("exit").alias("point"), F.col("src").alias("node"))
+    back = kinds.filter("kind = 'return'").join(own, "node", "left_semi").select(F.lit("return").alias("point"), "node")
+    start = own.filter(F.col("node") == first)
+    reached = closure(sides.filter("from_in and to_in").select("src", "dst"), start).select(F.col("dst").alias("node")).union(start)
+    never = own.join(reached, "node", "left_anti").select(F.lit("unreachable").alias("point"), "node")
+    return entry.unionByName(leave).unionByName(back).unionByName(never).distinct()
+
+
 def shared_components(access: DataFrame) -> DataFrame:
     """Least reachable ``item`` of each (scope, item) over shared members, within each scope.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import changes, dead, graph, lookup, metrics, mirrored, testing, unused, usages
+from factloom.operators import changes, dead, diagnostics, graph, lookup, metrics, mirrored, testing, unused, usages
 from factloom.plans.base import TRADE_SQL, query, table, trade
 from factloom.plans.graphs import _TREE_SQL, _tree
 
@@ -429,3 +429,25 @@ def operations_subtree(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)
     first = F.substring("child", 1, 1)
     return graph.subtree(tree, "r0", tree.select(F.col("child").alias("node"), F.when(first == "n", "nation").when(first == "s", "supplier").alias("kind")), 3)
+
+
+_CAUGHT_SQL = """c AS (SELECT event_id AS site, event_type = 'error' AS exact FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND value > 90)"""
+
+
+@query("exception_flow_page", f"WITH {_CAUGHT_SQL} SELECT site, NOT exact AS catches_base, (SELECT count(*) >= 40 FROM c) AS truncated FROM c ORDER BY site LIMIT 40")
+def exception_flow_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first forty sites that catch an error or what is above it, and whether there may be more."""
+    sites = table(spark, d, "events").filter("value > 90").select(F.col("event_id").alias("site"), F.col("event_type").alias("declared"))
+    up = spark.createDataFrame([("error", True), ("purchase", False), ("signup", False)], "type string, exact boolean")
+    return diagnostics.caught_page(diagnostics.caught(sites, up, "root"), ["site"], 40).select("site", "catches_base", "truncated")
+
+
+@query("control_flow_points", f"""WITH RECURSIVE {TRADE_SQL}, s AS (SELECT DISTINCT src, dst FROM trade), i AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey IN (0, 1, 2)),
+r(node) AS (SELECT node FROM i WHERE node = 0 UNION SELECT dst FROM r JOIN s ON src = node WHERE dst IN (SELECT node FROM i))
+SELECT DISTINCT 'entry' AS point, dst AS node FROM s WHERE dst IN (SELECT node FROM i) AND src NOT IN (SELECT node FROM i) UNION ALL SELECT DISTINCT 'exit', src FROM s WHERE src IN (SELECT node FROM i) AND dst NOT IN (SELECT node FROM i)
+UNION ALL SELECT 'return', node FROM i WHERE node % 4 = 3 UNION ALL SELECT 'unreachable', node FROM i WHERE node NOT IN (SELECT node FROM r)""")
+def control_flow_points(spark: SparkSession, d: str) -> DataFrame:
+    """Trade as steps, the nations of three regions as the part that is looked at, from the first of them."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), "n_regionkey")
+    kinds = nations.select("node", F.when(F.col("node") % 4 == 3, "return").otherwise("call").alias("kind"))
+    return graph.control_flow(trade(spark, d), nations.filter(F.col("n_regionkey").isin(0, 1, 2)), kinds, 0)

@@ -62,9 +62,9 @@ advanced-analysis | find_duplicate_helpers | query | dead.duplicate_helpers | du
 advanced-analysis | find_duplicated_methods | query | dead.duplicate_bodies | duplicated_bodies
 advanced-analysis | find_duplicated_code | query | dead.duplicate_bodies | duplicated_turns
 advanced-analysis | semantic_search | query | search.semantic_search | semantic_search_structured
-advanced-analysis | trace_exception_flow | query | diagnostics.caught | exception_flow
+advanced-analysis | trace_exception_flow | query | diagnostics.caught_page | exception_flow_page
 advanced-analysis | analyze_data_flow | query | dead.data_flow | data_flow
-advanced-analysis | analyze_control_flow | query | graph.closure | control_flow_reachability
+advanced-analysis | analyze_control_flow | query | graph.control_flow | control_flow_points
 advanced-analysis | get_operations | query | graph.subtree | operations_subtree
 advanced-analysis | suggest_refactorings | query | metrics.suggestions | suggest_refactorings
 validation | compile_check | query | diagnostics.diagnostics | compile_check

@@ -1,6 +1,6 @@
 """Classes of usages by small trees, writes, known calls, pages of places."""
 
-from factloom.operators import graph, usages
+from factloom.operators import diagnostics, graph, usages
 
 NODES = "node int, parent int, kind string, slot string, modifier string"
 
@@ -76,3 +76,19 @@ def test_pages_of_places_and_subtrees(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("x", "y")], "child string, parent string")
     kinds = spark.createDataFrame([("a", "Block"), ("b", "If"), ("d", "Call")], "node string, kind string")
     assert sorted((r["node"], r["parent"], r["depth"], r["kind"]) for r in graph.subtree(edges, "a", kinds, 2).collect()) == [("a", None, 0, "Block"), ("b", "a", 1, "If"), ("c", "b", 2, None)]
+
+
+def test_control_flow_points(spark):
+    steps = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 2), (2, 9), (9, 4), (4, 5), (8, 1), (1, None)], "src int, dst int")
+    region = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (6,), (None,), (1,)], "node int")
+    kinds = spark.createDataFrame([(3, "return"), (9, "return"), (5, "return"), (6, None)], "node int, kind string")
+    got = sorted(map(tuple, graph.control_flow(steps, region, kinds, 1).collect()))
+    assert got == [("entry", 1), ("entry", 4), ("exit", 1), ("exit", 2), ("return", 3), ("return", 5), ("unreachable", 4), ("unreachable", 5), ("unreachable", 6)]
+
+
+def test_caught_pages(spark):
+    found = spark.range(1, 8).selectExpr("id as site")
+    for most, rows, truncated in ((3, 3, True), (7, 7, True), (8, 7, False), (None, 7, False), (-1, 7, False), (99_999, 7, False)):
+        got = diagnostics.caught_page(found, ["site"], most).collect()
+        assert [r["site"] for r in got] == list(range(1, rows + 1)) and {r["truncated"] for r in got} == {truncated}
+    assert diagnostics.caught_page(found.limit(0), ["site"], 3).count() == 0
