@@ -1,6 +1,6 @@
 """Collocations: phrases of two to four words, counted through minimal perfect hashes.
 
-Texts are read four times, by tasks that hand on sums only.
+Texts are read four times, by tasks that hand on sums and keys, never texts.
 
 1. Words are counted.  A word stands as a 64-bit hash of its language and its
    bytes from here on; that no two words of the corpus share one is checked,
@@ -315,7 +315,9 @@ def _bits(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def _bucket_bits(docs: DataFrame, words: DataFrame, total: int, least: int, seed: int) -> list[np.ndarray]:
     """For each length, a bit for each bucket that reaches the least count, or for words, that a frequent word is in.
 
-    A phrase has two buckets, so an infrequent one gets through only where it shares both with others.  There are about as many buckets as words of the corpus, 2^BUCKETS at most.
+    A phrase has two buckets, so an infrequent one gets through only where it
+    shares both with others.  There are about as many buckets as words of the
+    corpus, 2^BUCKETS at most.
     """
     spark, size = docs.sparkSession, 1 << min(BUCKETS, max(12, int(total).bit_length()))
 
@@ -328,7 +330,7 @@ def _bucket_bits(docs: DataFrame, words: DataFrame, total: int, least: int, seed
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["data"]])
-        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "part": [0], "data": [zlib.compress(bits.tobytes(), 1)]})
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "part": rows["part"].iloc[:1] // FAN_IN, "data": [zlib.compress(bits.tobytes(), 1)]})
 
     written, parts = _mapped(words.select("h"), mark)
     marked = written
