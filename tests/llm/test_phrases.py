@@ -102,3 +102,30 @@ def test_perfect_hash_has_a_slot_for_each_key_and_none_for_others(n):
     if n > 10:  # a key's own words in another order, and its beginning, aren't keys
         four = keys[size == 4]
         assert (h.slots([four[:, 1], four[:, 0], four[:, 2], four[:, 3]]) == -1).all() and (h.slots([four[:, 0], four[:, 1]]) == -1).all()
+
+
+def test_no_infrequent_phrase_is_written_however_full_the_marks(spark, monkeypatch):
+    """A corpus that fills all buckets used to make a candidate of every phrase; each range counts on its own instead."""
+    wrote = {}
+    monkeypatch.setattr(phrases, "BUCKETS", 6)
+    monkeypatch.setattr(phrases, "materialise", lambda df, label, f=phrases.materialise: wrote.setdefault(label, []).append(out := f(df, label)) or out)
+    monkeypatch.setattr(phrases, "forget", lambda *_: None)
+    rng = random.Random(4)
+    rows = [(" ".join(f"w{rng.randrange(40)}" for _ in range(200)) + ". one two three four", "en") for _ in range(40)]
+    want = plain(rows, 20, 2000, covered=10**9)
+    assert result(phrases.collocations(frame(spark, rows), 20, 2000, 10**9, per_round=500)) == want
+    tables = [t for label, made in wrote.items() for t in made if label.startswith("phrases-c") and "w3" in t.columns]
+    assert tables and max(t.filter("w1 <> 0").count() for t in tables) == len(want) < 100
+
+
+def test_counts_of_a_range_against_plain_sums():
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.integers(1, 7, (3000, 3), dtype=np.uint32), rng.integers(1, 2**31, (3000, 1), dtype=np.uint32)], 1)
+    rows = np.concatenate([rows, np.array([[2**31 - 2, 1, 2**31 - 3, 4_000_000_000]] * 3, np.uint32)])
+    want = Counter()
+    for *key, n in rows.tolist():
+        want[tuple(key)] += n
+    least = sorted(want.values())[len(want) // 2]
+    keys, counts = phrases.range_counts(phrases._unpacked(phrases._packed(rows), 4), least)
+    assert dict(zip(map(tuple, keys.tolist()), counts.tolist())) == {k: n for k, n in want.items() if n >= least}
+    assert len(phrases.range_counts(rows[:0], least)[1]) == 0
