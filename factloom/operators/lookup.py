@@ -55,26 +55,33 @@ def enclosing(points: DataFrame, spans: DataFrame, bucket: int | None = None) ->
     """The innermost span around each point (point_id, span_id); ties go to the least span_id.
 
     ``points``: point_id, scope, at; ``spans``: span_id, scope, lo, hi (both
-    inside, whole numbers).  A span lies on the level of the least power of two
-    that is no shorter, where it meets two blocks at most, so one of any length
-    is two rows; a point looks into its block of each level that has spans, of
-    which there are 64 at most.  Each span that it meets is over half as long
-    as the block, so few are met in vain.  ``bucket`` is not used any more.
+    inside, whole numbers).  A span is cut into the blocks of powers of two that
+    it covers wholly, two of a level at most, as in a segment tree; of each block
+    only the shortest span stays.  A point looks up the one block of each level
+    that it is in, so it meets a row of each level at most, however many spans
+    hold it.  Spans of one place and points of one place are one there.
+    ``bucket`` is not used any more.
     """
-    length = F.col("hi").cast("long") - F.col("lo").cast("long") + 1
-    # Bits of length - 1: whole numbers only, as logarithms round.
-    level = F.length(F.regexp_replace(F.bin(length - 1), "^0+", ""))
-    sized = spans.filter("lo <= hi").withColumn("level", level)
-
-    def block(c: str):
-        return F.expr(f"shiftright(cast({c} as long), level)")
-
-    cut = sized.withColumn("block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
-    levels = sized.agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one row
-    at = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).withColumn("block", block("at")).drop("levels")
-    met = at.join(cut, ["scope", "level", "block"]).filter("at between lo and hi")
-    best = met.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), F.col("span_id").alias("id"))).alias("s"))
-    return best.select("point_id", F.col("s.id").alias("span_id"))
+    low, high = F.col("lo").cast("long"), F.col("hi").cast("long")
+
+    def cut(k: Column) -> Column:
+        # The first and the last block that begin and end within; nothing here leaves 64 bits.
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
+        first = F.call_function("shiftright", low, k) + F.when(low.bitwiseAND(mask) != 0, 1).otherwise(0)
+        last = F.call_function("shiftright", high, k) - F.when(high.bitwiseAND(mask) != mask, 1).otherwise(0)
+        left = F.when((first <= last) & (first % 2 != 0), F.struct(k.alias("level"), first.alias("block")))
+        right = F.when((first <= last) & (last % 2 == 0), F.struct(k.alias("level"), last.alias("block")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(62), F.length(F.bin(high - low))))
+    whole = spans.filter("lo <= hi").groupBy("scope", "lo", "hi").agg(F.min("span_id").alias("id"))
+    blocks = whole.select("scope", F.struct((high - low).alias("size"), "id").alias("s"), F.explode(F.filter(F.flatten(F.transform(levels, cut)), lambda x: x.isNotNull())).alias("b"))
+    blocks = blocks.groupBy("scope", "b.level", "b.block").agg(F.min("s").alias("s"))
+    used = blocks.agg(F.array_sort(F.collect_set("level")).alias("levels"))  # one row
+    places = points.select("scope", "at").distinct()
+    look = places.crossJoin(F.broadcast(used)).withColumn("level", F.explode("levels")).withColumn("block", F.expr("shiftright(cast(at as long), level)"))
+    held = look.join(blocks, ["scope", "level", "block"]).groupBy("scope", "at").agg(F.min("s").alias("s"))
+    return points.join(held, ["scope", "at"]).groupBy("point_id").agg(F.min("s").alias("s")).select("point_id", F.col("s.id").alias("span_id"))
 
 
 def preferred(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -56,6 +56,30 @@ def test_enclosing_with_one_span_of_a_thousand_million(spark):
     assert lookup.enclosing(spark.createDataFrame(points, "point_id int, scope int, at long"), df.limit(0)).count() == 0
 
 
+def _most_rows_of_a_join(df):
+    """Of the plan that ran, by its own metrics."""
+    def walk(p):
+        own = [p.metrics().get("numOutputRows").get().value()] if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else []
+        below = p.children() if p.nodeName() not in ("AdaptiveSparkPlan",) else None
+        nodes = [p.executedPlan()] if below is None else [below.apply(i) for i in range(below.size())]
+        if p.nodeName().endswith("QueryStage"):
+            nodes.append(p.plan())
+        return own + [n for x in nodes for n in walk(x)]
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_enclosing_meets_a_span_of_each_level_at_most_and_the_ends_of_64_bits(spark):
+    """A thousand spans around every point used to be met one by one."""
+    top = 2**63 - 1
+    spans = [(f"n{k:04}", 0, -k, 3000 + k) for k in range(1000)] + [("open", 1, 5, top), ("late", 1, top - 5, top), ("early", 1, -top - 1, -9)]
+    points = [(k, 0, k) for k in range(3000)] + [(5000, 1, top), (5001, 1, top - 6), (5002, 1, -top - 1), (5003, 1, 4), (5004, 0, -500), (5004, 0, 1)]
+    got = lookup.enclosing(spark.createDataFrame(points, "point_id int, scope int, at long"), spark.createDataFrame(spans, "span_id string, scope int, lo long, hi long"))
+    want = {k: "n0000" for k in range(3000)} | {5000: "late", 5001: "open", 5002: "early", 5004: "n0000"}
+    assert {r["point_id"]: r["span_id"] for r in got.collect()} == want
+    assert _most_rows_of_a_join(got) <= 3100 * 40
+
+
 CASES = [
     ("f(__a__, __b__)", "g(__b__, __a__)", "f(x, y)", "g(y, x)", 1),
     ("f(__a__, __b__)", "g(__b__, __a__)", "f(f(1, 2), [a, b])  f( q ,r)", "g([a, b], f(1, 2))  g(r, q)", 2),
