@@ -119,7 +119,9 @@ def holding(texts: DataFrame, terms: DataFrame, q: int = 3) -> DataFrame:
     looked up by the one of its grams that fewest texts have, and what that
     finds is checked by ``contains``.  Terms shorter than a gram are runs of
     characters themselves and joined with those.  Null and empty terms are in
-    no text; case counts.
+    no text; case counts.  The index has a row for each gram of each text, so
+    ``id`` should be small.  It and the texts are merged, never broadcast: a
+    file of them can be a hundredth of what they take in memory.
     """
     wanted = written(terms.select("term").filter("term <> ''").distinct(), "terms")
     long, short = wanted.filter(F.length("term") >= q), wanted.filter(F.length("term") < q)
@@ -130,9 +132,10 @@ def holding(texts: DataFrame, terms: DataFrame, q: int = 3) -> DataFrame:
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     # A term with a gram that no text has is in none, and goes here.
     best = of_term.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b")).filter("b.n > 0")
-    maybe = index.join(best.select("term", F.col("b.gram").alias("gram")), "gram").select("id", "term")
-    found = rows.join(maybe, "id").filter(F.col("text").contains(F.col("term"))).select("id", "term")
+    maybe = index.hint("merge").join(best.select("term", F.col("b.gram").alias("gram")), "gram").select("id", "term")
+    found = rows.hint("merge").join(maybe, "id").filter(F.col("text").contains(F.col("term"))).select("id", "term")
     if q > 1:
         runs = rows.select("id", F.explode(_grams(F.col("text"), list(range(1, q)))).alias("term"))
         found = found.unionByName(runs.join(short, "term", "left_semi").select("id", "term"))
-    return found.distinct()
+    # Dealt by text, which also serves what is then gathered for each text.
+    return found.repartition("id").distinct()

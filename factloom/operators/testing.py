@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.shared import written
 from factloom.operators.search import holding
 
 #: Most files that related tests are looked for (fixed value).
@@ -54,12 +55,13 @@ def related_files(tests: DataFrame, terms: list[str], fallback: DataFrame) -> Da
 def related_by_terms(tests: DataFrame, terms: DataFrame, fallback: DataFrame) -> DataFrame:
     """As ``related_files``, for a table of terms of any size (column ``term``, lower case), which stays in Spark (file, name, terms).
 
-    Repeated tests are one; a null name or file is as an empty one there.
+    Repeated tests are one; a null name or file is as an empty one there.  Tests
+    are numbered, so that an index of their grams has a number in each row.
     """
     text = F.lower(F.concat_ws("\n", F.col("name"), F.col("file").cast("string")))
-    each = tests.select("file", "name", F.struct("file", "name").alias("id"), text.alias("text")).distinct()
-    found = holding(each, terms).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
-    found = found.select("id.file", "id.name", "terms")
+    each = written(tests.select("file", "name").distinct().select(F.monotonically_increasing_id().alias("id"), "file", "name"), "tests")
+    found = holding(each.select("id", text.alias("text")), terms).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
+    found = written(each.hint("merge").join(found, "id").select("file", "name", "terms"), "related")
     none = found.agg((F.count("*") == 0).alias("none"))
     instead = fallback.crossJoin(F.broadcast(none)).filter("none").select("file", "name", F.lit("").alias("terms"))  # one row
     return found.unionByName(instead)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions import patterns
 from factloom.operators import changes, lookup, search, testing
@@ -40,6 +41,20 @@ def test_related_by_terms(spark):
     assert [tuple(r) for r in testing.related_by_terms(tests, spark.createDataFrame([("none",)], "term string"), fallback).collect()] == [("F.cs", "Near", "")]
 
 
+def test_related_by_terms_indexes_numbers_not_texts_and_broadcasts_neither(spark, monkeypatch):
+    """Grams of each text beside the text itself were small as a file, and were broadcast from the driver at many times that."""
+    made, keep = {}, search.written
+    monkeypatch.setattr(search, "written", lambda df, label: made.setdefault(label, keep(df, label)))
+    rng = random.Random(5)
+    tests = spark.createDataFrame([("user", "".join(rng.choice("abcdefgh ") for _ in range(400)) + f" t{k}") for k in range(300)], "file string, name string")
+    terms = spark.createDataFrame([("t7",), ("t29",), ("user",), ("t299",)], "term string")
+    got = {r["name"].rpartition(" ")[2]: r["terms"] for r in testing.related_by_terms(tests, terms, tests.limit(0)).collect()}
+    assert len(got) == 300 and got["t299"] == "t29,t299,user" and got["t7"] == "t7,user" and got["t8"] == "user"
+    assert made["grams"].dtypes == [("gram", "string"), ("id", "bigint")]
+    plan = search.holding(tests.select(F.xxhash64("name").alias("id"), F.col("name").alias("text")), terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
+
+
 def test_enclosing_with_one_span_of_a_thousand_million(spark):
     rng = random.Random(6)
     spans = [(f"s{k}", k % 3, lo, lo + rng.choice([0, 1, 2, 3, 7, 8, 500])) for k, lo in ((k, rng.randrange(-300, 3000)) for k in range(150))]
